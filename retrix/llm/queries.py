@@ -6,15 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retrix.llm import tokens
+from retrix.llm import similar, tokens
 from retrix.sources.tables import table
 
 
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of chunks whose multisets of words are similar to 0.8 or more."""
+    return similar.similar_pairs(table(spark, directory, "chunks"), "id", "content")
+
+
+def p1_links(spark: SparkSession, directory: str) -> DataFrame:
+    """Every chunk with words: its class of equal multisets and its number of similar chunks."""
+    return similar.similar_links(table(spark, directory, "chunks"), "id", "content")
+
+
 def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return tokens.encode_corpus(table(spark, directory, "documents"), "doc_id", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_links": p1_links,
     "p8_ids": p8_ids,
 }
