@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,10 +29,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session is gone, and its folder with it
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written copy.
+    """Write ``df`` as a table into the checkpoint folder and go on from the written copy.
 
-    The copy lies in the folder all executors share, so losing an executor loses nothing.
+    The copy lies in the folder all executors share, so losing an executor loses nothing, and later steps
+    read only the columns they need. It is removed when the driver's process ends.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    atexit.register(_remove, spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
