@@ -9,7 +9,7 @@ So a set is stored under the paths that can be the beginning of an overlap:
 * a path is one element, or where the global counts tell that too many sets hold that element, the first
   two, three or four common elements (a hot node of the trie is split by its children, never cut off);
 * at a node, pairs are pruned by the bound on the remaining lengths behind the shared element, and by the
-  Hamming distance of 128-bit signatures, which is a lower bound of the sets' difference;
+  Hamming distance of bit signatures of the rarest elements, a lower bound of these elements' difference;
 * what is left is checked against the texts themselves.
 
 The global order comes from a table of counts of fixed size (hashed elements), so what is broadcast does
@@ -19,6 +19,7 @@ not grow with the data, though the counts cover all of it.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
@@ -53,55 +54,73 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+class _Codes(dict):
+    """Words by number; a new word gets the next number, and its hash is kept at that place."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = np.zeros(1 << 16, dtype=_U)
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        if code >= len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[code] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return code
+
+
 class _Tokenizer:
     """Words of texts as 64-bit elements; remembers the words it has seen."""
 
     def __init__(self, gram: int):
-        self.gram = gram
-        self._forget()
-
-    def _forget(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.hashes = np.zeros(1 << 16, dtype=_U)
+        self.gram, self.codes = gram, _Codes()
 
     def elements(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Element hashes, their row numbers (ascending), and the number of elements by row."""
         if len(self.codes) > MEMO_WORDS:
-            self._forget()
-        codes, flat, lengths = self.codes, [], []
+            self.codes = _Codes()
+        find, code = _WORD.findall, self.codes.__getitem__
+        flat: list[int] = []
+        lengths = []
         for text in texts:
-            words = _WORD.findall(text.lower()) if text else ()
+            words = find(text.lower()) if text else ()
             lengths.append(len(words))
-            for word in words:
-                try:
-                    flat.append(codes[word])
-                except KeyError:
-                    code = codes[word] = len(codes)
-                    if code >= len(self.hashes):
-                        self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-                    self.hashes[code] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-                    flat.append(code)
+            flat += map(code, words)
         sizes = np.array(lengths, dtype=np.int64)
         rows = np.repeat(np.arange(len(texts)), sizes)
-        hashes = self.hashes[np.array(flat, dtype=np.int64)] if flat else np.zeros(0, dtype=_U)
-        if self.gram > 1 and len(hashes):
-            n = self.gram
-            ends = np.cumsum(sizes)
-            keep = np.arange(len(hashes)) + n <= np.repeat(ends, sizes)
+        numbers = np.fromiter(flat, dtype=np.int64, count=len(flat))
+        if self.gram == 1:
+            order = np.argsort(rows << 32 | numbers)
+            numbers, rows = numbers[order], rows[order]
+            fresh = np.append(True, (numbers[1:] != numbers[:-1]) | (rows[1:] != rows[:-1]))[: len(numbers)]
+            hashes = self.codes.hashes[numbers]
+        else:
+            hashes, n = self.codes.hashes[numbers], self.gram
+            keep = np.arange(len(hashes)) + n <= np.repeat(np.cumsum(sizes), sizes)
             total = np.zeros(len(hashes), dtype=_U)
-            for k in range(n):
+            for k in range(min(n, len(hashes))):
                 total[: len(hashes) - k] = _mix(total[: len(hashes) - k] + hashes[k:])
             hashes, rows = total[keep], rows[keep]
             sizes = np.maximum(sizes - n + 1, 0)
-        order = np.lexsort((hashes, rows))
-        hashes, rows = hashes[order], rows[order]
-        fresh = np.ones(len(hashes), dtype=bool)
-        fresh[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+            order = np.lexsort((hashes, rows))
+            hashes, rows = hashes[order], rows[order]
+            fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1]))[: len(hashes)]
         starts = np.flatnonzero(fresh)
         nth = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
         return _mix(hashes + nth.astype(_U) * _U(0x9E3779B97F4A7C15)), rows, sizes
 
 
+def _rarest_first(found: np.ndarray, rows: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The order by row, count and element."""
+    if len(rows) and rows[-1] < 1 << 15:
+        key = rows << 48 | np.minimum(count, (1 << 20) - 1).astype(np.int64) << 28 | (found >> _U(36)).astype(np.int64)
+        order = np.argsort(key)
+        key = key[order]
+        if not (key[1:] == key[:-1]).any():
+            return order
+    return np.lexsort((found, np.minimum(count, (1 << 20) - 1), rows))
+
+
 def element_counts(df: DataFrame, text_col: str, gram: int = 1, bits: int = COUNT_BITS) -> np.ndarray:
     """How often each hashed element occurs in all rows; the table has 2**bits entries whatever the data."""
     width = 1 << bits
@@ -114,10 +133,10 @@ def element_counts(df: DataFrame, text_col: str, gram: int = 1, bits: int = COUN
             total += np.bincount((found >> _U(64 - bits)).astype(np.int64), minlength=width)
         if total.any():
             for part, piece in enumerate(np.minimum(total, 2**31 - 1).astype(np.int32).reshape(parts, -1)):
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([piece.tobytes()])], names=["part", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([zlib.compress(piece.tobytes(), 1)])], names=["part", "counts"])
 
     def add(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(piece, dtype=np.int32).astype(np.int64) for piece in pieces["counts"])
+        total = sum(np.frombuffer(zlib.decompress(piece), dtype=np.int32).astype(np.int64) for piece in pieces["counts"])
         return pd.DataFrame({"part": [key[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
     sent = df.select(F.col(text_col).cast("string")).mapInArrow(count, "part long, counts binary")
@@ -129,7 +148,7 @@ def element_counts(df: DataFrame, text_col: str, gram: int = 1, bits: int = COUN
 
 
 def _paths(
-    found: np.ndarray, rows: np.ndarray, sizes: np.ndarray, counts: np.ndarray, order: np.ndarray, need: np.ndarray, limit: int, sets: int
+    found: np.ndarray, rows: np.ndarray, sizes: np.ndarray, counts: np.ndarray, need: np.ndarray, limit: int, sets: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, path and position of the path's last element, of all paths under which the rows' sets are stored.
 
@@ -160,11 +179,42 @@ def _paths(
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+#: Words of 64 bits in the signature of every set, and in the second one that large sets have besides.
+SHORT, LONG = 2, 6
+#: Elements beyond which a set has the second signature.
+LARGE = 150
+
+
+def _marked(words: int) -> int:
+    """The rarest elements of a set that a signature holds: about half of its bits are then set."""
+    return int(words * 64 * 0.693)
+
+
+def _marks(found: np.ndarray, rows: np.ndarray, sizes: np.ndarray, edges: np.ndarray, words: int, salt: int) -> list[np.ndarray]:
+    """Words of 64 bits by row that has elements, from its first elements in global order."""
+    rank = np.arange(len(found)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = (found >> _U(salt)) % _U(words * 64)
+    bit = np.where(rank < _marked(words), _U(1) << (place & _U(63)), _U(0))
+    return [np.bitwise_or.reduceat(np.where(place >> _U(6) == _U(k), bit, _U(0)), edges).view(np.int64) for k in range(words)]
+
+
+def _may_reach(apart: np.ndarray, n: np.ndarray, m: np.ndarray, need: np.ndarray, words: int) -> np.ndarray:
+    """Whether sets of sizes n and m whose signatures differ in ``apart`` bits can share ``need`` elements."""
+    marked, other = np.minimum(n, _marked(words)), np.minimum(m, _marked(words))
+    behind = np.maximum(n - marked, m - other)  # elements that can be shared without being marked
+    return apart <= marked + other - 2 * (need - behind)
+
+
+#: A stored node: its path, the path stored before it, the position of its last element.
+_NODE = np.dtype([("path", "<i8"), ("before", "<i8"), ("pos", "<i4")])
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, gram: int = 1, limit: int = NODE_LIMIT) -> DataFrame:
     """One row per row of ``df`` that has elements: ``rid``, class key (``c1``, ``c2``), size ``n``, bit
-    signature (``b0``, ``b1``) and ``nodes``, the trie paths under which the set is stored.
+    signature (``b0``, ``b1``) and ``nodes``, the trie paths under which the set is stored, packed.
 
-    Texts with the same elements have the same class key (a 128-bit hash of the multiset).
+    Texts with the same elements have the same class key (a 128-bit hash of the multiset). A task gives the
+    nodes of a class once and leaves them null for further copies.
     """
     source = df.select(F.col(id_col).alias("rid"), F.col(text_col).cast("string").alias("body")).where("rid is not null and body is not null")
     ratio = Fraction(str(threshold))
@@ -172,43 +222,81 @@ def signatures(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8
     bits = COUNT_BITS
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts = _Tokenizer(gram), table.value
+        own, counts, seen = _Tokenizer(gram), table.value, set()
         sets = int(counts.max(initial=1))
         for batch in batches:
             found, rows, sizes = own.elements(batch.column(1).to_pylist())
-            used = sizes > 0
-            if not used.any():
+            used = np.flatnonzero(sizes > 0)
+            if not len(used):
                 continue
             edges = (np.cumsum(sizes) - sizes)[used]
             keys = [np.add.reduceat(_mix(found + _U(salt)), edges).view(np.int64) for salt in (0x1B873593, 0xCC9E2D51)]
-            low, shift = (found >> _U(6)) & _U(1), _U(1) << (found & _U(63))
-            marks = [np.bitwise_or.reduceat(np.where(low == half, shift, _U(0)), edges).view(np.int64) for half in (_U(0), _U(1))]
             count = counts[(found >> _U(64 - bits)).astype(np.int64)]
-            order = np.lexsort((found, count, rows))
+            order = _rarest_first(found, rows, count)
+            marks = _marks(found[order], rows, sizes, edges, SHORT, 0)
+            large = sizes[used] > LARGE
+            more = np.stack(_marks(found[order], rows, sizes, edges, LONG, 7), axis=1)
+            more = [bits.tobytes() if is_large else None for bits, is_large in zip(more, large.tolist())]
             need = -(-sizes * ratio.numerator // ratio.denominator)
-            row, path, position = _paths(found[order], rows, sizes, count[order], order, need, limit, sets)
-            by_row = np.argsort(row, kind="stable")
-            lists = np.searchsorted(row[by_row], np.append(np.flatnonzero(used), len(sizes))).astype(np.int32)
-            nodes = pa.ListArray.from_arrays(
-                pa.array(lists),
-                pa.StructArray.from_arrays(
-                    [pa.array(path[by_row].view(np.int64)), pa.array(position[by_row].astype(np.int32))], names=["path", "pos"]
-                ),
-            )
+            row, path, position = _paths(found[order], rows, sizes, count[order], need, limit, sets)
+            by_row = np.lexsort((position, row))
+            row, stored = row[by_row], np.zeros(len(row), dtype=_NODE)
+            stored["path"], stored["pos"] = path[by_row].view(np.int64), position[by_row]
+            stored["before"][1:] = np.where(row[1:] == row[:-1], stored["path"][:-1], 0)
+            ends = np.searchsorted(row, np.append(used, len(sizes)))
+            nodes = []
+            if len(seen) > MEMO_WORDS:
+                seen.clear()
+            for k, key in enumerate(keys[0].tolist()):
+                nodes.append(None if key in seen else stored[ends[k] : ends[k + 1]].tobytes())
+                seen.add(key)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(used)), *map(pa.array, keys), pa.array(sizes[used].astype(np.int32)), *map(pa.array, marks), nodes],
-                names=["rid", "c1", "c2", "n", "b0", "b1", "nodes"],
+                [batch.column(0).take(pa.array(used)), *map(pa.array, keys), pa.array(sizes[used].astype(np.int32)), *map(pa.array, marks), pa.array(more, type=pa.binary()), pa.array(nodes, type=pa.binary())],
+                names=["rid", "c1", "c2", "n", "b0", "b1", "more", "nodes"],
             )
 
     kind = source.schema["rid"].dataType.simpleString()
-    return source.mapInArrow(sign, f"rid {kind}, c1 long, c2 long, n int, b0 long, b1 long, nodes array<struct<path:long,pos:int>>")
+    return source.mapInArrow(sign, f"rid {kind}, c1 long, c2 long, n int, b0 long, b1 long, more binary, nodes binary")
 
 
-def _pairs(node: pd.DataFrame, group: np.ndarray, top: int, bottom: int) -> Iterator[pd.DataFrame]:
-    """Pairs of rows with equal ``group`` that pass the bounds; rows come by group, then size."""
-    n, pos = node["n"].to_numpy(np.int64), node["pos"].to_numpy(np.int64)
-    c1, c2 = node["c1"].to_numpy(), node["c2"].to_numpy()
-    b0, b1 = node["b0"].to_numpy().view(_U), node["b1"].to_numpy().view(_U)  # bits of a signed number would be those of its amount
+def _nodes(signed: DataFrame) -> DataFrame:
+    """One row per class and stored node; ``size`` holds the set's size and the position in the node."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = batch.column(5).to_pylist()
+            times = np.array([len(x) // _NODE.itemsize for x in packed], dtype=np.int64)
+            stored = np.frombuffer(b"".join(packed), dtype=_NODE)
+            c1, n, b0, b1 = (np.repeat(batch.column(k).to_numpy(), times) for k in range(4))
+            columns = [stored["path"], stored["before"], c1, n.astype(np.int64) << 32 | stored["pos"], b0, b1]
+            more = batch.column(4).take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), more], names=["path", "before", "c1", "size", "b0", "b1", "more"])
+
+    schema = "path long, before long, c1 long, size long, b0 long, b1 long, more binary"
+    return signed.where("nodes is not null").select("c1", "n", "b0", "b1", "more", "nodes").mapInArrow(unpack, schema)
+
+
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    """The rows of stored nodes as numbers; ``more`` as a matrix that is zero where a set is not large."""
+    rows = {k: batch.column(k).to_numpy() for k in batch.schema.names if k != "more"}
+    more = batch.column("more")
+    held = more.is_valid().to_numpy(zero_copy_only=False)
+    rows["more"] = np.zeros((len(held), LONG), dtype=_U)
+    if held.any():
+        rows["more"][held] = np.frombuffer(b"".join(more.drop_null().to_pylist()), dtype=_U).reshape(-1, LONG)
+    return rows
+
+
+def _pairs(node: dict[str, np.ndarray], top: int, bottom: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets at the same node that pass the bounds; rows come by path, then size."""
+    path, c1 = node["path"], node["c1"]
+    copy = np.append(False, (path[1:] == path[:-1]) & (node["size"][1:] == node["size"][:-1]) & (c1[1:] == c1[:-1]))
+    if copy.any():
+        node = {k: x[~copy] for k, x in node.items()}
+        path, c1 = node["path"], node["c1"]
+    group = np.append(0, np.cumsum(path[1:] != path[:-1]))
+    n, pos, before = node["size"] >> 32, node["size"] & 0xFFFFFFFF, node["before"]
+    b0, b1 = node["b0"].view(_U), node["b1"].view(_U)  # bits of a signed number would be those of its amount
     # the larger set has at most n * bottom / top elements
     reach = np.searchsorted(group * (1 << 40) + n, group * (1 << 40) + n * bottom // top, side="right")
     count = reach - np.arange(len(n)) - 1
@@ -224,36 +312,45 @@ def _pairs(node: pd.DataFrame, group: np.ndarray, top: int, bottom: int) -> Iter
         need = -(-(top * (n[a] + n[b])) // (top + bottom))
         keep = (pos[a] + need <= n[a]) & (pos[b] + need <= n[b])
         a, b, need = a[keep], b[keep], need[keep]
+        keep = (before[a] != before[b]) | (before[a] == 0)  # else the pair has met at the node before
+        a, b, need = a[keep], b[keep], need[keep]
         apart = np.bitwise_count(b0[a] ^ b0[b]).astype(np.int64) + np.bitwise_count(b1[a] ^ b1[b])
-        keep = (apart <= n[a] + n[b] - 2 * need) & ((c1[a] != c1[b]) | (c2[a] != c2[b]))
-        a, b = a[keep], b[keep]
+        keep = _may_reach(apart, n[a], n[b], need, SHORT) & (c1[a] != c1[b])
+        a, b, need = a[keep], b[keep], need[keep]
+        large = np.flatnonzero((n[a] > LARGE) & (n[b] > LARGE))
+        if len(large):
+            x, y = a[large], b[large]
+            apart = np.bitwise_count(node["more"][x] ^ node["more"][y]).sum(axis=1, dtype=np.int64)
+            keep = np.ones(len(a), dtype=bool)
+            keep[large] = _may_reach(apart, n[x], n[y], need[large], LONG)
+            a, b = a[keep], b[keep]
+        a, b = c1[a], c1[b]
         if len(a):
-            swap = (c1[a] > c1[b]) | ((c1[a] == c1[b]) & (c2[a] > c2[b]))
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            yield pd.DataFrame({"a1": c1[a], "a2": c2[a], "z1": c1[b], "z2": c2[b]}).drop_duplicates()
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a1", "z1"])
 
 
-def candidates(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs of classes that share a node of the trie and pass its bounds: columns a1, a2, z1, z2."""
+def candidates(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Pairs of classes that share a node of the trie and pass its bounds: columns a1 < z1, the first halves of the class keys."""
     ratio = Fraction(str(threshold))
     top, bottom = ratio.numerator, ratio.denominator
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for frame in frames:
-            frame = pd.concat([rest, frame], ignore_index=True) if rest is not None else frame
-            path = frame["path"].to_numpy()
-            end = int(np.searchsorted(path, path[-1])) if len(path) else 0
-            whole, rest = frame.iloc[:end], frame.iloc[end:]
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = _columns(batch)
+            if rest:
+                rows = {k: np.concatenate([rest[k], x]) for k, x in rows.items()}
+            end = int(np.searchsorted(rows["path"], rows["path"][-1]))
+            rest = {k: x[end:] for k, x in rows.items()}
             if end:
-                path = path[:end]
-                yield from _pairs(whole, np.concatenate([[0], np.cumsum(path[1:] != path[:-1])]), top, bottom)
-        if rest is not None and len(rest) > 1:
-            yield from _pairs(rest.reset_index(drop=True), np.zeros(len(rest), dtype=np.int64), top, bottom)
+                yield from _pairs({k: x[:end] for k, x in rows.items()}, top, bottom)
+        if rest:
+            yield from _pairs(rest, top, bottom)
 
-    nodes = classes.select("c1", "c2", "n", "b0", "b1", F.explode("nodes").alias("node")).select("c1", "c2", "n", "b0", "b1", "node.path", "node.pos")
-    sorted_nodes = nodes.repartition("path").sortWithinPartitions("path", "n")
-    return sorted_nodes.mapInPandas(walk, "a1 long, a2 long, z1 long, z2 long").distinct()
+    in_order = _nodes(signed).repartition("path").sortWithinPartitions("path", "size", "c1")
+    return in_order.mapInArrow(walk, "a1 long, z1 long").distinct()
 
 
 def _similar(threshold: float, gram: int):
@@ -295,17 +392,14 @@ def similar_classes(
     """
     signed = cut(signatures(df, id_col, text_col, threshold, gram, limit))
     members = signed.select("rid", "c1", "c2").distinct()
-    classes = signed.dropDuplicates(["c1", "c2"]).where(F.size("nodes") > 0)
-    pairs = cut(candidates(classes, threshold))
-    ends = pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).union(pairs.select("z1", "z2")).distinct()
-    heads = signed.join(ends, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.min("rid").alias("rid"))
+    pairs = cut(candidates(signed, threshold))
+    ends = pairs.select(F.col("a1").alias("c1")).union(pairs.select("z1")).distinct()
+    heads = signed.select("rid", "c1", "c2").join(ends, "c1", "left_semi").groupBy("c1", "c2").agg(F.min("rid").alias("rid"))
     source = df.select(F.col(id_col).alias("rid"), F.col(text_col).cast("string").alias("body")).where("rid is not null and body is not null")
-    if gram == 1 and threshold > 0:
-        source = source.where(F.length("body") > 0)
-    texts = heads.join(source, "rid").groupBy("c1", "c2").agg(F.min("body").alias("body"))
+    texts = cut(heads.join(source, "rid").groupBy("c1", "c2").agg(F.min("body").alias("body")))
     left = texts.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("body").alias("left"))
     right = texts.select(F.col("c1").alias("z1"), F.col("c2").alias("z2"), F.col("body").alias("right"))
-    checked = pairs.join(left, ["a1", "a2"]).join(right, ["z1", "z2"])
+    checked = pairs.join(left, "a1").join(right, "z1")
     links = checked.where(_similar(threshold, gram)("left", "right")).select("a1", "a2", "z1", "z2")
     return members, links
 
