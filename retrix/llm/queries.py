@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from retrix.llm import similar, tokens
+from retrix.llm import digest, nearest, similar, split, tokens
 from retrix.sources.tables import table
 
 
@@ -20,6 +21,53 @@ def p1_links(spark: SparkSession, directory: str) -> DataFrame:
     return similar.similar_links(table(spark, directory, "chunks"), "id", "content")
 
 
+def _sized_items(spark: SparkSession, directory: str) -> DataFrame:
+    """Items with the sizes of their request; a request delivered again counts once."""
+    requests = table(spark, directory, "ingest_requests").where("request_id is not null").groupBy("request_id")
+    requests = requests.agg(F.min(F.struct("received_at", "chunk_size", "chunk_overlap")).alias("r")).select("request_id", "r.chunk_size", "r.chunk_overlap")
+    return table(spark, directory, "ingest_items").select("item_id", "request_id", "content").join(requests, "request_id", "left")
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Items that had to be cut: those with a second piece."""
+    pieces = split.split_oversized(_sized_items(spark, directory), "item_id", "content", "chunk_size", "chunk_overlap", with_text=False)
+    return pieces.where("piece_no = 2").select("item_id").distinct()
+
+
+def p3_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    """The pieces of every oversized item, in order; a repeated row gives its pieces once."""
+    items = _sized_items(spark, directory).groupBy("item_id").agg(F.min(F.struct("content", "chunk_size", "chunk_overlap")).alias("r")).select("item_id", "r.*")
+    return split.split_oversized(items, "item_id", "content", "chunk_size", "chunk_overlap")
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of entries of which one is among the five most similar of the other."""
+    return nearest.similar_pairs(table(spark, directory, "semantic_cache"), "id", "query_embedding")
+
+
+def p4_top(spark: SparkSession, directory: str) -> DataFrame:
+    """The five most similar entries, with their cosines, of every entry whose id is divisible by 100."""
+    return nearest.top_similar(table(spark, directory, "semantic_cache"), "id", "query_embedding").where("id % 100 = 0")
+
+
+_METRICS = ("total_latency", "estimated_cost")
+
+
+def _percentiles(spark: SparkSession, directory: str) -> DataFrame:
+    return digest.percentiles(table(spark, directory, "query_metrics"), "query_id", "model_used", "ts", _METRICS)
+
+
+def p7_percentiles(spark: SparkSession, directory: str) -> DataFrame:
+    """Median, 90th, 95th and 99th percentile per model and day, and per model, with certified rank errors."""
+    return _percentiles(spark, directory).withColumnRenamed("grp", "model_used")
+
+
+def p7_certified(spark: SparkSession, directory: str) -> DataFrame:
+    """Whether each percentile of the whole period keeps the promised bound."""
+    whole = _percentiles(spark, directory).where("day is null")
+    return whole.select(F.col("grp").alias("model_used"), "metric", "quantile", "n", "within_bound")
+
+
 def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return tokens.encode_corpus(table(spark, directory, "documents"), "doc_id", "text")
@@ -28,5 +76,11 @@ def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_links": p1_links,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_top": p4_top,
+    "p7_percentiles": p7_percentiles,
+    "p7_certified": p7_certified,
     "p8_ids": p8_ids,
 }
