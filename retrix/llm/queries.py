@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrix.llm import digest, nearest, similar, split, tokens
+from retrix.llm import codedocs, digest, nearest, similar, split, tokens
 from retrix.sources.tables import table
 
 
@@ -21,6 +21,21 @@ def p1_links(spark: SparkSession, directory: str) -> DataFrame:
     return similar.similar_links(table(spark, directory, "chunks"), "id", "content")
 
 
+def _documented(spark: SparkSession, directory: str) -> DataFrame:
+    items = table(spark, directory, "ingest_items").withColumn("named", F.col("metadata")["language"])
+    return codedocs.documented_functions(items, "item_id", "content", "source", "named")
+
+
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Places of functions and methods with real documentation."""
+    return _documented(spark, directory).select("item_id", "line_no").distinct()
+
+
+def p2_pairs(spark: SparkSession, directory: str) -> DataFrame:
+    """The pairs themselves: signature, docstring and type of every function with real documentation."""
+    return _documented(spark, directory)
+
+
 def _sized_items(spark: SparkSession, directory: str) -> DataFrame:
     """Items with the sizes of their request; a request delivered again counts once."""
     requests = table(spark, directory, "ingest_requests").where("request_id is not null").groupBy("request_id")
@@ -76,6 +91,8 @@ def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_links": p1_links,
+    "p2_found": p2_found,
+    "p2_pairs": p2_pairs,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
