@@ -6,7 +6,8 @@ gives an estimate for each code of a list, the best estimates are ranked again b
 double precision, and the answers of the lists are put together.
 
 The models are fitted on a bounded sample (SAMPLE rows, the least by a hash of the id); every vector is
-indexed and every vector asks. Lists longer than LIST_LIMIT are divided, so no task holds a whole hot list.
+indexed and every vector asks. Neighbouring lists form groups, so that a query is sent once to all the lists it asks in a group; groups of
+more than GROUP_LIMIT vectors are divided, by their entries and by those that ask, so no task holds a whole hot one.
 Equal vectors are indexed once with their smallest ids: a group of copies of any size stays small.
 """
 
@@ -28,8 +29,10 @@ MAX_LISTS = 4096
 SUBSPACES = 16
 CODEWORDS = 64
 PROBES = 12
-#: Vectors of a list that one task holds.
-LIST_LIMIT = 8192
+#: Neighbouring lists that lie in one cell, so that a query goes there once for all of them.
+LISTS_PER_GROUP = 40
+#: Vectors of a group of lists that one task holds.
+GROUP_LIMIT = 65_536
 #: Candidates of one list, besides k, whose exact cosine is computed.
 RERANK = 32
 DIGITS = 12
@@ -70,6 +73,7 @@ class Model:
 
     def __init__(self, sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codewords: int = CODEWORDS, seed: int = 7):
         self.centroids = _kmeans(sample, lists, 8, seed)
+        self.group_of = assign(self.centroids, _kmeans(self.centroids, -(-len(self.centroids) // LISTS_PER_GROUP), 10, seed))[0]
         residual = sample - self.centroids[assign(sample, self.centroids)[0]]
         self.parts = np.array_split(np.arange(sample.shape[1]), min(subspaces, sample.shape[1]))
         self.books = [_kmeans(np.ascontiguousarray(residual[:, p]), codewords, 6, seed + 1 + k) for k, p in enumerate(self.parts)]
@@ -131,7 +135,7 @@ def top_similar(
     probes: int = PROBES,
     rerank: int = RERANK,
     sample: int = SAMPLE,
-    list_limit: int = LIST_LIMIT,
+    group_limit: int = GROUP_LIMIT,
     lists: int | None = None,
 ) -> DataFrame:
     """The k most similar other vectors of every usable vector: ``id``, ``other``, ``cosine``, ``rank``.
@@ -174,17 +178,25 @@ def top_similar(
 
     placed = cut(entries.select("entry", "packed").mapInArrow(place, "list int, entry long, packed binary"))
     lengths = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # at most MAX_LISTS rows
-    grid = spark.sparkContext.broadcast({number: (-(-count // list_limit), -(-count * probes // (8 * list_limit))) for number, count in lengths.items()})
+    held_by_group: dict[int, int] = {}
+    for number, count in lengths.items():
+        group = int(model.value.group_of[number])
+        held_by_group[group] = held_by_group.get(group, 0) + count
+    grid = spark.sparkContext.broadcast({group: (-(-count // group_limit), -(-count // group_limit)) for group, count in held_by_group.items()})
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Entries (asks = 0) and queries (asks = 1) of every cell: a list's cells are its blocks of entries by its parts of queries."""
+        """Entries (``probed`` null, ``list`` their own) and queries (``probed``: lists to ask) of every cell.
+
+        A group's cells are its blocks of entries by its parts of queries.
+        """
         own, cells = model.value, grid.value
-        block_count, part_count = (np.array([cells.get(x, (0, 0))[c] for x in range(len(own.centroids))]) for c in (0, 1))
-        names = ["list", "cell", "asks", "entry", "packed"]
+        groups = int(own.group_of.max()) + 1
+        block_count, part_count = (np.array([cells.get(x, (0, 0))[c] for x in range(groups)]) for c in (0, 1))
+        names = ["group", "cell", "list", "entry", "packed", "probed"]
 
-        def rows(batch, row, number, cell, asks):
-            columns = [pa.array(number.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(np.full(len(row), asks, np.int8))]
-            return pa.RecordBatch.from_arrays([*columns, batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row))], names=names)
+        def rows(batch, row, group, cell, lists, probed):
+            columns = [pa.array(group.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(lists.astype(np.int32))]
+            return pa.RecordBatch.from_arrays([*columns, batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row)), probed], names=names)
 
         def each(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             row = np.repeat(np.arange(len(times)), times)
@@ -194,61 +206,96 @@ def top_similar(
             if not batch.num_rows:
                 continue
             lists, share = batch.column(0).to_numpy(), batch.column(1).to_numpy() * 2654435761 % (1 << 31)
-            row, part = each(part_count[lists])
-            number = lists[row]
-            yield rows(batch, row, number, share[row] % block_count[number] * part_count[number] + part, 0)
+            home = own.group_of[lists]
+            row, part = each(part_count[home])
+            group = home[row]
+            yield rows(batch, row, group, share[row] % block_count[group] * part_count[group] + part, lists[row], pa.nulls(len(row), pa.binary()))
             near = own.probes(_unit(_matrix(batch.column(2), dimension)).astype(np.float32), probes)
             asked, number = np.repeat(np.arange(len(lists)), near.shape[1]), near.reshape(-1)
-            row, block = each(block_count[number])
-            asked, number = asked[row], number[row]
-            yield rows(batch, asked, number, block * part_count[number] + share[asked] % np.maximum(part_count[number], 1), 1)
+            group = own.group_of[number]
+            order = np.lexsort((number, group, asked))
+            asked, number, group = asked[order], number[order], group[order]
+            first = np.flatnonzero(np.append(True, (asked[1:] != asked[:-1]) | (group[1:] != group[:-1])))
+            last = np.append(first[1:], len(asked))
+            packed_lists = pa.array([number[s:e].astype("<i2").tobytes() for s, e in zip(first, last)], type=pa.binary())
+            asked, group = asked[first], group[first]
+            row, block = each(block_count[group])
+            asked, group = asked[row], group[row]
+            yield rows(batch, asked, group, block * part_count[group] + share[asked] % np.maximum(part_count[group], 1), np.full(len(row), -1), packed_lists.take(pa.array(row)))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by list and cell, the indexed before those that ask."""
-        own, at, held, ids, codes = model.value, None, None, None, None
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def index() -> None:
-            nonlocal held, ids, codes
-            ids = np.concatenate([x for x, _ in waiting])
-            raw = np.concatenate([x for _, x in waiting])
-            held = _unit(raw)
-            codes = own.encode(held.astype(np.float32), np.full(len(ids), at[0]))
+        """Rows come by cell, the entries before those that ask."""
+        own, at, index = model.value, None, None
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def build() -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            lists, ids, raw = (np.concatenate([x[c] for x in waiting]) for c in range(3))
             waiting.clear()
+            order = np.argsort(lists, kind="stable")
+            lists, ids, unit = lists[order], ids[order], _unit(raw[order])
+            codes = own.encode(unit.astype(np.float32), lists)
+            starts = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
+            return {int(lists[s]): (ids[s:e], unit[s:e], codes[s:e]) for s, e in zip(starts, np.append(starts[1:], len(lists)))}
+
+        def ask(entry: np.ndarray, raw: np.ndarray, probed: list[bytes]) -> pa.RecordBatch | None:
+            unit = _unit(raw)
+            narrow = unit.astype(np.float32)
+            lists = np.frombuffer(b"".join(probed), dtype="<i2")
+            asking = np.repeat(np.arange(len(entry)), [len(x) // 2 for x in probed])
+            order = np.argsort(lists, kind="stable")
+            lists, asking = lists[order], asking[order]
+            starts = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
+            owners, others, scores = [], [], []
+            for s, e in zip(starts, np.append(starts[1:], len(lists))):
+                held = index.get(int(lists[s]))
+                if held is None:
+                    continue
+                ids, vectors, codes = held
+                who = asking[s:e]
+                if len(ids) > keep + rerank:
+                    near = np.argpartition(own.estimate(narrow[who], int(lists[s]), codes), keep + rerank - 1, axis=1)[:, : keep + rerank]
+                else:
+                    near = np.broadcast_to(np.arange(len(ids)), (len(who), len(ids)))
+                exact = np.round(np.matmul(vectors[near], unit[who][:, :, None])[:, :, 0], DIGITS)
+                best = exact if exact.shape[1] <= keep else np.partition(exact, exact.shape[1] - keep, axis=1)[:, -keep:]
+                good = exact >= best.min(axis=1, keepdims=True)  # ties included
+                owners.append(np.broadcast_to(who[:, None], near.shape)[good])
+                others.append(ids[near[good]])
+                scores.append(exact[good])
+            if not owners:
+                return None
+            owner, other, score = (np.concatenate(x) for x in (owners, others, scores))
+            best = _best(score, owner, other, keep)
+            return pa.RecordBatch.from_arrays([pa.array(entry[owner[best]]), pa.array(other[best]), pa.array(score[best])], names=["entry", "other", "cosine"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists, block, asks, entry = (batch.column(c).to_numpy() for c in range(4))
+            group, cell, lists, entry = (batch.column(c).to_numpy() for c in range(4))
             raw = _matrix(batch.column(4), dimension)
-            change = np.flatnonzero((lists[1:] != lists[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
-            for low, high in zip(np.append(0, change), np.append(change, len(lists))):
-                place = (int(lists[low]), int(block[low]))
+            asks = lists < 0
+            change = np.flatnonzero((group[1:] != group[:-1]) | (cell[1:] != cell[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for low, high in zip(np.append(0, change), np.append(change, len(group))):
+                place = (int(group[low]), int(cell[low]))
                 if place != at:
-                    at, held = place, None
+                    at, index = place, None
                     waiting.clear()
                 if not asks[low]:
-                    waiting.append((entry[low:high], raw[low:high]))
+                    waiting.append((lists[low:high].astype(np.int64), entry[low:high], raw[low:high]))
                     continue
                 if waiting:
-                    index()
-                if held is None:
+                    index = build()
+                if index is None:
                     continue
-                for start in range(low, high, 1024):
-                    stop = min(high, start + 1024)
-                    unit = _unit(raw[start:stop])
-                    if len(ids) > keep + rerank:
-                        near = np.argpartition(own.estimate(unit.astype(np.float32), at[0], codes), keep + rerank - 1, axis=1)[:, : keep + rerank]
-                    else:
-                        near = np.tile(np.arange(len(ids)), (stop - start, 1))
-                    exact = np.round(np.matmul(held[near], unit[:, :, None])[:, :, 0], DIGITS)
-                    owner = np.repeat(np.arange(start, stop), near.shape[1])
-                    other, score = ids[near.reshape(-1)], exact.reshape(-1)
-                    best = _best(score, owner, other, keep)
-                    yield pa.RecordBatch.from_arrays([pa.array(entry[owner[best]]), pa.array(other[best]), pa.array(score[best])], names=["entry", "other", "cosine"])
-
-    spread_rows = placed.mapInArrow(spread, "list int, cell int, asks byte, entry long, packed binary")
-    answers = spread_rows.repartition("list", "cell").sortWithinPartitions("list", "cell", "asks").mapInArrow(answer, "entry long, other long, cosine double")
+                for start in range(low, high, 4096):
+                    stop = min(high, start + 4096)
+                    found = ask(entry[start:stop], raw[start:stop], batch.column(5).slice(start, stop - start).to_pylist())
+                    if found is not None:
+                        yield found
+
+    spread_rows = placed.mapInArrow(spread, "group int, cell int, list int, entry long, packed binary, probed binary")
+    in_cells = spread_rows.repartition("group", "cell").sortWithinPartitions("group", "cell", F.desc("list"))
+    answers = in_cells.mapInArrow(answer, "entry long, other long, cosine double")
 
     def choose(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by entry; the k + 1 best of each."""
