@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrix.llm import codedocs, digest, nearest, similar, split, tokens
+from retrix.llm import codedocs, digest, nearest, secrets, similar, split, tokens
 from retrix.sources.tables import table
 
 
@@ -65,6 +65,20 @@ def p4_top(spark: SparkSession, directory: str) -> DataFrame:
     return nearest.top_similar(table(spark, directory, "semantic_cache"), "id", "query_embedding").where("id % 100 = 0")
 
 
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Lines of items and chunks where a literal credential begins."""
+    items = secrets.scan(table(spark, directory, "ingest_items"), "item_id", "content", "ingest_items")
+    chunks = secrets.scan(table(spark, directory, "chunks"), "id", "content", "chunks")
+    return items.union(chunks).select("tbl", "rec_id", "line_no").distinct()
+
+
+def p6_masked(spark: SparkSession, directory: str) -> DataFrame:
+    """The texts that hold credentials, with only these masked."""
+    items = secrets.scan(table(spark, directory, "ingest_items"), "item_id", "content", "ingest_items", with_text=True)
+    chunks = secrets.scan(table(spark, directory, "chunks"), "id", "content", "chunks", with_text=True)
+    return items.union(chunks).groupBy("tbl", "rec_id").agg(F.sort_array(F.collect_set("line_no")).alias("lines"), F.min("masked").alias("masked"))
+
+
 _METRICS = ("total_latency", "estimated_cost")
 
 
@@ -97,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_top": p4_top,
+    "p6_found": p6_found,
+    "p6_masked": p6_masked,
     "p7_percentiles": p7_percentiles,
     "p7_certified": p7_certified,
     "p8_ids": p8_ids,
