@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrix.llm import codedocs, digest, nearest, secrets, similar, split, tokens
+from retrix.llm import codedocs, defects, digest, nearest, secrets, similar, split, tokens
 from retrix.sources.tables import table
 
 
@@ -65,6 +65,11 @@ def p4_top(spark: SparkSession, directory: str) -> DataFrame:
     return nearest.top_similar(table(spark, directory, "semantic_cache"), "id", "query_embedding").where("id % 100 = 0")
 
 
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Cache entries whose answer doesn't serve the query, with the type of defect."""
+    return defects.find_defects(table(spark, directory, "semantic_cache"), "id", "query_text", "response_data")
+
+
 def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     """Lines of items and chunks where a literal credential begins."""
     items = secrets.scan(table(spark, directory, "ingest_items"), "item_id", "content", "ingest_items")
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_top": p4_top,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_masked": p6_masked,
     "p7_percentiles": p7_percentiles,
