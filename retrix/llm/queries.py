@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrix.llm import codedocs, defects, digest, nearest, secrets, similar, split, tokens
+from retrix.llm import codedocs, defects, digest, nearest, residue, secrets, similar, split, tokens
 from retrix.sources.tables import table
 
 
@@ -107,6 +107,21 @@ def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, directory, "documents"), "doc_id", "text")
 
 
+def _residue(spark: SparkSession, directory: str) -> DataFrame:
+    return residue.find_residue(table(spark, directory, "documents"), "doc_id", "text", "file_path")
+
+
+def p10_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents that hold residue in place of content."""
+    return _residue(spark, directory).select("doc_id").distinct()
+
+
+def p10_kept(spark: SparkSession, directory: str) -> DataFrame:
+    """The documents that remain."""
+    documents = table(spark, directory, "documents").select("doc_id", "lang", "source")
+    return documents.join(_residue(spark, directory).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_links": p1_links,
@@ -122,4 +137,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_percentiles": p7_percentiles,
     "p7_certified": p7_certified,
     "p8_ids": p8_ids,
+    "p10_found": p10_found,
+    "p10_kept": p10_kept,
 }
