@@ -23,4 +23,21 @@ ORACLE: dict[str, str] = {
         WHERE v IS NOT NULL AND NOT isnan(v) AND v >= 0
         GROUP BY model_used, metric, q.quantile
     """,
+    "p9_assigned": """
+        SELECT doc_id, true AS fits FROM documents WHERE text IS NOT NULL AND text <> ''
+    """,
+    "p4_found": """
+        WITH once AS (
+            SELECT id, min(query_embedding)::DOUBLE[] AS v FROM semantic_cache
+            WHERE id IS NOT NULL AND len(query_embedding) = 64 AND NOT list_bool_or([isnan(x) OR isinf(x) FOR x IN query_embedding])
+              AND list_bool_or([x <> 0 FOR x IN query_embedding])
+            GROUP BY id
+        ), scored AS (
+            SELECT a.id AS asker, b.id AS other, round(list_cosine_similarity(a.v, b.v), 12) AS cosine
+            FROM once a JOIN once b ON a.id <> b.id
+        ), ranked AS (
+            SELECT asker, other, row_number() OVER (PARTITION BY asker ORDER BY cosine DESC, other) AS place FROM scored
+        )
+        SELECT DISTINCT least(asker, other) AS id_a, greatest(asker, other) AS id_b FROM ranked WHERE place <= 5
+    """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrix.llm import codedocs, defects, digest, nearest, residue, secrets, similar, split, tokens
+from retrix.llm import codedocs, defects, digest, nearest, packing, residue, secrets, similar, split, tokens
 from retrix.sources.tables import table
 
 
@@ -107,6 +107,26 @@ def p8_ids(spark: SparkSession, directory: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, directory, "documents"), "doc_id", "text")
 
 
+def _packed(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.fill_containers(table(spark, directory, "documents"), "doc_id", "text")
+
+
+def p9_packed(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document with a text in containers of 2,048 tokens of byte_bpe_50k."""
+    return _packed(spark, directory)
+
+
+def p9_assigned(spark: SparkSession, directory: str) -> DataFrame:
+    """The documents that are assigned, and whether all their containers keep the capacity."""
+    return _packed(spark, directory).groupBy("doc_id").agg((F.max("used") <= packing.CAPACITY).alias("fits"))
+
+
+def p9_usage(spark: SparkSession, directory: str) -> DataFrame:
+    """Containers, and the tokens they hold, over all documents."""
+    by_container = _packed(spark, directory).groupBy("container").agg(F.sum("n_tokens").alias("tokens"))
+    return by_container.agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / F.count(F.lit(1)) / packing.CAPACITY).alias("filled"))
+
+
 def _residue(spark: SparkSession, directory: str) -> DataFrame:
     return residue.find_residue(table(spark, directory, "documents"), "doc_id", "text", "file_path")
 
@@ -137,6 +157,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_percentiles": p7_percentiles,
     "p7_certified": p7_certified,
     "p8_ids": p8_ids,
+    "p9_packed": p9_packed,
+    "p9_assigned": p9_assigned,
+    "p9_usage": p9_usage,
     "p10_found": p10_found,
     "p10_kept": p10_kept,
 }
