@@ -1,10 +1,19 @@
-"""The catalogue of the library's own queries and the SQL that checks them."""
+"""All queries of the library, apart from those of the training-data subpackage."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from retrix.plans import (  # noqa: F401  each module registers its queries
+    analysis_queries,
+    cache_queries,
+    catalog_queries,
+    chunk_queries,
+    dense_queries,
+    graph_queries,
+    memory_queries,
+    monitor_queries,
+    text_queries,
+    tree_queries,
+)
+from retrix.plans.registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
