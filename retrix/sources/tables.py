@@ -12,8 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+_PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def _let_workers_import(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver has it; a cluster that ships it is not disturbed."""
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _PACKAGE_ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, _PACKAGE_ROOT])
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``directory``."""
+    _let_workers_import(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
