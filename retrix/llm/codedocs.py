@@ -309,7 +309,7 @@ def pairs(text: str, language: str) -> list[Pair]:
             if bisect_left(others, end) != bisect_left(others, head) or not _ANNOTATION[language].fullmatch(code, end, head):
                 continue
             found[d.name_at] = (d, plain(text[start:end], language))
-    classes = [(m.start(), len(m.group(1))) for m in re.finditer(r"^([ \t]*)(?:\w+\s+)*class\s", code, re.M)]
+    classes = [(m.start(), len(m.group(1))) for m in re.finditer(r"^([ \t]*)(?:\w+[ \t]+)*class\s", code, re.M)]
     out = []
     lines = [m.start() for m in re.finditer("\n", text)]
     for place, (d, documentation) in sorted(found.items()):

@@ -150,7 +150,8 @@ def element_counts(df: DataFrame, text_col: str, gram: int = 1, bits: int = COUN
 def _paths(
     found: np.ndarray, rows: np.ndarray, sizes: np.ndarray, counts: np.ndarray, need: np.ndarray, limit: int, sets: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, path and position of the path's last element, of all paths under which the rows' sets are stored.
+    """Row, path and position of the path's last element, without those of the path before it, of all paths under
+    which the rows' sets are stored.
 
     found, rows, counts: elements in global order within each row; need: least overlap by row.
     """
@@ -162,7 +163,8 @@ def _paths(
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for depth in range(1, MAX_DEPTH + 1):
         hot = estimate > limit if depth < MAX_DEPTH else np.zeros(len(at), dtype=bool)
-        out.append((row[~hot], path[~hot], position[at[~hot]]))
+        # the elements of the path before the last one are common too: only those beyond them count for the bound
+        out.append((row[~hot], path[~hot], position[at[~hot]] - (depth - 1)))
         at, row, path, estimate = at[hot], row[hot], path[hot], estimate[hot]
         if not len(at):
             break
