@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retrix.functions import text as X
 from retrix.operators.search import ranked
+from retrix.sources.tables import cut
 
 K1, B, EPSILON = 1.2, 0.75, 0.25
 
@@ -17,32 +20,50 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_size(docs: DataFrame, text_col: str) -> DataFrame:
-    """``n`` texts that are not null, and their mean length in terms, ``avgdl``."""
-    sizes = docs.where(F.col(text_col).isNotNull()).select(F.size(X.tokens(F.col(text_col))).alias("dl"))
-    return sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+@dataclass(frozen=True)
+class Lexicon:
+    """A fitted corpus: its postings, the idf of its terms, its number of texts and their mean length in terms."""
+
+    posted: DataFrame
+    terms: DataFrame
+    n: int
+    avgdl: float
+
 
+def fit(docs: DataFrame, id_col: str, text_col: str) -> Lexicon:
+    """Postings and idf = max(0.25, ln((n - df + 0.5) / (df + 0.5))) of all texts that are not null.
 
-def idf(posted: DataFrame, size: DataFrame) -> DataFrame:
-    """``term``, ``df`` and ``idf`` = max(0.25, ln((n - df + 0.5) / (df + 0.5)))."""
+    The texts are read into terms once; what follows reads the written postings.
+    """
+    posted = cut(postings(docs, id_col, text_col))
+    n = docs.where(F.col(text_col).isNotNull()).count()
+    total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).first()["t"]  # one row
     counted = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = size.select("n").first()["n"]  # one row
-    value = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return counted.withColumn("idf", F.greatest(F.lit(EPSILON), value))
+    value = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return Lexicon(posted, counted.withColumn("idf", F.greatest(F.lit(EPSILON), value)), n, total / n if n else 0.0)
 
 
-def weights(posted: DataFrame, lexicon: DataFrame, size: DataFrame) -> DataFrame:
+def weights(lexicon: Lexicon) -> DataFrame:
     """BM25 weight of each posting: ``doc_id``, ``term``, ``weight``."""
-    avgdl = size.select("avgdl").first()["avgdl"] or 1.0  # one row
-    lengths = posted.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    joined = posted.join(lengths, "doc_id").join(lexicon.select("term", "idf"), "term")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl)))
+    lengths = lexicon.posted.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    joined = lexicon.posted.join(lengths, "doc_id").join(lexicon.terms.select("term", "idf"), "term")
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(lexicon.avgdl or 1.0))
     return joined.select("doc_id", "term", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("weight"))
 
 
-def search(weighted: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int) -> DataFrame:
+def asked_terms(queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
+    """Terms of the queries with the times they have them."""
+    return queries.select(F.col(query_id).alias("query_id"), F.explode(X.tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+
+
+def search(lexicon: Lexicon, queries: DataFrame, query_id: str, query_text: str, k: int) -> DataFrame:
     """The k best texts of each query: ``query_id``, ``doc_id``, ``score``, ``rank``. A term counts as often as the
     query has it; terms that no text has count nothing."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(X.tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+    asked = asked_terms(queries, query_id, query_text)
+    wanted = lexicon.posted.join(asked.select("term").distinct(), "term", "left_semi")  # only postings of terms that are asked for
+    lengths = lexicon.posted.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(lexicon.avgdl or 1.0))
+    terms = lexicon.terms.join(asked.select("term").distinct(), "term", "left_semi").select("term", "idf")
+    weighted = wanted.join(lengths, "doc_id").join(terms, "term").select("doc_id", "term", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("weight"))
     scored = asked.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qf") * F.col("weight")), 9).alias("score"))
     return ranked(scored, ["query_id"], "score", "doc_id", k)

@@ -22,27 +22,27 @@ def _metrics(spark: SparkSession, directory: str) -> DataFrame:
 @query(
     ONCE
     + f""", r AS (SELECT *, {_LATENCY} AS l FROM m ORDER BY ts DESC, query_id DESC LIMIT 1000)
-    SELECT count(*) AS queries, round(avg(l), 6) AS mean_latency, round(quantile_cont(l, 0.5), 6) AS p50, round(quantile_cont(l, 0.95), 6) AS p95, round(quantile_cont(l, 0.99), 6) AS p99,
+    SELECT count(*) AS queries, round(avg(l), 6) AS mean_latency, round(quantile_cont(l, 0.5), 9) AS p50, round(quantile_cont(l, 0.95), 9) AS p95, round(quantile_cont(l, 0.99), 9) AS p99,
            round(avg(cache_hit::INT), 6) AS hit_rate FROM r"""
 )
 def monitor_summary(spark: SparkSession, directory: str) -> DataFrame:
     """Means, percentiles and hit rate of the latest thousand queries."""
     value = M.valid(F.col("total_latency"))
     last = M.recent(_metrics(spark, directory), 1000)
-    parts = [F.round(F.percentile(value, q), 6).alias(name) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+    parts = [F.round(F.percentile(value, q), 9).alias(name) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
     return last.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg(value), 6).alias("mean_latency"), *parts, F.round(F.avg(F.col("cache_hit").cast("int")), 6).alias("hit_rate"))
 
 
 @query(
     ONCE
     + """, long AS (UNPIVOT (SELECT embedding_latency, retrieval_latency, reranking_latency, generation_latency FROM m) ON COLUMNS(*) INTO NAME component VALUE v)
-    SELECT component, count(*) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.95), 6) AS p95 FROM long WHERE NOT isnan(v) AND v >= 0 GROUP BY component"""
+    SELECT component, count(*) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.95), 9) AS p95 FROM long WHERE NOT isnan(v) AND v >= 0 GROUP BY component"""
 )
 def component_latency(spark: SparkSession, directory: str) -> DataFrame:
     """Mean and 95th percentile of every component's latency."""
     rows = _metrics(spark, directory).select(F.explode(F.array(*(F.struct(F.lit(c).alias("component"), F.col(c).alias("v")) for c in M.COMPONENTS))).alias("x")).select("x.*")
     rows = rows.where(~F.isnan("v") & (F.col("v") >= 0))
-    return rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.percentile("v", 0.95), 6).alias("p95"))
+    return rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.percentile("v", 0.95), 9).alias("p95"))
 
 
 @query(ONCE + f"SELECT routing_strategy, count(*) AS n, round(avg({_LATENCY}), 6) AS mean_latency, round(avg((relevance_score > 0.7)::INT), 6) AS success FROM m GROUP BY routing_strategy HAVING count(*) >= 100")

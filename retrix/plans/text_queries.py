@@ -40,37 +40,32 @@ def asked_queries(spark: SparkSession, directory: str) -> DataFrame:
     return cache.groupBy(F.col("id").alias("query_id")).agg(F.first("query_text").alias("q"))
 
 
-def _index(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = table(spark, directory, "documents")
-    posted, size = sparse.postings(docs, "doc_id", "text"), sparse.corpus_size(docs, "text")
-    return posted, sparse.idf(posted, size), size
+def _index(spark: SparkSession, directory: str) -> sparse.Lexicon:
+    return sparse.fit(table(spark, directory, "documents"), "doc_id", "text")
 
 
 @query(_POSTINGS + "SELECT term, df, round(idf, 9) AS idf FROM lex")
 def bm25_idf(spark: SparkSession, directory: str) -> DataFrame:
     """Document frequency and idf of every term."""
-    _, lexicon, _ = _index(spark, directory)
-    return lexicon.select("term", "df", F.round("idf", 9).alias("idf"))
+    return _index(spark, directory).terms.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 @query(_POSTINGS + "SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM lex) AS terms FROM size")
 def bm25_stats(spark: SparkSession, directory: str) -> DataFrame:
     """Size of the corpus, mean length, vocabulary."""
-    docs = table(spark, directory, "documents")
-    size = sparse.corpus_size(docs, "text").select("n", F.round("avgdl", 6).alias("avgdl"), F.lit(1).alias("one"))
-    terms = sparse.postings(docs, "doc_id", "text").agg(F.countDistinct("term").alias("terms"), F.lit(1).alias("one"))
-    return size.join(terms, "one").drop("one")
+    lexicon = _index(spark, directory)
+    return lexicon.terms.agg(F.lit(lexicon.n).cast("long").alias("n"), F.lit(round(lexicon.avgdl, 6)).alias("avgdl"), F.count(F.lit(1)).alias("terms"))
 
 
 @query(_WEIGHTS + "SELECT doc_id, count(*) AS terms, round(sum(weight), 6) AS weight FROM w GROUP BY doc_id")
 def bm25_weights(spark: SparkSession, directory: str) -> DataFrame:
     """BM25 encoding of every text, summed up per text."""
-    weighted = sparse.weights(*_index(spark, directory))
+    weighted = sparse.weights(_index(spark, directory))
     return weighted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 def _sparse(spark: SparkSession, directory: str, k: int = 50) -> DataFrame:
-    return sparse.search(sparse.weights(*_index(spark, directory)), asked_queries(spark, directory), "query_id", "q", k)
+    return sparse.search(_index(spark, directory), asked_queries(spark, directory), "query_id", "q", k)
 
 
 @query(_SPARSE + "SELECT query_id, doc_id, score, rank FROM sp")
