@@ -39,7 +39,7 @@ def top_cosine(rows: DataFrame, id_col: str, vector_col: str, queries: DataFrame
 
 def _block(rows: DataFrame, id_col: str, vector_col: str, block: list, k: int) -> DataFrame:
     ids = np.array([i for i, _ in block], dtype=np.int64)
-    matrix = np.array([v for _, v in block], dtype=np.float64).reshape(len(block), -1)
+    matrix = np.array([v for _, v in block], dtype=np.float64).reshape(len(block), len(block[0][1]) if block else 0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.sqrt((matrix**2).sum(axis=1))
@@ -77,7 +77,7 @@ def best_product(rows: DataFrame, group_col: str, vector_col: str, queries: Data
     out = None
     for at in range(0, max(len(asked), 1), BLOCK):
         block = asked[at : at + BLOCK]
-        ids, matrix = np.array([i for i, _ in block], dtype=np.int64), np.array([v for _, v in block], dtype=np.float64).reshape(len(block), -1)
+        ids, matrix = np.array([i for i, _ in block], dtype=np.int64), np.array([v for _, v in block], dtype=np.float64).reshape(len(block), len(block[0][1]) if block else 0)
 
         def score(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
             for batch in batches:

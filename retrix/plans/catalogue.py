@@ -8,6 +8,7 @@ from retrix.plans import (  # noqa: F401  each module registers its queries
     catalog_queries,
     chunk_queries,
     dense_queries,
+    engine_queries,
     graph_queries,
     memory_queries,
     monitor_queries,
