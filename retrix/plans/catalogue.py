@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from retrix.plans import (  # noqa: F401  each module registers its queries
     analysis_queries,
+    answer_queries,
     cache_queries,
     catalog_queries,
     chunk_queries,
+    code_queries,
     dense_queries,
     engine_queries,
     graph_queries,
