@@ -67,3 +67,27 @@ def search(lexicon: Lexicon, queries: DataFrame, query_id: str, query_text: str,
     weighted = wanted.join(lengths, "doc_id").join(terms, "term").select("doc_id", "term", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("weight"))
     scored = asked.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qf") * F.col("weight")), 9).alias("score"))
     return ranked(scored, ["query_id"], "score", "doc_id", k)
+
+
+def with_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Terms and pairs of neighbouring terms of every text: ``doc_id``, ``term``, ``tf``."""
+    t = X.tokens(F.col(text_col))
+    pairs = F.when(F.size("t") > 1, F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(1))), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), t.alias("t")).select("doc_id", F.explode(F.concat("t", pairs)).alias("term"))
+    return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def key_terms(docs: DataFrame, id_col: str, text_col: str, top: int = 20, min_df: int = 2, max_share: float = 0.95) -> DataFrame:
+    """The ``top`` terms and pairs of each text by TF-IDF, with idf = ln((1 + n) / (1 + df)) + 1; terms of fewer than
+    ``min_df`` texts or of more than ``max_share`` of them don't count."""
+    posted = cut(with_pairs(docs, id_col, text_col))
+    n = docs.where(F.col(text_col).isNotNull()).count()
+    counted = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_share * n))
+    scored = posted.join(counted, "term").select("doc_id", "term", F.round(F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1), 9).alias("score"))
+    return ranked(scored, ["doc_id"], "score", "term", top)
+
+
+def boosted(weighted: DataFrame, keys: DataFrame, factor: float = 1.5) -> DataFrame:
+    """BM25 weights, raised where the term is among its text's key terms."""
+    marked = keys.select("doc_id", "term", F.lit(factor).alias("f"))
+    return weighted.join(marked, ["doc_id", "term"], "left").select("doc_id", "term", (F.col("weight") * F.coalesce("f", F.lit(1.0))).alias("weight"))

@@ -58,3 +58,24 @@ def collapsed_search(tree: DataFrame, vector: list[float], k: int = 20, max_toke
 
 def centers_of(frame: DataFrame) -> DataFrame:
     return frame.select(vector_to_array("features").alias("vector"))
+
+
+def mixture(points: DataFrame, most: int = 8, dimensions: int = 8, seed: int = SEED) -> DataFrame:
+    """``id``, ``cluster`` and ``k`` by a mixture of normal distributions over reduced vectors; the number of clusters
+    is the one with the least Bayes criterion."""
+    from math import log
+
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import PCA
+
+    ready = cut(points.select("id", F.transform("vector", lambda x: x.cast("double")).alias("v"))).select("id", array_to_vector("v").alias("wide"))
+    reduced = PCA(k=dimensions, inputCol="wide", outputCol="features").fit(ready).transform(ready).select("id", "features")
+    n = reduced.count()
+    best = None
+    for k in range(2, max(2, min(most, n // 2)) + 1):
+        model = GaussianMixture(k=k, seed=seed, maxIter=20).fit(reduced)
+        free = k * (dimensions + dimensions * (dimensions + 1) / 2) + k - 1
+        criterion = free * log(n) - 2 * model.summary.logLikelihood
+        if best is None or criterion < best[0]:
+            best = (criterion, k, model)
+    return best[2].transform(reduced).select("id", F.col("prediction").alias("cluster"), F.lit(best[1]).alias("k"))

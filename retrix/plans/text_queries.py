@@ -350,3 +350,38 @@ def consolidate_strategies(spark: SparkSession, directory: str) -> DataFrame:
     once = latest(table(spark, directory, "chunks").select("id", "content", "language", "created_at"), ["id"], F.asc_nulls_first("created_at")).where("content IS NOT NULL")
     both = once.where("language IN ('python', 'java')").select("content", F.lit("a_code").alias("s")).unionByName(once.select("content", F.lit("b_all").alias("s")))
     return both.groupBy("content").agg(F.min("s").alias("source_strategy")).groupBy("source_strategy").agg(F.count(F.lit(1)).alias("docs"))
+
+
+_TOKENS = TOKENS_SQL.format("text")
+_PAIRS = f"list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))"
+_KEYS = f"""
+    WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, unnest({_PAIRS}) AS term FROM d),
+    p AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY ALL), n AS (SELECT count(*) AS n FROM d),
+    f AS (SELECT term, count(*) AS df FROM p GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT n FROM n)),
+    s AS (SELECT doc_id, term, round(tf * (ln((1.0::DOUBLE + n) / (1 + df)) + 1), 9) AS score FROM p JOIN f USING (term), n),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 20)
+"""
+
+
+@query(_KEYS + "SELECT doc_id, term, score, rank FROM k")
+def key_terms(spark: SparkSession, directory: str) -> DataFrame:
+    """The twenty terms and pairs of terms that tell most about every text."""
+    return sparse.key_terms(table(spark, directory, "documents"), "doc_id", "text")
+
+
+@query()
+def bm25_boosted(spark: SparkSession, directory: str) -> DataFrame:
+    """BM25 weights raised for key terms, summed up per text."""
+    docs = table(spark, directory, "documents")
+    raised = sparse.boosted(sparse.weights(sparse.fit(docs, "doc_id", "text")), sparse.key_terms(docs, "doc_id", "text"))
+    return raised.groupBy("doc_id").agg(F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query()
+def content_labels(spark: SparkSession, directory: str) -> DataFrame:
+    """Label of every text by the default classifier, and the entities the default tagger finds."""
+    from retrix.operators import models
+
+    docs = table(spark, directory, "documents").where("text IS NOT NULL")
+    rows = docs.select("doc_id", models.content_label(F.col("text")).alias("c"), models.tagged(F.col("text")).alias("e"))
+    return rows.select("doc_id", "c.label", F.round("c.confidence", 6).alias("confidence"), F.size("e").alias("entities"))

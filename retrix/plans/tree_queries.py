@@ -22,6 +22,13 @@ def tree_levels(spark: SparkSession, directory: str) -> DataFrame:
     return T.summary(_tree(spark, directory))
 
 
+@query()
+def tree_mixture(spark: SparkSession, directory: str) -> DataFrame:
+    """Clusters of the vectors by a mixture of normal distributions, as many as the Bayes criterion prefers."""
+    points = table(spark, directory, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return T.mixture(points, most=5).groupBy("k", "cluster").agg(F.count(F.lit(1)).alias("members"))
+
+
 @query()
 def tree_search(spark: SparkSession, directory: str) -> DataFrame:
     """Nodes of all levels for one vector, within a budget of tokens."""
