@@ -37,3 +37,19 @@ def trailing_mean(df: DataFrame, value: Column, by: Sequence[str], order: Sequen
     """Mean of this and the ``rows`` - 1 rows before it (all of them where ``rows`` is None) within the group."""
     start = Window.unboundedPreceding if rows is None else -(rows - 1)
     return F.avg(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(start, 0))
+
+
+def running_mean(df: DataFrame, value: Column, by: str, order: Sequence[str], name: str, day: str = "day") -> DataFrame:
+    """``df`` with the mean of all rows of the group up to each row, in order of ``day`` and ``order``.
+
+    Totals of the days before are added to a window within the day, so that no task holds a whole hot group.
+    """
+    rows = df.withColumn("__v", value)
+    within = Window.partitionBy(by, day).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__s", F.coalesce(F.sum("__v").over(within), F.lit(0.0))).withColumn("__n", F.count("__v").over(within))
+    days = df.withColumn("__v", value).groupBy(F.col(by).alias("__by"), F.col(day).alias("__day")).agg(F.sum("__v").alias("ds"), F.count("__v").alias("dn"))
+    before = Window.partitionBy("__by").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("__by", "__day", F.coalesce(F.sum("ds").over(before), F.lit(0.0)).alias("__ps"), F.coalesce(F.sum("dn").over(before), F.lit(0)).alias("__pn"))
+    joined = rows.join(days, F.col(by).eqNullSafe(F.col("__by")) & F.col(day).eqNullSafe(F.col("__day")))
+    total = F.col("__n") + F.col("__pn")
+    return joined.withColumn(name, F.when(total > 0, (F.col("__s") + F.col("__ps")) / total)).select(*df.columns, name)

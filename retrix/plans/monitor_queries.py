@@ -108,8 +108,9 @@ def adaptive_strategy(spark: SparkSession, directory: str) -> DataFrame:
 @query(ONCE + f"SELECT query_id, round(avg({_LATENCY}) OVER (PARTITION BY model_used ORDER BY ts, query_id ROWS UNBOUNDED PRECEDING) + 1e-10, 6) AS running FROM m")
 def running_mean(spark: SparkSession, directory: str) -> DataFrame:
     """Running mean of the latency by model (the small addend settles ties of rounding)."""
-    rows = _metrics(spark, directory)
-    return rows.select("query_id", F.round(M.trailing_mean(rows, M.valid(F.col("total_latency")), ["model_used"], ["ts", "query_id"], None) + 1e-10, 6).alias("running"))
+    rows = _metrics(spark, directory).withColumn("day", F.to_date("ts"))
+    held = M.running_mean(rows, M.valid(F.col("total_latency")), "model_used", ["ts", "query_id"], "mean")
+    return held.select("query_id", F.round(F.col("mean") + 1e-10, 6).alias("running"))
 
 
 @query(ONCE + f"SELECT model_used, grouping(model_used)::INT AS total, count(*) AS calls, sum(tokens_input + tokens_output)::BIGINT AS tokens, round(sum({_COST}), 9) AS cost FROM m GROUP BY ROLLUP (model_used)")
