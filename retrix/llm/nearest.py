@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retrix.llm.sampling import least_by_hash
 from retrix.sources.tables import cut
 
 #: Rows on which the models are fitted.
@@ -163,7 +164,7 @@ def top_similar(
     ranked = packed.join(crowded, "packed").select("id", "entry")
     copies = cut(ranked)
     total = entries.count()
-    fitted = entries.select("entry", "packed").orderBy(F.xxhash64("entry"), "entry").limit(sample).select("packed").collect()
+    fitted = least_by_hash(entries.select("entry", "packed"), F.col("entry"), sample, total)
     if not fitted:
         return spark.createDataFrame([], "id long, other long, cosine double, rank int")
     points = _unit(np.frombuffer(b"".join(bytes(r["packed"]) for r in fitted), dtype=np.float32).reshape(-1, dimension)).astype(np.float32)
