@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +56,6 @@ def collapsed_search(tree: DataFrame, vector: list[float], k: int = 20, max_toke
     return chosen.join(best, "node").select("place", "node", "level", "score", "tokens")
 
 
-def centers_of(frame: DataFrame) -> DataFrame:
-    return frame.select(vector_to_array("features").alias("vector"))
-
-
 def mixture(points: DataFrame, most: int = 8, dimensions: int = 8, seed: int = SEED) -> DataFrame:
     """``id``, ``cluster`` and ``k`` by a mixture of normal distributions over reduced vectors; the number of clusters
     is the one with the least Bayes criterion."""
