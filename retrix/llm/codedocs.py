@@ -217,9 +217,7 @@ def _documentation(text: str, spans: list[tuple[int, int, str]], language: str)
                     out[-1] = (out[-1][0], end)
                 else:
                     out.append((start, end))
-        elif text.startswith("/**", start) and end - start > 4 and not text.startswith("/***", start):
-            out.append((start, end))
-        elif text.startswith("/**/", start) is False and text.startswith("/**", start) and end - start > 4:
+        elif text.startswith("/**", start) and end - start > 4:
             out.append((start, end))
     return out
 
