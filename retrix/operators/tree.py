@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retrix.functions.vectors import cosine
+from retrix.operators import mixtures
 from retrix.operators.memory import budget_fold
 from retrix.sources.tables import cut
 
@@ -56,22 +57,18 @@ def collapsed_search(tree: DataFrame, vector: list[float], k: int = 20, max_toke
     return chosen.join(best, "node").select("place", "node", "level", "score", "tokens")
 
 
-def mixture(points: DataFrame, most: int = 8, dimensions: int = 8, seed: int = SEED) -> DataFrame:
-    """``id``, ``cluster`` and ``k`` by a mixture of normal distributions over reduced vectors; the number of clusters
-    is the one with the least Bayes criterion."""
-    from math import log
-
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import PCA
-
-    ready = cut(points.select("id", F.transform("vector", lambda x: x.cast("double")).alias("v"))).select("id", array_to_vector("v").alias("wide"))
-    reduced = PCA(k=dimensions, inputCol="wide", outputCol="features").fit(ready).transform(ready).select("id", "features")
-    n = reduced.count()
-    best = None
-    for k in range(2, max(2, min(most, n // 2)) + 1):
-        model = GaussianMixture(k=k, seed=seed, maxIter=20).fit(reduced)
-        free = k * (dimensions + dimensions * (dimensions + 1) / 2) + k - 1
-        criterion = free * log(n) - 2 * model.summary.logLikelihood
-        if best is None or criterion < best[0]:
-            best = (criterion, k, model)
-    return best[2].transform(reduced).select("id", F.col("prediction").alias("cluster"), F.lit(best[1]).alias("k"))
+def mixture(points: DataFrame, most: int = 50, dimensions: int = 8, seed: int = SEED, by: str = "criterion") -> DataFrame:
+    """``id``, ``cluster``, ``k`` and ``silhouette`` by a mixture of normal distributions over reduced vectors. The number of
+    clusters, from 1 to min(most, n / 2), is the one with the least Bayes criterion; by "silhouette" it is the one, from 2
+    to min(most, n / 3), with the largest mean silhouette. An empty table gives none."""
+    ready = cut(points.select("id", F.lit(0).alias("grp"), F.transform("vector", lambda x: x.cast("double")).alias("vector")))
+    return mixtures.fit(ready, most, by, dimensions, seed, 2 if by == "criterion" else 3).drop("grp")
+
+
+def local_mixtures(points: DataFrame, most: int = 50, dimensions: int = 8, seed: int = SEED) -> DataFrame:
+    """Clusters by a mixture over all vectors, and inside each by one over the cluster's vectors, reduced anew: ``id``, ``k``,
+    ``cluster``, ``local_k``, ``local_cluster`` and ``silhouette`` of the cluster's own mixture."""
+    ready = cut(points.select("id", F.lit(0).alias("grp"), F.transform("vector", lambda x: x.cast("double")).alias("vector")))
+    outer = cut(mixtures.fit(ready, most, "criterion", dimensions, seed).select("id", "k", "cluster"))
+    inner = mixtures.fit(cut(ready.drop("grp").join(outer, "id").select("id", F.col("cluster").alias("grp"), "vector")), most, "criterion", dimensions, seed)
+    return outer.join(inner.select("id", F.col("k").alias("local_k"), F.col("cluster").alias("local_cluster"), "silhouette"), "id")

@@ -22,11 +22,21 @@ def tree_levels(spark: SparkSession, directory: str) -> DataFrame:
     return T.summary(_tree(spark, directory))
 
 
+def _vectors(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
 @query()
 def tree_mixture(spark: SparkSession, directory: str) -> DataFrame:
-    """Clusters of the vectors by a mixture of normal distributions, as many as the Bayes criterion prefers."""
-    points = table(spark, directory, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return T.mixture(points, most=5).groupBy("k", "cluster").agg(F.count(F.lit(1)).alias("members"))
+    """Clusters of the vectors by a mixture of normal distributions, as many as the Bayes criterion prefers, and those inside each."""
+    found = T.local_mixtures(_vectors(spark, directory))
+    return found.groupBy("k", "cluster", "local_k", "local_cluster", F.round("silhouette", 6).alias("silhouette")).agg(F.count(F.lit(1)).alias("members"))
+
+
+@query()
+def tree_mixture_silhouette(spark: SparkSession, directory: str) -> DataFrame:
+    """Clusters of the vectors by a mixture of normal distributions, as many as have the largest silhouette."""
+    return T.mixture(_vectors(spark, directory), by="silhouette").groupBy("k", "cluster", F.round("silhouette", 6).alias("silhouette")).agg(F.count(F.lit(1)).alias("members"))
 
 
 @query()
