@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NOT_WORD = r"[^\p{L}\p{M}\p{N}_\s]"
+#: Patterns of entities and the group that holds the name.
+ENTITIES = (
+    (r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", 0), (r'"([^"]+)"', 1),
+    (r"(?i)\b(?:API|REST|GraphQL|Docker|Kubernetes|Python|Java|ML|AI|RAG|LLM)\b", 0),
+)
 
 
 def nonempty(parts: Column) -> Column:
@@ -93,3 +98,9 @@ def strip_markup(html: Column) -> Column:
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def entities(col: Column) -> Column:
+    """Runs of capitalised words, quoted terms and technical terms of more than two characters, the first ten by name."""
+    found = F.concat(*(F.regexp_extract_all(col, F.lit(p), F.lit(g)) for p, g in ENTITIES))
+    return F.slice(F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.length(x) > 2))), 1, 10)

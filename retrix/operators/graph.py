@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retrix.sources.tables import cut
@@ -101,6 +104,95 @@ def top_central(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     return scored.orderBy(F.desc("centrality"), "id").limit(k).select("id", "centrality")
 
 
+def _brandes(spark: SparkSession, core: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For the nodes of ``core`` (``src``, ``dst`` both ways), pairs of other nodes, weighted by how many nodes each stands
+    for, whose shortest paths lead through them (``id``, ``pairs``), and the nodes of their part of the graph (``id``, ``part``).
+    Sources are spread over tasks; every task holds the whole core."""
+    rows = weights.join(core.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("near")), "id").collect()
+    number = {r["id"]: k for k, r in enumerate(rows)}
+    shared = spark.sparkContext.broadcast(([r["id"] for r in rows], [r["w"] for r in rows], [[number[x] for x in r["near"]] for r in rows]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, weight, near = shared.value
+        total, parts = [0.0] * len(names), {}
+        for batch in batches:
+            for source in batch.column(0).to_pylist():
+                away, paths, order = {source: 0}, {source: 1}, [source]
+                for v in order:  # grows on the way
+                    for u in near[v]:
+                        if u not in away:
+                            away[u], paths[u] = away[v] + 1, 0
+                            order.append(u)
+                        if away[u] == away[v] + 1:
+                            paths[u] += paths[v]
+                parts[source] = sum(weight[v] for v in order)
+                behind = dict.fromkeys(order, 0.0)
+                for u in reversed(order):
+                    for v in near[u]:
+                        if away[v] == away[u] - 1:
+                            behind[v] += paths[v] / paths[u] * (weight[u] + behind[u])
+                    if u != source:
+                        total[u] += weight[source] * behind[u] / 2
+        kept = [k for k, x in enumerate(total) if x or k in parts]
+        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in kept], pa.string()), pa.array([total[k] for k in kept], pa.float64()), pa.array([parts.get(k) for k in kept], pa.int64())], names=["id", "pairs", "part"])
+
+    spread = spark.range(0, len(rows), 1, max(1, min(len(rows), spark.sparkContext.defaultParallelism * 4)))
+    found = cut(spread.mapInArrow(run, "id string, pairs double, part long").groupBy("id").agg(F.sum("pairs").alias("pairs"), F.max("part").alias("part")))
+    return found.select("id", "pairs"), found.select("id", "part")
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, peels: int = 20) -> DataFrame:
+    """``id``, ``degree`` (neighbours; 2 for an edge to itself) and ``betweenness`` (share of the pairs of other nodes whose
+    shortest paths lead through it) in the undirected graph without repeated edges; ends of edges are nodes too.
+
+    Nodes with one neighbour are taken off, round by round, and stand in their neighbour's weight, for which sums in
+    closed form suffice; what is left after ``peels`` rounds is searched from every node. Both are exact.
+    """
+    spark = nodes.sparkSession
+    every = both_ways(edges).where("src is not null and dst is not null").select("src", "dst").distinct()
+    live = cut(every.where("src <> dst"))
+    counted = every.groupBy(F.col("src").alias("id")).agg(F.sum(F.when(F.col("src") == F.col("dst"), 2).otherwise(1)).alias("degree"))
+    everyone = cut(nodes.select("id").where("id is not null").union(every.select(F.col("src").alias("id"))).distinct().join(counted, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree")))
+    n = everyone.count()
+    state = everyone.select("id", F.lit(1).cast("long").alias("w"), F.lit(0.0).alias("squares"))
+    gone: list[DataFrame] = []
+    for _ in range(peels):
+        ends = cut(live.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("parent")).where("n = 1").select("id", "parent"))
+        twins = ends.select(F.col("parent").alias("id"), F.col("id").alias("parent")).where("id < parent")
+        leaves = ends.join(twins, ["id", "parent"], "left_anti")  # of two that have only each other the larger goes
+        taken = cut(leaves.join(state, "id"))
+        if not taken.limit(1).count():
+            break
+        gone.append(taken)
+        given = taken.groupBy(F.col("parent").alias("id")).agg(F.sum("w").alias("more"), F.sum(F.col("w").cast("double") * F.col("w")).alias("extra"))
+        state = cut(
+            state.join(taken.select("id"), "id", "left_anti").join(given, "id", "left")
+            .select("id", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), (F.col("squares") + F.coalesce("extra", F.lit(0.0))).alias("squares"))
+        )
+        off = taken.select(F.col("id").alias("src"))
+        live = cut(live.join(off, "src", "left_anti").join(off.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
+    pairs, parts = _brandes(spark, live, state) if live.limit(1).count() else (None, None)
+    if pairs is None:
+        out = state.select("id", "w", "squares", F.col("w").alias("part"), F.lit(0.0).alias("pairs"))
+    else:
+        out = state.join(parts, "id", "left").join(pairs, "id", "left").select("id", "w", "squares", F.coalesce("part", "w").alias("part"), F.coalesce("pairs", F.lit(0.0)).alias("pairs"))
+    out = cut(out)
+    known = out
+    for taken in reversed(gone):  # the size of a part comes from the parent
+        back = cut(taken.join(known.select(F.col("id").alias("parent"), "part"), "parent").select("id", "w", "squares", "part", F.lit(0.0).alias("pairs")))
+        known = known.unionByName(back)
+    w, part = F.col("w").cast("double"), F.col("part").cast("double")
+    through = ((w - 1) * (w - 1) - F.col("squares")) / 2 + (w - 1) * (part - w) + F.col("pairs")
+    return everyone.join(known, "id").select("id", "degree", (through / max((n - 1) * (n - 2) / 2, 1.0)).alias("betweenness"))
+
+
+def central_entities(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
+    """The k nodes with the highest mean of degree centrality and betweenness."""
+    found = cut(betweenness(nodes, edges))
+    scored = found.withColumn("centrality", F.round(0.5 * F.col("degree") / F.lit(float(max(found.count() - 1, 1))) + 0.5 * F.col("betweenness"), 9))
+    return scored.orderBy(F.desc("centrality"), "id").limit(k).select("id", "degree", F.round("betweenness", 9).alias("betweenness"), "centrality")
+
+
 def triples(lines: DataFrame, line_col: str) -> DataFrame:
     """Edges written as ``A -> relation -> B``, one a row; other lines give none."""
     parts = F.transform(F.split(line_col, "->"), lambda x: F.trim(x))

@@ -99,13 +99,14 @@ class Engine:
         return search.top_cosine(self.vectors(), "doc_id", "vector", mean, "query_id", "v", k)
 
     def adaptive(self, questions: DataFrame) -> DataFrame:
-        """As many hits as a question's type and complexity call for, lists and definitions raised."""
+        """As many hits as a question's type and complexity call for, lists, definitions and blocks of code raised."""
         kind = Q.question_type(F.col("q"))
         plan = questions.select("query_id", "q", kind.alias("kind"), Q.optimal_k(kind, Q.complexity(F.col("q"))).alias("k"))
         held = self.hybrid(questions, 15).join(self.documents, "doc_id").join(plan.drop("q"), "query_id")
         bullets = F.col("content").rlike(r"(?m)^\s*(?:[-*]|\d+\.)\s")
         defines = F.col("content").rlike(r"^[^.]+\s(?:é|são|is|are|es|son)\s")
-        boost = F.when((F.col("kind") == "list") & bullets, 1.2).when((F.col("kind") == "definition") & defines, 1.3).otherwise(1.0)
+        blocks = F.regexp_count("content", F.lit(r"```[\s\S]*?```"))
+        boost = F.when((F.col("kind") == "list") & bullets, 1.2).when((F.col("kind") == "definition") & defines, 1.3).when((F.col("kind") == "implementation") & (blocks > 0), 1.1 + 0.1 * blocks).otherwise(1.0)
         scored = held.select("query_id", "doc_id", "k", "kind", F.round(F.col("score") * boost, 12).alias("score"))
         return search.ranked(scored, ["query_id"], "score", "doc_id", 15).where(F.col("rank") <= F.col("k"))
 

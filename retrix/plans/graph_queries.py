@@ -133,6 +133,12 @@ def graph_central(spark: SparkSession, directory: str) -> DataFrame:
     return G.top_central(nodes(spark, directory), edges(spark, directory))
 
 
+@query()
+def graph_central_entities(spark: SparkSession, directory: str) -> DataFrame:
+    """The five most central nodes by degree and betweenness, half and half."""
+    return G.central_entities(nodes(spark, directory), edges(spark, directory))
+
+
 @query(GRAPH + ", gone AS (SELECT id FROM nodes WHERE type = 'nation' AND id LIKE '%1') SELECT (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT id FROM gone)) AS nodes, (SELECT count(*) FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)) AS edges")
 def graph_delete(spark: SparkSession, directory: str) -> DataFrame:
     """The graph after deleting nodes with their edges."""

@@ -194,6 +194,13 @@ def entity_extract(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "documents").select("doc_id", F.explode(found).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("texts"))
 
 
+@query()
+def entities_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Capitalised, quoted and technical terms of every text, and in how many texts they occur."""
+    found = X.entities(F.col("text"))
+    return table(spark, directory, "documents").select("doc_id", F.explode(found).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("texts"))
+
+
 _WORDSET = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> ''))"
 
 
