@@ -82,21 +82,41 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: flo
     return ranks
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``id`` and ``community`` by label propagation: a node takes the label most of its neighbours have (the
-    smallest among several); rounds end early when no label changes."""
-    steps = cut(both_ways(edges).select("src", "dst").distinct())
+    smallest among several) if that is more than have its own, until no node would change (or for ``rounds``).
+
+    Half of the nodes, another half in each round, may change: if all did at once, the two sides of a graph
+    without odd cycles could swap labels for ever.
+    """
+    steps = cut(both_ways(edges).where("src <> dst").select("src", "dst").distinct())
     labels = cut(nodes.select("id", F.col("id").alias("community")))
-    for _ in range(rounds):
+    number = 0
+    while rounds is None or number < rounds:
+        number += 1
         votes = steps.join(labels, steps["src"] == labels["id"]).groupBy(F.col("dst").alias("id"), "community").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b")).select("id", F.col("b.community").alias("next"))
-        moved = cut(labels.join(best, "id", "left").select("id", F.coalesce("next", "community").alias("community"), (F.coalesce("next", "community") != F.col("community")).alias("changed")))
-        labels = moved.select("id", "community")
-        if not moved.where("changed").limit(1).count():
+        held = votes.join(labels.select("id", F.col("community").alias("own")), "id")
+        best = held.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b"), F.coalesce(F.max(F.when(F.col("community") == F.col("own"), F.col("n"))), F.lit(0)).alias("kept"))
+        willing = best.where(-F.col("b.n") > F.col("kept")).select("id", F.col("b.community").alias("next"))
+        moved = cut(labels.join(willing, "id", "left").select("id", "community", "next"))
+        if not moved.where("next is not null").limit(1).count():
             break
+        turn = F.pmod(F.xxhash64("id", F.lit(number)), F.lit(2)) == 0
+        labels = moved.select("id", F.when(turn, F.coalesce("next", "community")).otherwise(F.col("community")).alias("community"))
     return labels
 
 
+def modularity(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """``community``, ``members`` and its part of the ``modularity`` (their sum is that of the whole) in the undirected
+    graph without repeated edges."""
+    steps = cut(both_ways(edges).where("src <> dst").select("src", "dst").distinct())
+    placed = steps.join(found.select(F.col("id").alias("src"), "community"), "src").join(found.select(F.col("id").alias("dst"), F.col("community").alias("other")), "dst")
+    total = float(max(steps.count(), 1))  # each edge both ways
+    inside = placed.groupBy("community").agg(F.sum((F.col("community") == F.col("other")).cast("long")).alias("within"), F.count(F.lit(1)).alias("ends"))
+    share = F.coalesce("within", F.lit(0)) / total - F.pow(F.coalesce("ends", F.lit(0)) / total, F.lit(2))
+    return found.groupBy("community").agg(F.count(F.lit(1)).alias("members")).join(inside, "community", "left").select("community", "members", share.alias("modularity"))
+
+
 def top_central(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """The k nodes with the highest degree centrality (degree over the other nodes)."""
     total = nodes.count()

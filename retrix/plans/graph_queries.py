@@ -153,15 +153,15 @@ def graph_pagerank(spark: SparkSession, directory: str) -> DataFrame:
     own, links = nodes(spark, directory), edges(spark, directory)
     near = cut(G.k_hop(links, own.where("id = 'r0'").select("id"), 2).select("id"))
     inside = cut(G.valid_edges(links, near))
-    return G.page_rank(near, inside, rounds=10).select("id", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), "id").limit(20)
+    return G.page_rank(near, inside).select("id", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), "id").limit(20)
 
 
 @query()
 def graph_communities(spark: SparkSession, directory: str) -> DataFrame:
-    """Communities of three nodes and more among regions, nations and suppliers."""
-    own = nodes(spark, directory).where("type IN ('region', 'nation', 'supplier')")
-    found = G.communities(own, edges(spark, directory).where("type IN ('HAS', 'SELLS')"), rounds=5)
-    return found.groupBy("community").agg(F.count(F.lit(1)).alias("members")).where("members >= 3")
+    """Communities of three nodes and more, with their parts of the modularity."""
+    links = edges(spark, directory)
+    found = G.communities(nodes(spark, directory), links)
+    return G.modularity(found, links).where("members >= 3").withColumn("modularity", F.round("modularity", 9))
 
 
 _ONCE = "WITH c AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at NULLS FIRST) AS n FROM chunks) WHERE n = 1)"
