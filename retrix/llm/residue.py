@@ -204,8 +204,6 @@ def is_code(path: str | None, text: str) -> bool:
 def residue_of(text: str, path: str | None, index: Index) -> tuple[str, float] | None:
     """Kind and coverage of the first passage of a text that is residue, if any."""
     code = is_code(path, text)
-    if code and len(text) > 600:
-        return None
     text = clean(text)
     known = index.weight
     passages = []
