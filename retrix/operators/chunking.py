@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retrix.functions.text import words
+from retrix.functions.text import ENTITIES, words
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 SIZES = {"python": 500, "javascript": 450, "typescript": 450, "java": 600, "csharp": 600}
@@ -119,15 +119,55 @@ def semantic(text: str, threshold: float = 0.5, longest: int = 1000, shortest: i
     return [c for c in ([*out, current] if current else out) if len(c) >= shortest]
 
 
-def hybrid(text: str, size: int = 1000) -> list[str]:
-    """Paragraph packing, with semantic cuts inside what is still too long."""
-    return [c for block in structural(text, size) for c in (semantic(block, longest=size) if len(block) > size else [block])]
+def hybrid(text: str, size: int = 1000, overlap: int = 50) -> list[str]:
+    """Paragraph packing, with semantic cuts inside what is still too long; each chunk begins with the end of the
+    original one before it."""
+    plain = [c for block in structural(text, size) for c in (semantic(block, longest=size) if len(block) > size else [block])]
+    if overlap <= 0:
+        return plain
+    return [f"{before[-overlap:]} {c}".strip() for before, c in zip(["", *plain], plain)]
+
+
+def entity_names(text: str) -> set[str]:
+    """Entities of a text by the patterns of ``functions.text``, of more than two characters."""
+    return {x for p, g in ENTITIES for x in (m.group(g).strip() for m in re.finditer(p, text)) if len(x) > 2}
+
+
+def entity_aware(text: str, size: int = 1000) -> list[str]:
+    """Sentences joined while they share an entity with those of the chunk so far, and fit."""
+    names = {n: n.lower() for n in entity_names(text)}
+    out: list[list[str]] = []
+    held: set[str] = set()
+    for sentence in re.split(r"(?<=[.!?]) +", text):
+        low = sentence.lower()
+        own = {n for n, x in names.items() if x in low}
+        if out and held & own and len(" ".join([*out[-1], sentence])) <= size:
+            out[-1].append(sentence)
+            held |= own
+        else:
+            out.append([sentence])
+            held = set(own)
+    return [" ".join(group) for group in out]
+
+
+def sentence_packs(text: str, tokens: int = 250, overlap: int = 50) -> list[str]:
+    """Sentences packed up to a count of tokens (1.3 a word); a new chunk begins with the last words of the one before."""
+    out, current, used = [], "", 0.0
+    for sentence in (s.strip() + ". " for s in text.split(". ")):
+        count = len(sentence.split()) * 1.3
+        if current and used + count > tokens:
+            out.append(current.strip())
+            current = f"{' '.join(current.split()[-overlap:])} {sentence}" if overlap else sentence
+            used = len(current.split()) * 1.3
+        else:
+            current, used = current + sentence, used + count
+    return [*out, current.strip()] if current.strip() else out
 
 
 STRATEGIES: dict[str, Callable[..., list[str]]] = {
     "recursive": recursive, "structural": structural, "lines": by_lines, "semantic": semantic, "semantic_basic": semantic, "topic_based": semantic, "hybrid": hybrid,
     "sliding_window": lambda text, window=400, stride=200: [text[at : at + window] for at in range(0, len(text), stride)],
-    "entity_aware": lambda text, size=1000: structural(text, size),
+    "entity_aware": entity_aware, "sentence_packs": sentence_packs,
 }
 
 

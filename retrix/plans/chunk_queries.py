@@ -75,7 +75,7 @@ def _by_strategy(strategy: str):
     return run
 
 
-for _strategy in ("recursive", "structural", "semantic", "hybrid", "lines"):
+for _strategy in ("recursive", "structural", "semantic", "hybrid", "lines", "entity_aware", "sentence_packs"):
     query()(_by_strategy(_strategy))
 
 
