@@ -74,14 +74,14 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     """Lines of items and chunks where a literal credential begins."""
     items = secrets.scan(table(spark, directory, "ingest_items"), "item_id", "content", "ingest_items")
     chunks = secrets.scan(table(spark, directory, "chunks"), "id", "content", "chunks")
-    return items.union(chunks).select("tbl", "rec_id", "line_no").distinct()
+    return items.union(chunks).select("tbl", "rec_id", F.explode("lines").alias("line_no")).distinct()
 
 
 def p6_masked(spark: SparkSession, directory: str) -> DataFrame:
-    """The texts that hold credentials, with only these masked."""
+    """The texts that hold credentials, with only these masked; a record with several texts gives each of them."""
     items = secrets.scan(table(spark, directory, "ingest_items"), "item_id", "content", "ingest_items", with_text=True)
     chunks = secrets.scan(table(spark, directory, "chunks"), "id", "content", "chunks", with_text=True)
-    return items.union(chunks).groupBy("tbl", "rec_id").agg(F.sort_array(F.collect_set("line_no")).alias("lines"), F.min("masked").alias("masked"))
+    return items.union(chunks).select("tbl", "rec_id", "lines", "masked").distinct()
 
 
 _METRICS = ("total_latency", "estimated_cost")

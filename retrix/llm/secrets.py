@@ -13,6 +13,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,12 +44,18 @@ PLACEHOLDER = re.compile(
 )
 REFERENCE = re.compile(r"(?i)\$\{|\{\{|\$\(|<%|%\(|^\$[A-Za-z_]\w*$|^%\w+%$|getenv|environ|process\.env|^env\(|secrets\.|vault|keyring|^self\.|^this\.|^config[.\[]|^settings\.|^args\.|^os\.|^var\.|^data\.|^local\.")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zñç]+|\d+")
+#: A letter and three or more others, in syllables of at most three consonants and two vowels.
+_SPOKEN_WORD = re.compile(r"[A-Za-z](?=[a-z]{3})(?:[bcdfghjklmnpqrstvwxyz]{0,3}[aeiou]{1,2})+[bcdfghjklmnpqrstvwxyz]{0,3}")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 _HEX = re.compile(r"^[0-9a-fA-F]+$")
 
-#: Share of the highest entropy of a text of this length and alphabet that a random value has at least.
-LEAST_SHARE = 0.80
-LEAST_LONG = 20
+#: Share of the mean entropy of random values of its length and alphabet that a value has at least: without a name
+#: that tells of a secret, in letters alone, with such a name, and in an authorisation header.
+BARE_SHARE, LEAST_SHARE, NAMED_SHARE, HEADER_SHARE = 0.90, 0.94, 0.63, 0.74
+#: Characters of a value without a name, at least and at most: what is longer is encoded data.
+LEAST_LONG, MOST_LONG = 20, 256
+#: Share of an unnamed value that words may take; what is more is an identifier.
+WORDY_SHARE = 0.4
 
 
 def entropy(value: str) -> float:
@@ -68,10 +75,26 @@ def alphabet(value: str) -> int:
     return (26 * lower + 26 * upper + 10 * digit + 2) if plain else 94
 
 
+@lru_cache(maxsize=1 << 14)
+def expected_entropy(length: int, letters: int) -> float:
+    """Mean entropy in bits a character of random values of a length, over an alphabet of so many letters."""
+    total, chance = 0.0, (1 - 1 / letters) ** length  # of a letter that does not occur
+    for k in range(1, length + 1):
+        chance *= (length - k + 1) / k / (letters - 1)
+        total += chance * k * math.log2(k)
+        if chance < 1e-15 and k > length / letters:
+            break
+    return math.log2(length) - letters / length * total if length > 1 else 0.0
+
+
 def random_like(value: str, share: float = LEAST_SHARE) -> bool:
     """Whether the entropy passes the threshold for the value's alphabet and length."""
-    most = math.log2(min(len(value), alphabet(value))) if len(value) > 1 else 1
-    return entropy(value) >= share * most
+    return entropy(value) >= share * (expected_entropy(len(value), alphabet(value)) or 1.0)
+
+
+def wordy(value: str) -> bool:
+    """Whether runs of letters that can be spoken as words take a good part of a value."""
+    return sum(len(m) for m in _SPOKEN_WORD.findall(value)) >= WORDY_SHARE * len(value)
 
 
 def words_of(name: str) -> list[str]:
@@ -102,16 +125,16 @@ def named_value(value: str) -> bool:
     if value.isdigit():
         return len(value) >= 8
     if re.fullmatch(r"[A-Za-z_][A-Za-z_]*(?:\.[A-Za-z_]+)*(?:\(.*\))?|https?://\S*|[\w./-]+/", value) and not ISSUED.search(value):
-        return len(value) >= 16 and kinds >= 2 and random_like(value, 0.9) and "_" not in value and "." not in value
-    return kinds >= 2 and entropy(value) >= 1.8
+        return len(value) >= 16 and kinds >= 2 and random_like(value) and "_" not in value and "." not in value
+    return kinds >= 2 and random_like(value, NAMED_SHARE)
 
 
 def bare_value(value: str, words: set[str]) -> bool:
     """Whether a long token without a secret's name is one: random over a wide alphabet, no hash and no id."""
-    if len(value) < LEAST_LONG or _HEX.match(value) or _UUID.match(value) or HASH_WORDS & words:
+    if not LEAST_LONG <= len(value) <= MOST_LONG or _HEX.match(value) or _UUID.match(value) or HASH_WORDS & words:
         return False
     mixed = any(c.islower() for c in value) and any(c.isupper() for c in value) and sum(c.isdigit() for c in value) >= 2
-    return mixed and is_literal(value) and random_like(value, 0.85) and "/" not in value[:1]
+    return mixed and is_literal(value) and random_like(value, BARE_SHARE) and "/" not in value[:1] and not wordy(value)
 
 
 _NAME = r"[A-Za-zñç_][\w.ñç-]*+"
@@ -133,14 +156,17 @@ _COMMANDS = [
     re.compile(r"(?:^|\s)--?(?:password|passwd|pass|pwd|senha|token|secret|api-key|apikey|auth-token|access-token|secret-key|client-secret|passphrase)(?:[ =]+)(?P<value>'[^'\n]+'|\"[^\"\n]+\"|[^\s'\"]+)"),
     re.compile(r"(?i)[\"'](?:x-)?(?:api-?key|auth-?token|access-?token|authorization|private-?token)\s*:\s*(?P<value>[^\"'\s]+)[\"']"),
 ]
-_LONG = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+_LONG = re.compile(rf"[A-Za-z0-9+/_.-]{{{LEAST_LONG},}}={{0,2}}")
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: The body of a private key whose END is missing: chunks of base64 as they stand in files, strings and comments, the last one shorter.
+_BETWEEN = r"(?:[ \t\r\n\"'`,#*]|\\[rn]|\+(?=\s)|//(?=\s))*+"
+_KEY_BODY = re.compile(rf"(?:{_BETWEEN}(?:[A-Z][A-Za-z-]+: [^\n]*\n{_BETWEEN})*+[A-Za-z0-9+/=]{{16,}}+)*+(?:{_BETWEEN}[A-Za-z0-9+/]{{1,15}}+={{0,2}}(?=[ \t\r\"'`,;)\\]*(?:\n|\Z)))?")
 _PUBLIC = re.compile(r"\b(?:ssh-(?:rsa|ed25519|dss)|ecdsa-sha2-\w+)\s+\S+|\bsha(?:1|256|384|512)[:-][A-Za-z0-9+/=]+")
 #: What a line with a credential holds at least, in lower case; other lines are passed over.
-_HINTS = ("pass", "pwd", "senha", "contrase", "clave", "secret", "token", "key", "credential", "auth", "bearer", "basic ", "login", "://", " -u", " -p", "--user")
+_HINTS = ("pass", "pwd", "senha", "contrase", "clave", "secret", "token", "key", "credential", "auth", "bearer", "basic ", "login", "log-in", "user", "usuario", "usuário", "conta", "cuenta", "account", "://", " -u", " -p")
 _ISSUED_HINTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "sk-", "hf_", "AKIA", "ASIA", "glpat-", "_live_", "_prod_", "eyJ", "AIza", "npm_", "SG.", "dop_v1_", "shpat_", "ya29.")
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{30,}")
+_RUN = _LONG
 
 
 def _hinted(text: str) -> list[int]:
@@ -193,7 +219,7 @@ def secrets_in_line(line: str) -> list[tuple[int, int]]:
             add([m.span("value")])
     for m in _BASIC.finditer(line):
         value = m.group("value")
-        if is_literal(value) and (any(c.isdigit() for c in value) or any(c.isupper() for c in value)) and len(value) >= 12 and random_like(value, 0.7):
+        if is_literal(value) and (any(c.isdigit() for c in value) or any(c.isupper() for c in value)) and len(value) >= 12 and random_like(value, HEADER_SHARE):
             add([m.span("value")])
     for pattern in _COMMANDS if "-" in line or "X" in line or "x" in line or ":" in line else ():
         for m in pattern.finditer(line):
@@ -220,8 +246,7 @@ def secrets_in_line(line: str) -> list[tuple[int, int]]:
         before = line[: m.start()]
         name = re.search(r"([\w.-]+)[\"'\]]?\s*[:=]+>?\s*[\"'(\[]*$", before)
         words = set(words_of(name.group(1))) if name else set()
-        value = m.group().strip(".=-/") if "=" in m.group()[:-2] else m.group()
-        if bare_value(value, words) and free(*m.span()) and "://" not in line[max(0, m.start() - 60) : m.end()] and not re.search(r"[a-z]{6,}", value):
+        if bare_value(m.group(), words) and free(*m.span()) and "://" not in line[max(0, m.start() - 60) : m.end()]:
             add([m.span()])
     return sorted(out)
 
@@ -239,11 +264,14 @@ def find_secrets(text: str) -> list[tuple[int, int, int]]:
         at = text.find("\n", at + 1)
     line_of = lambda place: bisect_right(breaks, place - 1)
     blocked: list[tuple[int, int]] = []
-    for m in _BEGIN.finditer(text):
-        end = _END.search(text, m.end())
-        other = _BEGIN.search(text, m.end())
-        stop = end.start() if end and not (other and other.start() < end.start()) else min(len(text), m.end() + 4000)
-        body = re.match(r"(?:[ \t\r]|\\[rn]|\n|[\"'+,#/*]|[A-Za-z0-9+/=:,.-])*", text[m.end() : stop]).group() if not end else text[m.end() : stop]
+    begins = list(_BEGIN.finditer(text))
+    ends = [m.start() for m in _END.finditer(text)] if begins else []
+    for k, m in enumerate(begins):
+        other = begins[k + 1].start() if k + 1 < len(begins) else len(text)
+        end = bisect_right(ends, m.end() - 1)
+        closed = end < len(ends) and ends[end] <= other
+        stop = ends[end] if closed else other
+        body = text[m.end() : stop] if closed else _KEY_BODY.match(text, m.end(), stop).group()
         core = re.sub(r"\\[rn]|[^A-Za-z0-9+/=]", "", body)
         if len(core) >= 16 and not re.search(r"(?i)\.\.\.|redacted|example|your[ _-]|<[^>]+>|\{\{|\$\{", body):
             line = line_of(m.start())
@@ -276,30 +304,30 @@ def mask(text: str, found: list[tuple[int, int, int]]) -> str:
 
 
 def scan(df: DataFrame, id_col: str, text_col: str, table_name: str, with_text: bool = False) -> DataFrame:
-    """Lines that begin a credential: ``tbl``, ``rec_id``, ``line_no``, ``n_secrets`` and, if ``with_text``,
-    ``masked``, the whole text with only the secrets replaced (the same in each row of a record).
+    """Records that hold credentials: ``tbl``, ``rec_id``, ``lines`` (where one begins, in order), ``n_secrets``
+    and, if ``with_text``, ``masked``, the whole text with only the secrets replaced.
 
-    Several secrets of a line give one row. Rows with a null id, and null or empty texts, give no row; a row
-    that comes again gives its lines again. Texts are scanned whole and where they lie: no shuffle.
+    One row per row of ``df`` that holds any. Rows with a null id, and null or empty texts, give no row; a row
+    that comes again comes out again. Texts are scanned whole and where they lie: no shuffle.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, line, many, masked = [], [], [], []
+            row, lines, many, masked = [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 found = find_secrets(text)
-                counts = Counter(x[0] for x in found)
-                row += [k] * len(counts)
-                line += counts
-                many += counts.values()
-                if with_text and counts:
-                    masked += [mask(text, found)] * len(counts)
-            columns = [pa.array([table_name] * len(row), type=pa.string()), batch.column(0).take(pa.array(row, type=pa.int64())), pa.array(line, type=pa.int32()), pa.array(many, type=pa.int32())]
-            names = ["tbl", "rec_id", "line_no", "n_secrets"]
+                if found:
+                    row.append(k)
+                    lines.append(sorted({line for line, _, _ in found}))
+                    many.append(len(found))
+                    if with_text:
+                        masked.append(mask(text, found))
+            columns = [pa.array([table_name] * len(row), type=pa.string()), batch.column(0).take(pa.array(row, type=pa.int64())), pa.array(lines, type=pa.list_(pa.int32())), pa.array(many, type=pa.int32())]
+            names = ["tbl", "rec_id", "lines", "n_secrets"]
             if with_text:
                 columns.append(pa.array(masked, type=pa.string()))
                 names.append("masked")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     used = df.select(F.col(id_col).cast("string").alias("rec_id"), F.col(text_col).cast("string").alias("body")).where("rec_id is not null and body is not null and body <> ''")
-    return used.mapInArrow(search, "tbl string, rec_id string, line_no int, n_secrets int" + ", masked string" * with_text)
+    return used.mapInArrow(search, "tbl string, rec_id string, lines array<int>, n_secrets int" + ", masked string" * with_text)

@@ -1,0 +1,53 @@
+"""Credentials of every length and place: short unnamed tokens, keys without an end, records with several texts."""
+
+from __future__ import annotations
+
+import random
+import string
+
+import pytest
+
+from retrix.llm import secrets
+from retrix.llm.queries import QUERIES
+
+
+def token(seed: int, length: int) -> str:
+    """A random token with letters of both cases and at least two digits."""
+    own = random.Random(seed)
+    while True:
+        value = "".join(own.choices(string.ascii_letters + string.digits, k=length))
+        if sum(c.isdigit() for c in value) >= 2 and value.lower() != value != value.upper():
+            return value
+
+
+@pytest.mark.parametrize("length", [20, 21, 25, 29, 30, 40, 64])
+def test_unnamed_tokens_of_every_length(length):
+    found = sum(bool(secrets.find_secrets(f'x = "{token(k, length)}"')) for k in range(300))
+    assert found >= 285
+
+
+def test_identifiers_are_no_tokens():
+    for name in ("UserProfileSettingsController2V10", "src/components/TableHeaderRow12/index30.tsx", "2ihzHV" * 100, "NOME_DO_CAMPO_LONGO=42m"):
+        assert secrets.find_secrets(f"x = {name}") == []
+
+
+def test_a_key_without_its_end_is_masked_to_its_last_line():
+    own = random.Random(1)
+    lines = ["".join(own.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(120)] + ["abcD12=="]
+    text = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines) + "\nThe paragraph that follows is ordinary documentation of the service.\n"
+    found = secrets.find_secrets(text)
+    masked = secrets.mask(text, found)
+    assert {line for line, _, _ in found} == {1}
+    assert not any(line in masked for line in lines) and masked.endswith("ordinary documentation of the service.\n")
+
+
+def test_account_words_alone():
+    assert secrets.find_secrets("# user bob / Xy12$abcd!") != []
+
+
+def test_masked_texts_come_once_for_each_text(spark, data, tmp_path):
+    rows = [("a", 'password = "Gasel@2014x"\ntoken = "Hq2x9LmZk41sTTr8"'), ("a", 'password = "Gasel@2014x"\ntoken = "Hq2x9LmZk41sTTr8"'), ("a", 'senha: "Outra#99z"')]
+    found = secrets.scan(spark.createDataFrame(rows, "i string, t string"), "i", "t", "x", with_text=True)
+    assert sorted((r["lines"], r["n_secrets"]) for r in found.collect()) == [([1], 1), ([1, 2], 2), ([1, 2], 2)]
+    whole = QUERIES["p6_masked"](spark, data)
+    assert whole.count() == whole.select("tbl", "rec_id", "masked").distinct().count()
