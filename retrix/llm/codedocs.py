@@ -17,15 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: File endings and names of the languages that are read.
-ENDINGS = {
-    "py": "python", "pyi": "python", "pyw": "python",
-    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
-    "ts": "typescript", "tsx": "typescript",
-    "java": "java",
-    "cs": "csharp",
-}
-NAMES = {"python": "python", "py": "python", "javascript": "javascript", "js": "javascript", "typescript": "typescript", "ts": "typescript", "java": "java", "csharp": "csharp", "c#": "csharp", "cs": "csharp"}
+from retrix.functions.lexing import ENDINGS, NAMES, Brackets, lex, skip_space
 
 #: Words that stand before a bracket without naming a function.
 KEYWORDS = frozenset(
@@ -44,58 +36,10 @@ class Pair:
     docstring: str
 
 
-_PYTHON = re.compile(
-    r"""(?P<comment>\#[^\n]*)|(?P<string>(?P<prefix>\b[rRuUbBfF]{1,2})?(?:\"\"\"(?:[^\\]|\\.)*?(?:\"\"\"|\Z)|'''(?:[^\\]|\\.)*?(?:'''|\Z)|\"(?:[^"\\\n]|\\.)*(?:\"|(?=\n)|\Z)|'(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z)))""",
-    re.S,
-)
-_CURLY = {
-    "javascript": re.compile(
-        r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>`(?:[^`\\]|\\.)*(?:`|\Z)|"(?:[^"\\\n]|\\.)*(?:"|(?=\n)|\Z)|'(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z))|(?P<regex>(?<=[=(,:;!&|?{}\[])[ \t]*/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*)""",
-        re.S,
-    ),
-    "java": re.compile(r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\"\"\"(?:[^\\]|\\.)*?(?:\"\"\"|\Z)|"(?:[^"\\\n]|\\.)*(?:"|(?=\n)|\Z)|'(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z))""", re.S),
-    "csharp": re.compile(
-        r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>\$*\"\"\".*?(?:\"\"\"|\Z)|(?:\$@|@\$|@)"(?:[^"]|"")*(?:"|\Z)|\$?"(?:[^"\\\n]|\\.)*(?:"|(?=\n)|\Z)|'(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z))""",
-        re.S,
-    ),
-}
-_CURLY["typescript"] = _CURLY["javascript"]
-_INSIDE = re.compile(r"[^\n]")
-
-
-def lex(text: str, language: str) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with strings and comments blanked (same length and lines), and their spans by kind."""
-    pattern = _PYTHON if language == "python" else _CURLY[language]
-    parts, spans, at = [], [], 0
-    for found in pattern.finditer(text):
-        start, end = found.span()
-        kind = found.lastgroup if found.lastgroup != "prefix" else "string"
-        kind = "comment" if found.group("comment") is not None else kind
-        spans.append((start, end, "comment" if kind == "comment" else "string"))
-        parts.append(text[at:start])
-        blank = _INSIDE.sub(" ", text[start:end])
-        parts.append(blank if kind == "comment" or not blank else '"' + blank[1:])
-        at = end
-    parts.append(text[at:])
-    return "".join(parts), spans
-
-
-def _closing(code: str, at: int) -> int:
-    """Place after the bracket that closes the one at ``at``, or -1."""
-    depth = 0
-    for found in _BRACKET.finditer(code, at):
-        depth += 1 if found.group() in "([{" else -1
-        if depth == 0:
-            return found.end()
-    return -1
-
-
-_BRACKET = re.compile(r"[()\[\]{}]")
-
 _PY_DEF = re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<name>\w+)[ \t]*(?:\[[^\]]*\])?[ \t]*(?=\()", re.M)
 _MODIFIER = r"(?:(?:public|private|protected|internal|static|final|abstract|async|override|virtual|sealed|readonly|synchronized|native|default|strictfp|extern|unsafe|partial|new|export|declare|accessor|get|set)\s+)"
 _JS_NAMED = re.compile(r"\bfunction\b\s*\*?\s*(?P<name>[\w$]+)\s*(?=[<(])")
-_JS_BEFORE = re.compile(r"(?:(?:export|default|declare|async)\s+)*\Z")
+_JS_BEFORE = frozenset(("export", "default", "declare", "async"))
 _JS_VALUE = re.compile(
     r"^[ \t]*+(?:export\s+)?(?:default\s+)?(?:const\s+|let\s+|var\s+|" + _MODIFIER + r"+)?(?:[\w$]+\.)*(?P<name>\#?[\w$]+)[ \t]*(?::[^=;,(){}\n]+)?(?:=|:)(?![=>])[ \t]*(?:async\s+|async(?=\())?(?P<value>function\b\s*\*?|(?=[(<])|[\w$]+\s*=>)", re.M
 )
@@ -104,23 +48,22 @@ _TYPE = r"[\w.]+(?:\s*<[^;(){}=]*?>)?(?:\s*\[[\s,]*\])*\??"
 _TYPED = re.compile(r"^[ \t]*+(?:@[\w.]+(?:\([^)\n]*\))?[ \t]+|\[[^\]\n]*\][ \t]*)*(?P<mods>" + _MODIFIER + r"*)(?:<[^;(){}=]*?>\s+)?(?P<type>" + _TYPE + r")\s+(?P<name>\w+)\s*(?:<[^;(){}=]*?>\s*)?(?=\()", re.M)
 _BUILT = re.compile(r"^[ \t]*+(?P<mods>" + _MODIFIER + r"+)(?P<name>\w+)\s*(?=\()", re.M)
 _TYPED_VALUE = re.compile(r"^[ \t]*+" + _MODIFIER + r"*(?P<type>" + _TYPE + r")\s+(?P<name>\w+)\s*=\s*(?:async\s+)?(?P<value>(?=\()|\w+\s*[-=]>)", re.M)
-_SPACE = re.compile(r"\s*")
+#: What ends a return annotation or opens a part of it.
+_ANNOTATED = re.compile(r"[:;\n(\[{]")
 
 
-def _skip(code: str, at: int) -> int:
-    return _SPACE.match(code, at).end()
-
-
-def _arguments(code: str, at: int) -> int:
-    """Place after the parameter list that begins at ``at`` or after type parameters there, or -1."""
-    if at < len(code) and code[at] == "<":
-        depth = 0
-        for k in range(at, min(len(code), at + 400)):
-            depth += (code[k] == "<") - (code[k] == ">" and code[k - 1] != "=")
-            if depth == 0:
-                at = _skip(code, k + 1)
-                break
-    return _closing(code, at) if at < len(code) and code[at] == "(" else -1
+def _words_before(code: str, at: int) -> int:
+    """Where the words begin that belong to the function at ``at``."""
+    while True:
+        end = at
+        while end and code[end - 1].isspace():
+            end -= 1
+        begin = end
+        while begin and code[begin - 1].isalpha():
+            begin -= 1
+        if begin == end or end == at or code[begin:end] not in _JS_BEFORE:
+            return at
+        at = begin
 
 
 @dataclass(frozen=True)
@@ -131,60 +74,60 @@ class Definition:
     name: str
 
 
-def _python_definitions(code: str) -> Iterator[Definition]:
+def _python_definitions(code: str, brackets: Brackets) -> Iterator[Definition]:
     for found in _PY_DEF.finditer(code):
-        end = _closing(code, found.end())
+        end = brackets.closing(found.end())
         if end < 0:
             continue
-        colon = code.find(":", end)
-        between = code[end:colon] if colon >= 0 else "x"
-        while colon >= 0 and between.count("[") > between.count("]"):
-            colon = code.find(":", colon + 1)
-            between = code[end:colon]
-        if colon >= 0 and re.fullmatch(r"\s*(?:->\s*[^\n]*(?:\n[^\n]*){0,8})?\s*", between):
-            yield Definition(found.start(), found.start("name"), colon + 1, found.group("name"))
-
-
-def _script_definitions(code: str, typed: bool) -> Iterator[Definition]:
+        at = skip_space(code, end)
+        if code.startswith("->", at):  # an annotation goes on to the first colon outside brackets
+            while mark := _ANNOTATED.search(code, at):
+                at = mark.end() if mark.group() not in "([{" else brackets.closing(mark.start())
+                if at < 0 or mark.group() in ":\n;":
+                    break
+            at = mark.start() if mark and at >= 0 else len(code)
+        if code[at : at + 1] == ":":
+            yield Definition(found.start(), found.start("name"), at + 1, found.group("name"))
+
+
+def _script_definitions(code: str, typed: bool, brackets: Brackets) -> Iterator[Definition]:
     body = re.compile(r"\s*(?::\s*[^;{}=]+?(?:\{[^{}]*\}[^;{}=]*?)?)?\s*\{") if typed else re.compile(r"\s*\{")
     arrow = re.compile(r"\s*(?::\s*[^;={}]+?(?:\{[^{}]*\}[^;={}]*?)?)?\s*=>")
     for found in _JS_NAMED.finditer(code):
-        end = _arguments(code, found.end())
+        end = brackets.arguments(found.end())
         if end > 0 and found.group("name") not in KEYWORDS:
-            low = max(0, found.start() - 80)
-            start = low + _JS_BEFORE.search(code[low : found.start()]).start()
-            yield Definition(start, found.start("name"), end, found.group("name"))
+            yield Definition(_words_before(code, found.start()), found.start("name"), end, found.group("name"))
     for found in _JS_VALUE.finditer(code):
         value, end = found.group("value"), found.end()
         if found.group("name") in KEYWORDS:
             continue
         if value.startswith("function"):
-            end = _skip(code, end)
+            end = skip_space(code, end)
             name = re.compile(r"[\w$]*\s*").match(code, end)
-            end = _arguments(code, name.end())
+            end = brackets.arguments(name.end())
             if end > 0:
                 yield Definition(found.start(), found.start("name"), end, found.group("name"))
         elif value:
             yield Definition(found.start(), found.start("name"), end, found.group("name"))
         else:
-            end = _arguments(code, end)
+            end = brackets.arguments(end)
             if end > 0 and (arrived := arrow.match(code, end)):
                 yield Definition(found.start(), found.start("name"), arrived.end() - 2, found.group("name"))
     for found in _JS_METHOD.finditer(code):
         if found.group("name") in KEYWORDS:
             continue
-        end = _arguments(code, found.end())
+        end = brackets.arguments(found.end())
         if end > 0 and (opened := body.match(code, end)):
             yield Definition(found.start(), found.start("name"), opened.end() - 1, found.group("name"))
 
 
-def _typed_definitions(code: str, language: str) -> Iterator[Definition]:
+def _typed_definitions(code: str, language: str, brackets: Brackets) -> Iterator[Definition]:
     tail = re.compile(r"\s*(?:throws\s+[\w.,\s<>]+?|:\s*(?:base|this)\s*\([^)]*\)|where\s+[^{;]+?)?\s*(?P<body>\{|=>|;|default\b)")
     for pattern in (_TYPED, _BUILT):
         for found in pattern.finditer(code):
             if found.group("name") in KEYWORDS or (pattern is _TYPED and found.group("type").split("<")[0].split("[")[0] in KEYWORDS):
                 continue
-            end = _closing(code, found.end())
+            end = brackets.closing(found.end())
             if end > 0 and (after := tail.match(code, end)) and (after.group("body") != "=>" or language == "csharp"):
                 yield Definition(found.start(), found.start("name"), after.start("body"), found.group("name"))
     for found in _TYPED_VALUE.finditer(code):
@@ -192,7 +135,7 @@ def _typed_definitions(code: str, language: str) -> Iterator[Definition]:
             continue
         end = found.end()
         if not found.group("value"):
-            end = _closing(code, end)
+            end = brackets.closing(end)
             if end < 0 or not re.compile(r"\s*[-=]>").match(code, end):
                 continue
         yield Definition(found.start(), found.start("name"), end, found.group("name"))
@@ -279,9 +222,10 @@ def trivial(documentation: str, name: str) -> bool:
 def pairs(text: str, language: str) -> list[Pair]:
     """All definitions of a file with documentation that says something, in order of place."""
     code, spans = lex(text, language)
+    brackets = Brackets(code)
     found: dict[int, tuple[Definition, str]] = {}
     if language == "python":
-        definitions = list(_python_definitions(code))
+        definitions = list(_python_definitions(code, brackets))
         strings = [(s, e) for s, e, kind in spans if kind == "string"]
         starts = [s for s, _ in strings]
         for d in definitions:
@@ -294,12 +238,12 @@ def pairs(text: str, language: str) -> list[Pair]:
             if literal and not set(literal.group(1).lower()) & set("bf") and (not rest or rest.startswith(";")):
                 found[d.name_at] = (d, literal.group(3))
     else:
-        definitions = list(_script_definitions(code, language == "typescript")) if language in ("javascript", "typescript") else list(_typed_definitions(code, language))
+        definitions = list(_script_definitions(code, language == "typescript", brackets)) if language in ("javascript", "typescript") else list(_typed_definitions(code, language, brackets))
         documented = _documentation(text, spans, language)
         ends = [e for _, e in documented]
         others = [s for s, _, kind in spans if kind == "comment"]
         for d in sorted(definitions, key=lambda d: d.start):
-            head = _skip(code, d.start)
+            head = skip_space(code, d.start)
             k = bisect_right(ends, head) - 1  # the nearest documentation that ends before the definition
             if k < 0 or d.name_at in found:
                 continue
@@ -313,7 +257,7 @@ def pairs(text: str, language: str) -> list[Pair]:
     for place, (d, documentation) in sorted(found.items()):
         if trivial(documentation, d.name):
             continue
-        head = _skip(code, d.start)
+        head = skip_space(code, d.start)
         column = head - (code.rfind("\n", 0, head) + 1)
         k = bisect_left(classes, (d.start, 0)) - 1
         kind = "method" if k >= 0 and column > classes[k][1] else "function"
