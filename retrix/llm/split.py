@@ -22,6 +22,8 @@ PARAGRAPH, SENTENCE, LINE, WORD, ANY, JOINED = 5, 4, 3, 2, 1, 0
 DEFAULT_SIZE = 500
 #: The least share of the size that a piece takes if a boundary is to be preferred at all.
 MIN_FILL = 0.5
+#: Characters whose strengths are found at once, and windows that a sparse table covers.
+BLOCK, WINDOWS = 1 << 20, 8
 
 #: Marks that end sentences, those that do so without a blank after them, and closing marks.
 TERMINATORS = ".!?…。！？؟।"
@@ -52,12 +54,53 @@ def _classes() -> np.ndarray:
     return table
 
 
+def _points_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _kinds(points: np.ndarray) -> np.ndarray:
+    kind = _classes()[np.minimum(points, _POINTS - 1)]
+    return np.where((points >= 0xE0020) & (points < 0xE01F0), _MARK, kind).astype(np.uint8)
+
+
+def _flags(points: np.ndarray) -> np.ndarray:
+    return (points >= 0x1F1E6) & (points <= 0x1F1FF)
+
+
 def strengths(text: str) -> np.ndarray:
-    """Boundary strength of a cut before each position 0..len(text)."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    """Boundary strength of a cut before each position 0..len(text), a byte each.
+
+    A text is read in blocks that begin at a letter or the like behind another one: there the strengths before and
+    behind don't depend on each other, so nothing but the result grows with the text.
+    """
+    parts, at = [], 0
+    while len(text) - at > BLOCK:
+        points = _points_of(text[at + BLOCK - 1 : at + BLOCK + 4096])
+        plain = (_kinds(points) == 0) & ~_flags(points)
+        fit = np.flatnonzero(plain[1:] & plain[:-1])
+        shift = BLOCK + (int(fit[0]) if len(fit) else 4096)
+        while not len(fit) and at + shift < len(text):  # no such place near: look on
+            points = _points_of(text[at + shift - 1 : at + shift + 4096])
+            plain = (_kinds(points) == 0) & ~_flags(points)
+            fit = np.flatnonzero(plain[1:] & plain[:-1])
+            shift += int(fit[0]) if len(fit) else 4096
+        if at + shift >= len(text):
+            break
+        parts.append(_block_strengths(text[at : at + shift])[:-1])
+        at += shift
+    parts.append(_block_strengths(text[at:]))
+    if at:  # the first place of a block is one between two letters
+        ends = np.cumsum([len(x) for x in parts[:-1]])
+        out = np.concatenate(parts)
+        out[ends] = ANY
+        return out
+    return parts[0]
+
+
+def _block_strengths(text: str) -> np.ndarray:
+    points = _points_of(text)
     n = len(points)
-    kind = _classes()[np.minimum(points, _POINTS - 1)]
-    kind = np.where((points >= 0xE0020) & (points < 0xE01F0), _MARK, kind)
+    kind = _kinds(points)
     space = (kind & _SPACE) > 0
     out = np.full(n + 1, ANY, dtype=np.int8)
     after = out[1:]
@@ -65,7 +108,7 @@ def strengths(text: str) -> np.ndarray:
     line = (kind & _NEWLINE) > 0
     after[line] = LINE
     # the last character before a run of blanks, without closing marks
-    place = np.arange(n, dtype=np.int64)
+    place = np.arange(n, dtype=np.int32)
     solid = np.maximum.accumulate(np.where(space, -1, place))
     bare = np.maximum.accumulate(np.where(space | ((kind & _CLOSE) > 0), -1, place))
     ends = (kind & _END) > 0
@@ -90,36 +133,57 @@ def strengths(text: str) -> np.ndarray:
 
 
 class SparseTable:
-    """Range maximum over strengths; answers with the position of the rightmost strongest."""
+    """Range maximum over strengths; answers with the position of the rightmost strongest.
+
+    The table covers the part of the positions that is asked for at the moment, ``WINDOWS`` times the longest
+    window, and is built anew further on: it takes the same room for a text of any length. Questions come in
+    ascending order, or each builds its own part.
+    """
 
     def __init__(self, values: np.ndarray, longest: int):
-        base = values.astype(np.int64) << 40 | np.arange(len(values))
-        self.levels = [base]
+        self.values, self.longest = values, max(1, longest)
+        self._cover(0)
+
+    def _cover(self, low: int) -> None:
+        self.low = low
+        part = self.values[low : low + (WINDOWS + 1) * (self.longest + 1)]
+        self.high = low + len(part) - 1
+        self.levels = [part.astype(np.int64) << 40 | np.arange(low, low + len(part))]
         width = 1
-        while width * 2 <= min(longest, len(base)):
+        while width * 2 <= min(self.longest, len(part)):
             below = self.levels[-1]
             self.levels.append(np.maximum(below[:-width], below[width:]))
             width *= 2
 
     def strongest(self, low: int, high: int) -> int:
-        """Position of the rightmost strongest in low..high, both included."""
+        """Position of the rightmost strongest in low..high, both included, at most ``longest`` of them."""
+        if low < self.low or high > self.high:
+            self._cover(low)
         level = (high - low + 1).bit_length() - 1
         row = self.levels[level]
-        best = max(row[low], row[high - (1 << level) + 1])
+        best = max(row[low - self.low], row[high - (1 << level) + 1 - self.low])
         return int(best) & ((1 << 40) - 1)
 
 
 def cut_points(text: str, size: int, overlap: int, min_fill: float = MIN_FILL) -> list[tuple[int, int]]:
-    """Start and end of each piece; one piece where the text fits."""
+    """Start and end of each piece; one piece where the text fits.
+
+    A cut is sought in the window from ``min_fill`` of the size on, and where that holds no boundary, in what
+    lies before it.
+    """
     n = len(text)
     if n <= size:
         return [(0, n)]
     overlap = min(max(overlap, 0), size - 1)
-    table = SparseTable(strengths(text), size)
+    values = strengths(text)
+    table = SparseTable(values, size)
     least = max(overlap + 1, int(size * min_fill))
     pieces, start = [], 0
     while n - start > size:
         end = table.strongest(start + least, start + size)
+        if values[end] < WORD and least > overlap + 1:
+            earlier = table.strongest(start + overlap + 1, start + least - 1)
+            end = earlier if values[earlier] >= WORD else end
         pieces.append((start, end))
         start = end - overlap
     return [*pieces, (start, n)]
