@@ -240,10 +240,8 @@ def residue_of(text: str, path: str | None, index: Index) -> tuple[str, float] |
             before = []
             continue
         covered, kind, only_weak = index.match(found)
-        if "⟨field⟩" in found and kind is not None:
-            tight = bool(_FIELD.search(bare))
-            if tight and "⟨quoted⟩" not in found or covered >= COVERED:
-                return "field", covered
+        if covered >= COVERED and kind is not None and "⟨field⟩" in found:
+            return "field", covered
         if covered < COVERED and before:
             both, kind2, weak2 = index.match(before + found)
             if both >= COVERED and kind2 != "field":
