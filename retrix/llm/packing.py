@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retrix.llm.similar import _Codes, _WORD
-from retrix.llm.tokens import DEFAULT_VOCABULARY, encoder
+from retrix.llm.tokens import DEFAULT_VOCABULARY, encoder, ship
 from retrix.sources.tables import cut
 
 CAPACITY = 2048
@@ -176,7 +176,8 @@ def _packed(items: DataFrame, shards: int, capacity: int, name: str) -> DataFram
         if held:
             yield done()
 
-    shard = F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("int").alias("shard")
+    # the row's own number too: an id, null for one, that comes with a third of all rows must not fill one shard
+    shard = F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(shards)).cast("int").alias("shard")
     spread = items.select(shard, "id", "piece", "first_token", "n_tokens", "terms").repartition("shard").sortWithinPartitions("shard", "id", "piece")
     return spread.mapInArrow(fill, f"id {kind}, piece int, first_token int, n_tokens int, terms binary, container string, start_at int, used int")
 
@@ -193,6 +194,7 @@ def fill_containers(
     again; a null id stays null. No container holds more than the capacity. An empty table gives an empty
     result.
     """
+    ship(df.sparkSession, vocabulary)
     pieces = cut(measure(df, id_col, text_col, capacity, vocabulary))
     items = pieces.where("terms is not null")
     shards = max(1, -(-items.count() // shard_items))

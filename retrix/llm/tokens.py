@@ -15,12 +15,14 @@ Equal fragments have equal ids, so each task encodes a fragment once and looks i
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -163,9 +165,17 @@ class ForcedBoundaryEncoder:
         return (np.concatenate(counts) if counts else none), (np.concatenate(parts) if parts else none.astype(np.int32)) if ids else None
 
 
+def ship(spark: SparkSession, path: str) -> None:
+    """Send the vocabulary's file to every executor, if the driver holds it (a few hundred kilobytes to a few megabytes)."""
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> ForcedBoundaryEncoder:
-    return ForcedBoundaryEncoder(path)
+    """The encoder of a worker process; from the copy that was sent to it, else from the path itself."""
+    sent = SparkFiles.get(os.path.basename(path)) if getattr(SparkFiles, "_is_running_on_worker", False) else path
+    return ForcedBoundaryEncoder(sent if os.path.exists(sent) else path)
 
 
 def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -173,8 +183,9 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = D
 
     One row per input row, in no order. A null and an empty text give the empty list; a null id stays
     null. A text of any length is encoded whole. Other columns of ``df``, whatever their names, are ignored.
-    Nothing is shuffled.
+    Nothing is shuffled. ``vocabulary`` is a path of the driver; the file is sent to the executors.
     """
+    ship(df.sparkSession, vocabulary)
     kind = df.schema[id_col].dataType
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
