@@ -5,9 +5,12 @@ Every vector asks the lists nearest to it: a table of distances between its own
 gives an estimate for each code of a list, the best estimates are ranked again by the exact cosine in
 double precision, and the answers of the lists are put together.
 
-The models are fitted on a bounded sample (SAMPLE rows, the least by a hash of the id); every vector is
-indexed and every vector asks. Neighbouring lists form groups, so that a query is sent once to all the lists it asks in a group; groups of
-more than GROUP_LIMIT vectors are divided, by their entries and by those that ask, so no task holds a whole hot one.
+The models are fitted on a bounded sample (SAMPLE rows, the least by a hash of the vector); every vector is
+indexed and every vector asks. Lists hold LIST_SIZE vectors on average whatever their number: beyond COARSE lists,
+each is divided by a second level of centroids over what the first one leaves. So the work for a vector, and
+the bytes sent for it, don't grow with the collection. Neighbouring lists form groups, so that a query is sent
+once to all the lists it asks in a group; a group of more than GROUP_LIMIT vectors is divided into blocks of its
+entries, each sent once, so no task holds a whole hot one.
 Equal vectors are indexed once with their smallest ids: a group of copies of any size stays small.
 """
 
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrix.llm.sampling import least_by_hash
@@ -25,16 +28,24 @@ from retrix.sources.tables import cut
 
 #: Rows on which the models are fitted.
 SAMPLE = 16_384
-MAX_LISTS = 4096
+#: Vectors of a list on average, and lists up to which one level of centroids does (there are as many as the root of
+#: the number of vectors at least).
+LIST_SIZE, COARSE = 340, 1024
 SUBSPACES = 16
 CODEWORDS = 64
 PROBES = 12
 #: Neighbouring lists that lie in one cell, so that a query goes there once for all of them.
 LISTS_PER_GROUP = 40
+#: Groups at least, if there are that many lists.
+LEAST_GROUPS = 9
 #: Vectors of a group of lists that one task holds.
 GROUP_LIMIT = 65_536
 #: Candidates of one list, besides k, whose exact cosine is computed.
 RERANK = 32
+#: Nearest centroids of the first level, for each list that is asked, below which lists of the second are sought.
+BEAM = 2
+#: Numbers of a matrix that a task makes at once.
+AT_ONCE = 1 << 21
 DIGITS = 12
 
 
@@ -69,29 +80,63 @@ def assign(data: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
-    """Coarse centroids and the codebooks of the residuals' parts."""
+    """Centroids of one or two levels, and the codebooks of the residuals' parts.
 
-    def __init__(self, sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codewords: int = CODEWORDS, seed: int = 7):
-        self.centroids = _kmeans(sample, lists, 8, seed)
-        self.group_of = assign(self.centroids, _kmeans(self.centroids, -(-len(self.centroids) // LISTS_PER_GROUP), 10, seed))[0]
-        residual = sample - self.centroids[assign(sample, self.centroids)[0]]
+    List ``i * len(fine) + j`` has the centroid ``coarse[i] + fine[j]``.
+    """
+
+    def __init__(self, sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codewords: int = CODEWORDS, seed: int = 7, coarse: int = COARSE):
+        self.coarse = _kmeans(sample, min(lists, coarse), 8, seed)
+        residual = sample - self.coarse[assign(sample, self.coarse)[0]]
+        self.fine = np.zeros((1, sample.shape[1]), dtype=sample.dtype)
+        if lists > coarse:
+            self.fine = _kmeans(residual, -(-lists // coarse), 8, seed + 101)
+            residual = residual - self.fine[assign(residual, self.fine)[0]]
+        first = -(-len(self.coarse) * min(len(self.fine), LISTS_PER_GROUP) // LISTS_PER_GROUP)
+        self._first = assign(self.coarse, _kmeans(self.coarse, max(first, LEAST_GROUPS), 10, seed))[0]
+        self._second = assign(self.fine, _kmeans(self.fine, -(-len(self.fine) // LISTS_PER_GROUP), 10, seed))[0]
+        self._seconds = int(self._second.max()) + 1
         self.parts = np.array_split(np.arange(sample.shape[1]), min(subspaces, sample.shape[1]))
         self.books = [_kmeans(np.ascontiguousarray(residual[:, p]), codewords, 6, seed + 1 + k) for k, p in enumerate(self.parts)]
 
+    def centroid(self, lists: np.ndarray) -> np.ndarray:
+        return self.coarse[lists // len(self.fine)] + self.fine[lists % len(self.fine)]
+
+    def group_of(self, lists: np.ndarray) -> np.ndarray:
+        return self._first[lists // len(self.fine)] * self._seconds + self._second[lists % len(self.fine)]
+
+    def place(self, data: np.ndarray) -> np.ndarray:
+        """The list of each row."""
+        near = assign(data, self.coarse)[0]
+        if len(self.fine) == 1:
+            return near
+        return near * len(self.fine) + assign(data - self.coarse[near], self.fine)[0]
+
     def encode(self, data: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        residual = data - self.centroids[lists]
+        residual = data - self.centroid(lists)
         return np.stack([assign(np.ascontiguousarray(residual[:, p]), book)[0] for p, book in zip(self.parts, self.books)], axis=1).astype(np.uint8)
 
     def probes(self, data: np.ndarray, count: int) -> np.ndarray:
-        count = min(count, len(self.centroids))
-        scores = (self.centroids**2).sum(axis=1) - 2 * data @ self.centroids.T
-        if count == len(self.centroids):
-            return np.tile(np.arange(count), (len(data), 1))
-        return np.argpartition(scores, count - 1, axis=1)[:, :count]
+        """The ``count`` lists nearest to each row."""
+        beam = count if len(self.fine) == 1 else BEAM * count
+        scores = (self.coarse**2).sum(axis=1) - 2 * data @ self.coarse.T
+        near = np.tile(np.arange(len(self.coarse)), (len(data), 1)) if beam >= len(self.coarse) else np.argpartition(scores, beam - 1, axis=1)[:, :beam]
+        if len(self.fine) == 1:
+            return near
+        between = 2 * self.coarse @ self.fine.T
+        out = []
+        step = max(1, AT_ONCE // (near.shape[1] * len(self.fine)))
+        for at in range(0, len(data), step):
+            some = near[at : at + step]
+            own = (self.fine**2).sum(axis=1) - 2 * data[at : at + step] @ self.fine.T
+            both = (np.take_along_axis(scores[at : at + step], some, axis=1)[:, :, None] + own[:, None, :] + between[some]).reshape(len(some), -1)
+            best = np.argpartition(both, min(count, both.shape[1]) - 1, axis=1)[:, :count]
+            out.append(np.take_along_axis(some, best // len(self.fine), axis=1) * len(self.fine) + best % len(self.fine))
+        return np.concatenate(out) if out else near
 
     def estimate(self, queries: np.ndarray, number: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of queries to the codes of a list: a table per part, looked up by code."""
-        residual = queries - self.centroids[number]
+        residual = queries - self.centroid(np.array([number]))
         total = np.zeros((len(queries), len(codes)), dtype=np.float32)
         for k, (p, book) in enumerate(zip(self.parts, self.books)):
             table = (book**2).sum(axis=1) - 2 * residual[:, p] @ book.T
@@ -137,13 +182,16 @@ def top_similar(
     sample: int = SAMPLE,
     group_limit: int = GROUP_LIMIT,
     lists: int | None = None,
+    coarse: int = COARSE,
+    asking: Column | None = None,
 ) -> DataFrame:
     """The k most similar other vectors of every usable vector: ``id``, ``other``, ``cosine``, ``rank``.
 
     Cosines are in double precision, rounded to 12 decimals; ties go to the smaller id. A vector that is
     null, of another length, not finite or all zero takes no part; an id takes part once (with the least of
     its vectors, if it has several). With fewer than k others all of them come out. An empty table gives an
-    empty result. ``lists`` defaults to the root of the number of different vectors, up to MAX_LISTS.
+    empty result. ``lists`` defaults to one for LIST_SIZE different vectors, or their root if that is more.
+    ``asking``: a condition on ``id`` for those that ask; all are answers.
     """
     spark = df.sparkSession
     keep = k + 1
@@ -155,76 +203,76 @@ def top_similar(
             rows = flat.reshape(-1, dimension) if len(flat) else np.zeros((0, dimension), np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([row.tobytes() for row in rows], type=pa.binary())], names=["id", "packed"])
 
-    packed = cut(vectors.mapInArrow(pack, "id long, packed binary"))
-    # equal vectors: one entry of the index, named by the smallest id; its k + 1 smallest ids can be answers
-    sizes = packed.groupBy("packed").agg(F.min("id").alias("entry"), F.count(F.lit(1)).alias("size"))
-    entries = cut(sizes)
-    crowded = entries.where("size > 1").select("packed", "entry")
-    ranked = packed.join(crowded, "packed").select("id", "entry")
-    copies = cut(ranked)
-    total = entries.count()
-    fitted = least_by_hash(entries.select("entry", "packed"), F.col("entry"), sample, total)
+    asks = asking if asking is not None else F.lit(True)
+    packed = cut(vectors.mapInArrow(pack, "id long, packed binary").withColumn("asks", asks))
+    total = packed.agg(F.approx_count_distinct("packed")).first()[0]
+    fitted = least_by_hash(packed.select("packed"), F.col("packed"), sample, total, distinct=True)
     if not fitted:
         return spark.createDataFrame([], "id long, other long, cosine double, rank int")
     points = _unit(np.frombuffer(b"".join(bytes(r["packed"]) for r in fitted), dtype=np.float32).reshape(-1, dimension)).astype(np.float32)
-    model = spark.sparkContext.broadcast(Model(points, lists or int(min(MAX_LISTS, max(1, total**0.5)))))  # at most MAX_LISTS centroids
+    lists = lists or max(1, round(total**0.5), -(-total // LIST_SIZE))
+    model = spark.sparkContext.broadcast(Model(points, lists, coarse=coarse))  # at most COARSE centroids and SAMPLE rows below
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
             if batch.num_rows:
-                unit = _unit(_matrix(batch.column(1), dimension)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(assign(unit, own.centroids)[0].astype(np.int32)), batch.column(0), batch.column(1)], names=["list", "entry", "packed"])
+                number = own.place(_unit(_matrix(batch.column(0), dimension)).astype(np.float32))
+                columns = [pa.array(own.group_of(number)), pa.array(number), batch.column(1), batch.column(0), batch.column(2), batch.column(3)]
+                yield pa.RecordBatch.from_arrays(columns, names=["group", "list", "entry", "packed", "asks", "size"])
 
-    placed = cut(entries.select("entry", "packed").mapInArrow(place, "list int, entry long, packed binary"))
-    lengths = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # at most MAX_LISTS rows
-    held_by_group: dict[int, int] = {}
-    for number, count in lengths.items():
-        group = int(model.value.group_of[number])
-        held_by_group[group] = held_by_group.get(group, 0) + count
-    grid = spark.sparkContext.broadcast({group: (-(-count // group_limit), -(-count // group_limit)) for group, count in held_by_group.items()})
+    # equal vectors: one entry of the index, named by the smallest id; its k + 1 smallest ids can be answers
+    entries = packed.groupBy("packed").agg(F.min("id").alias("entry"), F.max("asks").alias("asks"), F.count(F.lit(1)).alias("size"))
+    placed = cut(entries.select("packed", "entry", "asks", "size").mapInArrow(place, "group long, list long, entry long, packed binary, asks boolean, size long"))
+    key = [F.xxhash64("packed").alias("k1"), F.xxhash64(F.lit(1), "packed").alias("k2")]
+    crowded = placed.where("size > 1").select(*key, "entry")
+    copies = cut(packed.select("id", "asks", *key).join(crowded, ["k1", "k2"]).select("id", "asks", "entry"))
+    hot = placed.groupBy("group").count().where(F.col("count") > group_limit).collect()  # one row for GROUP_LIMIT vectors at most
+    grid = spark.sparkContext.broadcast({r["group"]: -(-r["count"] // group_limit) for r in hot})
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Entries (``probed`` null, ``list`` their own) and queries (``probed``: lists to ask) of every cell.
-
-        A group's cells are its blocks of entries by its parts of queries.
-        """
-        own, cells = model.value, grid.value
-        groups = int(own.group_of.max()) + 1
-        block_count, part_count = (np.array([cells.get(x, (0, 0))[c] for x in range(groups)]) for c in (0, 1))
-        names = ["group", "cell", "list", "entry", "packed", "probed"]
-
-        def rows(batch, row, group, cell, lists, probed):
-            columns = [pa.array(group.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(lists.astype(np.int32))]
-            return pa.RecordBatch.from_arrays([*columns, batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row)), probed], names=names)
-
-        def each(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            row = np.repeat(np.arange(len(times)), times)
-            return row, np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        """Entries (``probed`` null, ``list`` their own), each once, and queries (``probed``: lists to ask), once for
+        each block of each group they ask."""
+        own, blocks = model.value, grid.value
+        names = ["group", "block", "list", "entry", "packed", "probed"]
+        crowded_groups = np.array(sorted(blocks), dtype=np.int64)
+        counts = np.array([blocks[x] for x in crowded_groups.tolist()], dtype=np.int64)
+
+        def block_count(group: np.ndarray) -> np.ndarray:
+            out = np.ones(len(group), dtype=np.int64)
+            if len(crowded_groups):
+                at = np.minimum(np.searchsorted(crowded_groups, group), len(crowded_groups) - 1)
+                out = np.where(crowded_groups[at] == group, counts[at], out)
+            return out
+
+        def rows(batch, row, group, block, lists, probed):
+            columns = [pa.array(group), pa.array(block.astype(np.int32)), pa.array(lists)]
+            return pa.RecordBatch.from_arrays([*columns, batch.column(2).take(pa.array(row)), batch.column(3).take(pa.array(row)), probed], names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists, share = batch.column(0).to_numpy(), batch.column(1).to_numpy() * 2654435761 % (1 << 31)
-            home = own.group_of[lists]
-            row, part = each(part_count[home])
-            group = home[row]
-            yield rows(batch, row, group, share[row] % block_count[group] * part_count[group] + part, lists[row], pa.nulls(len(row), pa.binary()))
-            near = own.probes(_unit(_matrix(batch.column(2), dimension)).astype(np.float32), probes)
-            asked, number = np.repeat(np.arange(len(lists)), near.shape[1]), near.reshape(-1)
-            group = own.group_of[number]
+            group, lists, share = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy() * 2654435761 % (1 << 31)
+            yield rows(batch, np.arange(len(lists)), group, share % block_count(group), lists, pa.nulls(len(lists), pa.binary()))
+            who = np.flatnonzero(batch.column(4).to_numpy(zero_copy_only=False))
+            if not len(who):
+                continue
+            near = own.probes(_unit(_matrix(batch.column(3).take(pa.array(who)), dimension)).astype(np.float32), probes)
+            asked, number = np.repeat(who, near.shape[1]), near.reshape(-1)
+            group = own.group_of(number)
             order = np.lexsort((number, group, asked))
             asked, number, group = asked[order], number[order], group[order]
             first = np.flatnonzero(np.append(True, (asked[1:] != asked[:-1]) | (group[1:] != group[:-1])))
             last = np.append(first[1:], len(asked))
-            packed_lists = pa.array([number[s:e].astype("<i2").tobytes() for s, e in zip(first, last)], type=pa.binary())
+            packed_lists = pa.array([number[s:e].astype("<i8").tobytes() for s, e in zip(first, last)], type=pa.binary())
             asked, group = asked[first], group[first]
-            row, block = each(block_count[group])
-            asked, group = asked[row], group[row]
-            yield rows(batch, asked, group, block * part_count[group] + share[asked] % np.maximum(part_count[group], 1), np.full(len(row), -1), packed_lists.take(pa.array(row)))
+            times = block_count(group)
+            row = np.repeat(np.arange(len(times)), times)
+            block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            yield rows(batch, asked[row], group[row], block, np.full(len(row), -1), packed_lists.take(pa.array(row)))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by cell, the entries before those that ask."""
+        """Rows come by group and block, the entries before those that ask."""
         own, at, index = model.value, None, None
         waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -240,8 +288,8 @@ def top_similar(
         def ask(entry: np.ndarray, raw: np.ndarray, probed: list[bytes]) -> pa.RecordBatch | None:
             unit = _unit(raw)
             narrow = unit.astype(np.float32)
-            lists = np.frombuffer(b"".join(probed), dtype="<i2")
-            asking = np.repeat(np.arange(len(entry)), [len(x) // 2 for x in probed])
+            lists = np.frombuffer(b"".join(probed), dtype="<i8")
+            asking = np.repeat(np.arange(len(entry)), [len(x) // 8 for x in probed])
             order = np.argsort(lists, kind="stable")
             lists, asking = lists[order], asking[order]
             starts = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
@@ -251,17 +299,19 @@ def top_similar(
                 if held is None:
                     continue
                 ids, vectors, codes = held
-                who = asking[s:e]
-                if len(ids) > keep + rerank:
-                    near = np.argpartition(own.estimate(narrow[who], int(lists[s]), codes), keep + rerank - 1, axis=1)[:, : keep + rerank]
-                else:
-                    near = np.broadcast_to(np.arange(len(ids)), (len(who), len(ids)))
-                exact = np.round(np.matmul(vectors[near], unit[who][:, :, None])[:, :, 0], DIGITS)
-                best = exact if exact.shape[1] <= keep else np.partition(exact, exact.shape[1] - keep, axis=1)[:, -keep:]
-                good = exact >= best.min(axis=1, keepdims=True)  # ties included
-                owners.append(np.broadcast_to(who[:, None], near.shape)[good])
-                others.append(ids[near[good]])
-                scores.append(exact[good])
+                step = max(1, AT_ONCE // len(ids))
+                for low in range(s, e, step):
+                    who = asking[low : min(e, low + step)]
+                    if len(ids) > keep + rerank:
+                        near = np.argpartition(own.estimate(narrow[who], int(lists[s]), codes), keep + rerank - 1, axis=1)[:, : keep + rerank]
+                    else:
+                        near = np.broadcast_to(np.arange(len(ids)), (len(who), len(ids)))
+                    exact = np.round(np.matmul(vectors[near], unit[who][:, :, None])[:, :, 0], DIGITS)
+                    best = exact if exact.shape[1] <= keep else np.partition(exact, exact.shape[1] - keep, axis=1)[:, -keep:]
+                    good = exact >= best.min(axis=1, keepdims=True)  # ties included
+                    owners.append(np.broadcast_to(who[:, None], near.shape)[good])
+                    others.append(ids[near[good]])
+                    scores.append(exact[good])
             if not owners:
                 return None
             owner, other, score = (np.concatenate(x) for x in (owners, others, scores))
@@ -271,12 +321,12 @@ def top_similar(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            group, cell, lists, entry = (batch.column(c).to_numpy() for c in range(4))
+            group, block, lists, entry = (batch.column(c).to_numpy() for c in range(4))
             raw = _matrix(batch.column(4), dimension)
             asks = lists < 0
-            change = np.flatnonzero((group[1:] != group[:-1]) | (cell[1:] != cell[:-1]) | (asks[1:] != asks[:-1])) + 1
+            change = np.flatnonzero((group[1:] != group[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
             for low, high in zip(np.append(0, change), np.append(change, len(group))):
-                place = (int(group[low]), int(cell[low]))
+                place = (int(group[low]), int(block[low]))
                 if place != at:
                     at, index = place, None
                     waiting.clear()
@@ -293,9 +343,9 @@ def top_similar(
                     if found is not None:
                         yield found
 
-    spread_rows = placed.mapInArrow(spread, "group int, cell int, list int, entry long, packed binary, probed binary")
-    in_cells = spread_rows.repartition("group", "cell").sortWithinPartitions("group", "cell", F.desc("list"))
-    answers = in_cells.mapInArrow(answer, "entry long, other long, cosine double")
+    spread_rows = placed.mapInArrow(spread, "group long, block int, list long, entry long, packed binary, probed binary")
+    in_blocks = spread_rows.repartition("group", "block").sortWithinPartitions("group", "block", F.desc("list"))
+    answers = in_blocks.mapInArrow(answer, "entry long, other long, cosine double")
 
     def choose(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by entry; the k + 1 best of each."""
@@ -319,13 +369,12 @@ def top_similar(
 
     merged = answers.repartition("entry").sortWithinPartitions("entry").mapInArrow(choose, "entry long, other long, cosine double")
     # answers of entries -> answers of ids: an entry stands for its copies, of which the smallest can be answers
-    from pyspark.sql import Window
-
     smallest = copies.withColumn("nth", F.row_number().over(Window.partitionBy("entry").orderBy("id"))).where(F.col("nth") <= keep).select(F.col("entry").alias("other"), F.col("id").alias("copy"))
     widened = merged.join(smallest, "other", "left").select("entry", F.coalesce("copy", "other").alias("other"), "cosine")
-    asking = widened.join(copies.select("entry", F.col("id").alias("asker")), "entry", "left").select(F.coalesce("asker", "entry").alias("id"), "other", "cosine").where("id <> other")
+    askers = copies.where("asks").select("entry", F.col("id").alias("asker"))  # an asking entry with copies has one here
+    answered = widened.join(askers, "entry", "left").select(F.coalesce("asker", "entry").alias("id"), "other", "cosine").where("id <> other")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
-    return asking.withColumn("rank", rank).where(F.col("rank") <= k)
+    return answered.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def similar_pairs(df: DataFrame, id_col: str, vector_col: str, k: int = 5, dimension: int = 64, **how) -> DataFrame:

@@ -62,7 +62,7 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
 
 def p4_top(spark: SparkSession, directory: str) -> DataFrame:
     """The five most similar entries, with their cosines, of every entry whose id is divisible by 100."""
-    return nearest.top_similar(table(spark, directory, "semantic_cache"), "id", "query_embedding").where("id % 100 = 0")
+    return nearest.top_similar(table(spark, directory, "semantic_cache"), "id", "query_embedding", asking=F.col("id") % 100 == 0)
 
 
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:

@@ -11,8 +11,8 @@ _STEPS = 1 << 24
 _SPARE = 1.3
 
 
-def least_by_hash(df: DataFrame, key: Column, count: int, total: int) -> list[Row]:
-    """The ``count`` rows with the least hash of ``key``, of ``total``: the same rows in every run.
+def least_by_hash(df: DataFrame, key: Column, count: int, total: int, distinct: bool = False) -> list[Row]:
+    """The ``count`` rows (``distinct``: different rows) with the least hash of ``key``, of ``total``: the same rows in every run.
 
     Only about 1.3 times as many rows as wanted get as far as the sort, so no more are sent to the driver,
     however many partitions there are.
@@ -20,4 +20,5 @@ def least_by_hash(df: DataFrame, key: Column, count: int, total: int) -> list[Ro
     share = min(1.0, (_SPARE * count + 200) / max(total, 1))
     place = F.xxhash64(key)
     near = df.where(F.shiftright(place, 40).bitwiseAND(F.lit(_STEPS - 1)) < F.lit(int(share * _STEPS)))
+    near = near.distinct() if distinct else near
     return near.orderBy(F.shiftright(place, 40).bitwiseAND(F.lit(_STEPS - 1)), place).limit(count).collect()

@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from retrix.llm import codedocs, defects, digest, nearest, packing, residue, secrets, split, tokens
 
@@ -76,11 +77,13 @@ def test_nearest_against_brute_force(spark):
     scores = np.round(unit @ unit.T, 12)
     np.fill_diagonal(scores, -9)
     true = {(i, int(j)) for i in range(900) for j in np.lexsort((np.arange(900), -scores[i]))[:5]}
-    for how in ({}, {"group_limit": 50, "probes": 8}):
+    for how in ({}, {"lists": 60, "coarse": 12}, {"group_limit": 50, "probes": 8}):
         found = {(r["id"], r["other"]) for r in nearest.top_similar(df, "i", "v", 5, 16, **how).collect()}
         assert len(found & true) / len(true) >= 0.9 and len(found) == len(true)
     copies = {(i, j) for i, j in found if 100 <= i < 140}
     assert all(100 <= j < 140 for _, j in copies) and len(copies) == 200
+    some = {(r["id"], r["other"]) for r in nearest.top_similar(df, "i", "v", 5, 16, group_limit=50, probes=8, asking=F.col("id") % 100 == 0).collect()}
+    assert some == {(i, j) for i, j in found if i % 100 == 0}
 
 
 def test_digests_merge_and_keep_their_bound(spark):
