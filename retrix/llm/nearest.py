@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retrix.llm.sampling import least_by_hash
@@ -36,8 +36,8 @@ CODEWORDS = 64
 PROBES = 12
 #: Neighbouring lists that lie in one cell, so that a query goes there once for all of them.
 LISTS_PER_GROUP = 40
-#: Groups at least, if there are that many lists.
-LEAST_GROUPS = 9
+#: Groups at least, if there are that many lists, and groups that a task takes where there are many.
+LEAST_GROUPS, GROUPS_PER_TASK = 9, 8
 #: Vectors of a group of lists that one task holds.
 GROUP_LIMIT = 65_536
 #: Candidates of one list, besides k, whose exact cosine is computed.
@@ -102,6 +102,10 @@ class Model:
     def centroid(self, lists: np.ndarray) -> np.ndarray:
         return self.coarse[lists // len(self.fine)] + self.fine[lists % len(self.fine)]
 
+    @property
+    def groups(self) -> int:
+        return (int(self._first.max()) + 1) * self._seconds
+
     def group_of(self, lists: np.ndarray) -> np.ndarray:
         return self._first[lists // len(self.fine)] * self._seconds + self._second[lists % len(self.fine)]
 
@@ -171,6 +175,14 @@ def _best(score: np.ndarray, owner: np.ndarray, other: np.ndarray, k: int) -> np
     return order[rank < k]
 
 
+def _keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each of so many partitions, a number that Spark's hash partitioning puts there."""
+    numbers = spark.range(0, 40 * parts + 400, 1, 1).select(F.col("id").cast("int").alias("key"))
+    found = {r["part"]: r["key"] for r in numbers.groupBy(F.pmod(F.hash("key"), F.lit(parts)).alias("part")).agg(F.min("key").alias("key")).collect()}
+    spare = next(iter(found.values()))
+    return [found.get(part, spare) for part in range(parts)]
+
+
 def top_similar(
     df: DataFrame,
     id_col: str,
@@ -229,12 +241,16 @@ def top_similar(
     copies = cut(packed.select("id", "asks", *key).join(crowded, ["k1", "k2"]).select("id", "asks", "entry"))
     hot = placed.groupBy("group").count().where(F.col("count") > group_limit).collect()  # one row for GROUP_LIMIT vectors at most
     grid = spark.sparkContext.broadcast({r["group"]: -(-r["count"] // group_limit) for r in hot})
+    # groups in turn to partitions: few of them would by chance meet in one
+    groups = model.value.groups + sum(grid.value.values()) - len(hot)
+    parts = min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups // GROUPS_PER_TASK)))
+    keys = np.array(_keys(spark, parts), dtype=np.int32)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Entries (``probed`` null, ``list`` their own), each once, and queries (``probed``: lists to ask), once for
         each block of each group they ask."""
         own, blocks = model.value, grid.value
-        names = ["group", "block", "list", "entry", "packed", "probed"]
+        names = ["part", "group", "block", "list", "entry", "packed", "probed"]
         crowded_groups = np.array(sorted(blocks), dtype=np.int64)
         counts = np.array([blocks[x] for x in crowded_groups.tolist()], dtype=np.int64)
 
@@ -246,7 +262,7 @@ def top_similar(
             return out
 
         def rows(batch, row, group, block, lists, probed):
-            columns = [pa.array(group), pa.array(block.astype(np.int32)), pa.array(lists)]
+            columns = [pa.array(keys[(group + block) % parts]), pa.array(group), pa.array(block.astype(np.int32)), pa.array(lists)]
             return pa.RecordBatch.from_arrays([*columns, batch.column(2).take(pa.array(row)), batch.column(3).take(pa.array(row)), probed], names=names)
 
         for batch in batches:
@@ -321,8 +337,8 @@ def top_similar(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            group, block, lists, entry = (batch.column(c).to_numpy() for c in range(4))
-            raw = _matrix(batch.column(4), dimension)
+            group, block, lists, entry = (batch.column(c).to_numpy() for c in range(1, 5))
+            raw = _matrix(batch.column(5), dimension)
             asks = lists < 0
             change = np.flatnonzero((group[1:] != group[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
             for low, high in zip(np.append(0, change), np.append(change, len(group))):
@@ -339,12 +355,12 @@ def top_similar(
                     continue
                 for start in range(low, high, 4096):
                     stop = min(high, start + 4096)
-                    found = ask(entry[start:stop], raw[start:stop], batch.column(5).slice(start, stop - start).to_pylist())
+                    found = ask(entry[start:stop], raw[start:stop], batch.column(6).slice(start, stop - start).to_pylist())
                     if found is not None:
                         yield found
 
-    spread_rows = placed.mapInArrow(spread, "group long, block int, list long, entry long, packed binary, probed binary")
-    in_blocks = spread_rows.repartition("group", "block").sortWithinPartitions("group", "block", F.desc("list"))
+    spread_rows = placed.mapInArrow(spread, "part int, group long, block int, list long, entry long, packed binary, probed binary")
+    in_blocks = spread_rows.repartition(parts, "part").sortWithinPartitions("group", "block", F.desc("list"))
     answers = in_blocks.mapInArrow(answer, "entry long, other long, cosine double")
 
     def choose(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
