@@ -1,13 +1,13 @@
 """Broken prompt and response pairs, each with one type of defect.
 
-Responses are sorted by text and compared with their neighbours: one that is the beginning of the next and
-breaks off inside a sentence is a shortened version. Lengths at which far more unfinished responses end than
-around them are length limits. What ends without an end mark is judged by how often its last words end a
-sentence in the corpus. Rules for empty responses, copies of the question, refusals and other languages
-come besides.
-
-The language model and the model of sentence ends are fitted on a bounded sample (SAMPLE rows, the least by
-a hash of the id); everything else looks at all rows.
+Responses are sorted by text and compared with the neighbours that share their whole text as a prefix: one that
+another continues inside a sentence is a shortened version. Because names and numbers differ from response to
+response, the comparison is made a second time on masked text: the last words of a response that lacks an end mark
+are compared with every place of the corpus where these words stand, and it breaks off if sentences mostly go on
+there. Lengths at which far more unfinished responses end than around them are length limits. Rules for empty
+responses, copies of the question, refusals and other languages come besides.
+
+The words that are not masked, the words' weights by language, the places and the lengths are counted over all rows.
 """
 
 from __future__ import annotations
@@ -16,23 +16,31 @@ import json
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retrix.llm.sampling import least_by_hash
+from retrix.llm.hashing import mix as _mix
 from retrix.sources.tables import cut
 
-SAMPLE = 10_000
-#: Share of the sample's texts in which a word of the models occurs at least.
-COMMON = 0.004
-#: Words before an end that the model of sentence ends looks at.
-CONTEXT = 5
-#: A length is a limit if this many unfinished responses have it, and this many times those of the lengths around.
-SPIKE_LEAST, SPIKE_TIMES = 12, 6.0
+#: Share of the texts in which a word occurs at least that is not masked. So there are at most as many of them as a
+#: text has different words on average, divided by this.
+COMMON = 0.002
+#: Words before an end that are compared, and with the beginning of the sentence besides.
+CONTEXT, CONTEXT_BEGUN = 5, 6
+#: What the shorter contexts tell counts as much as so many places of the next longer one.
+SHORTER = 4.0
+#: A length is a limit if the unfinished responses of that length exceed the mean of the lengths around, up to AROUND
+#: away, by this many times its standard deviation, as if they came at random.
+AROUND, SPIKE = 10, 6.0
+#: log2 of the bits of the filter for contexts, and rows in which a task sends its part of it.
+FILTER_BITS, FILTER_PARTS = 22, 64
 #: Share of the question's words that a copy has, and the other way round.
 COPY_SHARE = 0.75
 
@@ -77,7 +85,7 @@ ASKS_LANGUAGE = re.compile(
 )
 _WORD = re.compile(r"[^\W_]+(?:_[^\W_]+)*")
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]?")
-_MARKUP = re.compile(r"<[^<>]*>|&\w+;|```\w*|[*_#>`~|]+")
+_MARKUP = re.compile(r"<[^<>]*>|&\w+;|```\w*|[*#>`~|]+|(?<![^\W_])_+|_+(?![^\W_])")
 _FINISHED = re.compile(r"[.!?…。！？][\"'”’»)\]*_`\s]*(?:✅|[\U0001F300-\U0001FAFF☀-➿️]|\s)*$")
 _ENDING_LINK = re.compile(r"(?:https?://\S+|\S+@\S+|\S+/\S+|\b[\w-]+\.[a-z]{2,5})[\"')\]]*\s*$")
 _OPEN_END = re.compile(r"(?:[,;:–—(\[{&+/=]|\s[-–]|\b(?:\d+\.|[-*])\s*\*{0,2})\s*$")
@@ -156,61 +164,26 @@ def is_refusal(answer: str) -> bool:
     return any(REFUSALS.search(s) and not re.search(r"(?i)\b(?:but|mas|pero)\b.*\b(?:solved|fixed|resolve[u]?|resolvió|corrigi[óu])", s) for s in sentences[:3])
 
 
-class Models:
-    """Words by language, and how often contexts end a sentence; fitted on a sample of answers and questions."""
-
-    def __init__(self, answers: list[str], questions: list[str]):
-        texts = [bare(x).split() for x in answers + questions]
-        seen = Counter(w for words in texts for w in set(words))
-        least = max(3, COMMON * len(answers))
-        self.common = {w for w, n in seen.items() if n >= least and not w.isdigit()}
-        seeds = {w: lang for lang, words in SEEDS.items() for w in words}
-        only = {w: lang for w, lang in seeds.items() if sum(w in words for words in SEEDS.values()) == 1}
-        counts = {lang: Counter() for lang in SEEDS}
-        for words in texts:
-            votes = Counter(only[w] for w in words if w in only).most_common(2)
-            if votes and votes[0][1] >= 2 and (len(votes) == 1 or votes[0][1] >= 2 * votes[1][1]):
-                counts[votes[0][0]].update(w for w in words if w in self.common)
-        total = {lang: sum(c.values()) + len(self.common) * 0.1 + 1 for lang, c in counts.items()}
-        self.weights = {w: {lang: math.log((counts[lang][w] + 0.1) / total[lang]) for lang in SEEDS} for w in self.common | set(only)}
-        for w, lang in only.items():
-            if w not in self.common:
+_ONLY = {w: lang for lang, words in SEEDS.items() for w in words if sum(w in other for other in SEEDS.values()) == 1}
+
+
+def vote(words: list[str]) -> str | None:
+    """The language that the marking words of a text tell clearly."""
+    votes = Counter(_ONLY[w] for w in words if w in _ONLY).most_common(2)
+    return votes[0][0] if votes and votes[0][1] >= 2 and (len(votes) == 1 or votes[0][1] >= 2 * votes[1][1]) else None
+
+
+class Words:
+    """The common words of the corpus: their numbers, and their weights by language."""
+
+    def __init__(self, common: dict[str, dict[str, int]]):
+        """``common``: how often each common word occurs in texts of each language that is told."""
+        total = {lang: sum(c.get(lang, 0) for c in common.values()) + len(common) * 0.1 + 1 for lang in SEEDS}
+        self.weights = {w: {lang: math.log((c.get(lang, 0) + 0.1) / total[lang]) for lang in SEEDS} for w, c in common.items()}
+        self.code = {w: k + 2 for k, w in enumerate(sorted(common))}  # 0: a word that is masked, 1: a number
+        for w, lang in _ONLY.items():
+            if w not in common:
                 self.weights[w] = {x: math.log(0.05 if x == lang else 0.0005) for x in SEEDS}
-        self.ends: Counter = Counter()
-        self.seen: Counter = Counter()
-        for text in answers:
-            for sentence, finished in self.sentences(text):
-                words = self.shape(sentence)
-                last = len(words) - 1
-                for k in range(len(words) if finished else last):
-                    for context in self.contexts(words[: k + 1]):
-                        self.seen[context] += 1
-                        self.ends[context] += k == last
-        few = [c for c, n in self.seen.items() if n < 3]
-        for c in few:
-            del self.seen[c]
-            self.ends.pop(c, None)
-
-    @staticmethod
-    def sentences(text: str) -> Iterator[tuple[str, bool]]:
-        """Sentences of a text and whether they are whole: by their end mark, or because another line follows."""
-        lines = [x for x in _MARKUP.sub(" ", text).split("\n") if x.strip()]
-        for k, line in enumerate(lines):
-            parts = _SENTENCE.findall(line)
-            for j, part in enumerate(parts):
-                yield part, part.rstrip()[-1:] in tuple(".!?") or (j == len(parts) - 1 and k < len(lines) - 1)
-
-    @staticmethod
-    def contexts(words: list[str]) -> Iterator[tuple]:
-        """What the end of a sentence so far looks like, most telling first: its beginning and last words, then last words alone."""
-        if len(words) > 4:
-            for n in (6, 5, 4, 3, 2, 1):
-                yield ("^", *words[:2], *words[-n:])
-        for n in range(min(CONTEXT, len(words)), 0, -1):
-            yield tuple(words[-n:])
-
-    def shape(self, sentence: str) -> list[str]:
-        return ["0" if w.isdigit() else w if w in self.common else "~" for w in (x.lower() for x in _WORD.findall(sentence))]
 
     def language(self, text: str) -> tuple[str | None, int]:
         """The language of a text, if it can be told, and the words that tell it."""
@@ -220,14 +193,50 @@ class Models:
         scores = sorted(((sum(self.weights[w][lang] for w in words), lang) for lang in SEEDS), reverse=True)
         return (scores[0][1] if scores[0][0] - scores[1][0] > 2.0 else None), len(words)
 
-    def end_share(self, text: str) -> float:
-        """How often the last words of a text end a sentence; by the longest context that has been seen."""
-        sentences = _SENTENCE.findall(_MARKUP.sub(" ", text).strip())
-        words = self.shape(sentences[-1]) if sentences else []
-        for context in self.contexts(words):
-            if self.seen[context] >= (3 if len(context) > 1 else 1):
-                return self.ends[context] / self.seen[context]
-        return 0.0
+    def shape(self, sentence: str) -> list[int]:
+        """The words of a sentence by number, masked."""
+        get = self.code.get
+        return [1 if w.isdigit() else get(w, 0) for w in (x.lower() for x in _WORD.findall(sentence))]
+
+
+def sentences(text: str) -> Iterator[tuple[str, bool]]:
+    """Sentences of a text and whether they are whole: by their end mark, or because another line follows."""
+    lines = [x for x in _MARKUP.sub(" ", text).split("\n") if x.strip()]
+    for k, line in enumerate(lines):
+        parts = _SENTENCE.findall(line)
+        for j, part in enumerate(parts):
+            yield part, part.rstrip()[-1:] in tuple(".!?") or (j == len(parts) - 1 and k < len(lines) - 1)
+
+
+_U = np.uint64
+#: Kinds of contexts, least telling first: words before a place, with the beginning of the sentence or without.
+KINDS = sorted([(n, True) for n in range(1, CONTEXT_BEGUN + 1)] + [(n, False) for n in range(1, CONTEXT + 1)], key=lambda kind: (kind[0] + kind[1] + 0.5 * kind[1], kind))
+
+
+def contexts(shapes: list[list[int]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Hashes and places of the contexts of each kind, over all words of some sentences one after another; and the
+    place of each sentence's last word. A place is one word."""
+    sizes = np.array([len(x) for x in shapes], dtype=np.int64)
+    flat = np.fromiter((c for x in shapes for c in x), dtype=_U, count=int(sizes.sum())) + _U(1)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(flat)) - np.repeat(starts, sizes)
+    begun = np.zeros(len(flat), dtype=_U)
+    if len(flat):
+        first = np.minimum(starts, len(flat) - 1)
+        second = np.minimum(starts + 1, len(flat) - 1)
+        begun = np.repeat(_mix(flat[first] * _U(0x9E3779B97F4A7C15) + flat[second]), sizes)
+    by_length, sums, factor = {}, np.zeros(len(flat), dtype=_U), 1
+    for n in range(1, max(CONTEXT, CONTEXT_BEGUN) + 1):
+        sums = sums.copy()
+        sums[n - 1 :] += flat[: max(len(flat) - n + 1, 0)] * _U(factor)
+        factor = factor * 0xD6E8FEB86659FD93 % (1 << 64)
+        by_length[n] = sums
+    out = []
+    for n, with_start in KINDS:
+        at = np.flatnonzero(place >= max(n - 1, 4 if with_start else 0))
+        key = by_length[n][at] + _U(n)
+        out.append((_mix(_mix(key) + begun[at]) if with_start else _mix(key), at))
+    return out, (starts + sizes - 1)[sizes > 0]
 
 
 def unfinished(text: str) -> bool:
@@ -240,8 +249,8 @@ def unfinished(text: str) -> bool:
     return not _ENDING_LINK.search(stripped)
 
 
-def breaks_off(text: str, models: Models) -> bool:
-    """Whether a text stops before its end, as far as it tells alone."""
+def breaks_off(text: str) -> bool | None:
+    """Whether a text stops before its end, as far as it tells alone; None if the corpus has to tell."""
     stripped = text.rstrip()
     if not unfinished(text):
         return False
@@ -254,7 +263,13 @@ def breaks_off(text: str, models: Models) -> bool:
         return False
     if any(unicodedata.category(c) == "So" for c in stripped[-3:]):
         return False
-    return models.end_share(stripped) < 0.5
+    return None
+
+
+def last_shape(text: str, words: Words) -> list[int]:
+    """The last sentence of a text, masked."""
+    found = _SENTENCE.findall(_MARKUP.sub(" ", text).strip())
+    return words.shape(found[-1]) if found else []
 
 
 def continues(short: str, long: str) -> bool:
@@ -269,8 +284,8 @@ def continues(short: str, long: str) -> bool:
     return after[0].isalpha() and short[-1].isalpha() or re.match(r"[ ,;:–-]+\w", after) is not None
 
 
-def judge(state: str, question: str | None, answer: str | None, shortened: bool, limited: bool, models: Models) -> str | None:
-    """The type of defect of a pair, if any."""
+def judge(state: str, question: str | None, answer: str | None, words: Words) -> str | None:
+    """The type of defect of a pair as far as it tells alone, if any."""
     if state == "cut":
         return "truncated_answer"
     if state == "missing" or is_empty(answer):
@@ -280,20 +295,178 @@ def judge(state: str, question: str | None, answer: str | None, shortened: bool,
         return "copies_question"
     if is_refusal(answer):
         return "refusal"
-    asked, _ = models.language(question)
-    said, words = models.language(answer)
+    asked, _ = words.language(question)
+    said, telling = words.language(answer)
     if len(_WORD.findall(answer)) == 1 and answer.strip(" .!").lower() in SHORT_WORDS:
-        said, words = SHORT_WORDS[answer.strip(" .!").lower()], 3
-    if asked and said and asked != said and words >= 3 and not ASKS_LANGUAGE.search(question):
+        said, telling = SHORT_WORDS[answer.strip(" .!").lower()], 3
+    if asked and said and asked != said and telling >= 3 and not ASKS_LANGUAGE.search(question):
         return "other_language"
-    if breaks_off(answer, models) or shortened or (limited and unfinished(answer)):
-        return "truncated_answer"
-    return None
+    return "truncated_answer" if breaks_off(answer) else None
+
+
+def common_words(texts: DataFrame) -> Words:
+    """The words that occur in a share of COMMON of the texts (column ``text``) or more, counted over all of them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        times: dict[str, Counter] = {lang: Counter() for lang in SEEDS}
+        total = 0
+
+        def sent() -> pa.RecordBatch:
+            rows = [(w, "", n) for w, n in seen.items()] + [(w, lang, n) for lang, held in times.items() for w, n in held.items()] + [("", "", total)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["word", "lang", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = bare(text).split()
+                total += 1
+                seen.update(set(words))
+                if told := vote(words):
+                    times[told].update(words)
+            if len(seen) > 200_000:
+                yield sent()
+                seen.clear(), [held.clear() for held in times.values()]
+                total = 0
+        yield sent()
+
+    counts = cut(texts.select("text").mapInArrow(count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")))
+    total = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0
+    often = counts.where((F.col("lang") == "") & (F.col("n") >= max(3, COMMON * total)) & ~F.col("word").rlike("^[0-9]*$")).select("word")
+    rows = counts.join(often, "word", "left_semi").collect()  # see COMMON; one row per language and word
+    held: dict[str, dict[str, int]] = {}
+    for r in rows:
+        held.setdefault(r["word"], {})[r["lang"]] = r["n"]
+    return Words(held)
+
+
+def _filter_of(wanted: DataFrame) -> np.ndarray:
+    """A table of bits, of fixed size, in which the hash of every wanted context is set."""
+    size = 1 << FILTER_BITS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, dtype=bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy().view(_U) >> _U(64 - FILTER_BITS)] = True
+        for part, piece in enumerate(np.packbits(bits).reshape(FILTER_PARTS, -1)):
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([zlib.compress(piece.tobytes(), 1)])], names=["part", "bits"])
+
+    def join(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
+        both = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in pieces["bits"]])
+        return pd.DataFrame({"part": [key[0]], "bits": [both.tobytes()]})
+
+    packed = np.zeros((FILTER_PARTS, size // 8 // FILTER_PARTS), dtype=np.uint8)
+    for row in wanted.mapInArrow(mark, "part long, bits binary").groupBy("part").applyInPandas(join, "part long, bits binary").collect():  # FILTER_PARTS rows
+        packed[row["part"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return np.unpackbits(packed.reshape(-1)).astype(bool)
+
+
+def _places(answers: DataFrame, words, wanted: DataFrame) -> DataFrame:
+    """Of the wanted contexts (column ``context``), at how many places of the answers they stand (``seen``) and at how
+    many of these the sentence ends (``ends``)."""
+    bits = answers.sparkSession.sparkContext.broadcast(_filter_of(wanted))  # of fixed size
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked = words.value, bits.value
+        for batch in batches:
+            shapes, whole = [], []
+            for text in batch.column(0).to_pylist():
+                for sentence, finished in sentences(text):
+                    shape = own.shape(sentence)
+                    if shape:
+                        shapes.append(shape)
+                        whole.append(finished)
+            found, last = contexts(shapes)
+            total = int(sum(map(len, shapes)))
+            ends, broken = np.zeros(total, dtype=bool), np.zeros(total, dtype=bool)
+            finished = np.array(whole, dtype=bool)
+            ends[last[finished]] = True
+            broken[last[~finished]] = True  # whether a sentence would end here isn't known
+            keys, flags = [], []
+            for key, at in found:
+                keep = asked[key >> _U(64 - FILTER_BITS)] & ~broken[at]
+                keys.append(key[keep])
+                flags.append(ends[at[keep]])
+            key, flag = np.concatenate(keys), np.concatenate(flags)
+            key, back = np.unique(key, return_inverse=True)
+            seen, ended = np.bincount(back, minlength=len(key)), np.bincount(back, weights=flag, minlength=len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(seen.astype(np.int64)), pa.array(ended.astype(np.int64))], names=["context", "seen", "ends"])
+
+    counted = answers.select("answer").mapInArrow(count, "context long, seen long, ends long")
+    return counted.groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
+
+
+def _ending_elsewhere(answers: DataFrame, judged: DataFrame, words) -> DataFrame:
+    """Rows (``row``) whose last words are followed by more, mostly, where they stand in the corpus; or stand nowhere else.
+
+    The share of places at which a sentence ends is that of the longest context, drawn towards those of the shorter
+    ones as far as it has been seen seldom.
+    """
+    wanted = judged.where("contexts is not null").select("row", F.posexplode("contexts").alias("kind", "context")).where("context is not null")
+    places = _places(answers, words, wanted.select("context"))
+    told = wanted.join(places, "context").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "seen", "ends"))).alias("told"))  # one for a kind at most
+    share = F.aggregate("told", F.lit(0.0), lambda share, x: (x["ends"] + SHORTER * share) / (x["seen"] + SHORTER))
+    asked = judged.where("contexts is not null").select("row")
+    return asked.join(told.select("row", share.alias("share")), "row", "left").where("coalesce(share, 0) < 0.5").select("row")
+
+
+def shortened_texts(texts: DataFrame) -> DataFrame:
+    """The texts (column ``answer``, each once) that another continues inside the sentence at which they stop.
+
+    In order of text, all that begin with a text follow it in one run; a text waits until its run is over. What still
+    waits at the end of a part is compared with the parts behind it.
+    """
+    spark = texts.sparkSession
+    ordered = cut(texts.repartitionByRange("answer").sortWithinPartitions("answer").select("answer", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[str] = []
+        part = None
+        for batch in batches:
+            found: list[str] = []
+            left: list[tuple[str, int]] = []
+            for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if own != part:
+                    left += [(x, part) for x in waiting]
+                    waiting, part = [], own
+                while waiting and not text.startswith(waiting[-1]):
+                    waiting.pop()
+                found += [x for x in waiting if continues(x, text)]
+                waiting = [x for x in waiting if not continues(x, text)]
+                if unfinished(text):
+                    waiting.append(text)
+            rows = [(x, None) for x in found] + left
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], type=pa.string()), pa.array([p for _, p in rows], type=pa.int32())], names=["answer", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(waiting, type=pa.string()), pa.array([part] * len(waiting), type=pa.int32())], names=["answer", "part"])
+
+    in_order = ordered.repartition("part").sortWithinPartitions("part", "place").select("answer", "part")
+    compared = cut(in_order.mapInArrow(compare, "answer string, part int"))
+    # of each part, what begins one another waits: a chain, of which few are longer than one
+    waiting = compared.where("part is not null").join(ordered.groupBy("part").agg(F.min("answer").alias("first")).select((F.col("part") - 1).alias("part"), "first"), "part")
+    crossing = waiting.where(F.col("first").startswith(F.col("answer"))).select("answer").collect()  # a chain per part at most
+    held = spark.sparkContext.broadcast(sorted({r["answer"] for r in crossing}))
+
+    def behind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {x for text in batch.column(0).to_pylist() for x in held.value if continues(x, text)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), type=pa.string())], names=["answer"])
 
-def find_defects(df: DataFrame, id_col: str, question_col: str, response_col: str, sample: int = SAMPLE) -> DataFrame:
+    out = compared.where("part is null").select("answer")
+    return (out.unionByName(ordered.select("answer").mapInArrow(behind, "answer string")) if crossing else out).distinct()
+
+
+def length_limits(lengths: DataFrame) -> DataFrame:
+    """Lengths (``n``) at which far more responses stop than at those around; ``lengths`` has one row per unfinished response."""
+    counted = lengths.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    near = counted.select(F.explode(F.sequence(F.col("n") - AROUND, F.col("n") + AROUND)).alias("m"), "n", "k")
+    around = near.groupBy("m").agg(F.sum(F.when(F.col("n") == F.col("m"), F.col("k"))).alias("own"), (F.sum(F.when(F.col("n") != F.col("m"), F.col("k")).otherwise(0)) / (2 * AROUND)).alias("mean"))
+    mean = F.greatest("mean", F.lit(1.0))
+    return around.where(F.col("own") > mean + SPIKE * F.sqrt(mean)).select(F.col("m").alias("n"))
+
+
+def find_defects(df: DataFrame, id_col: str, question_col: str, response_col: str, with_rule: bool = False) -> DataFrame:
     """Defective pairs: ``id`` and ``defect_type`` (empty_answer, truncated_answer, refusal, copies_question,
-    other_language), one row per id.
+    other_language), one row per id; ``with_rule``: also ``rule``, what told it.
 
     A null response, and JSON without an answer, is an empty answer; JSON that can't be read is truncated.
     A null question has no language and is copied by nothing. Rows with a null id are left out. A repeated
@@ -314,55 +487,44 @@ def find_defects(df: DataFrame, id_col: str, question_col: str, response_col: st
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     once = source.repartition(parts, "id").dropDuplicates(["id", "question", "data"])
     pairs = cut(once.mapInArrow(read, f"id {kind}, question string, state string, answer string"))
-    valued = pairs.where("state = 'value'").select("id", "question", "answer")
-    rows = least_by_hash(valued, F.col("id"), sample, valued.count())
-    models = spark.sparkContext.broadcast(Models([r["answer"] for r in rows], [r["question"] or "" for r in rows]))
-
-    # neighbours in order of text: each sorted part also gets the first text of the next one
-    texts = pairs.where("state = 'value'").select("answer").distinct()
-    ordered = cut(texts.repartitionByRange("answer").sortWithinPartitions("answer").select("answer", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
-    firsts = {r["part"]: r["first"] for r in ordered.groupBy("part").agg(F.min("answer").alias("first")).collect()}  # one row per partition
-    following = {p: firsts[q] for p, q in zip(sorted(firsts), sorted(firsts)[1:])}
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, part = None, None
-        found: list[str] = []
-        for batch in batches:
-            for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if before is not None and continues(before, text if own == part else following.get(part, text)):
-                    found.append(before)
-                before, part = text, own
-            yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.string())], names=["answer"])
-            found = []
-        if before is not None and part in following and continues(before, following[part]):
-            yield pa.RecordBatch.from_arrays([pa.array([before], type=pa.string())], names=["answer"])
-
-    shortened = ordered.repartition("part").sortWithinPartitions("part", "place").select("answer", "part").mapInArrow(neighbours, "answer string")
-    shortened = shortened.distinct()
-
-    def is_unfinished(text: str) -> bool:
-        return unfinished(text)
-
-    open_end = F.udf(is_unfinished, "boolean", useArrow=True)
-    lengths = pairs.where("state = 'value'").select(F.length("answer").alias("n"), "answer").where((F.col("n") > 30) & ~F.col("answer").rlike(r"[.!?`)\"✅]\s*$"))
-    by_length = {r["n"]: r["k"] for r in lengths.where(open_end("answer")).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}  # one row per length
-    around = lambda n: sorted(by_length.get(n + d, 0) for d in range(-10, 11) if d)
-    limits = frozenset(n for n, k in by_length.items() if k >= SPIKE_LEAST and k >= SPIKE_TIMES * max(1, around(n)[10]))
+    answers = pairs.where("state = 'value'").select("answer")
+    texts = answers.select(F.col("answer").alias("text")).unionAll(pairs.where("question is not null").select("question"))
+    words = spark.sparkContext.broadcast(common_words(texts))
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Types of defects; of pairs without one whose answer lacks an end, the answer."""
-        own = models.value
+        """Types of defects; of pairs without one whose answer lacks an end, the answer, and if the corpus has to tell
+        whether it breaks off, its contexts."""
+        own = words.value
         for batch in batches:
-            types, open_answers = [], []
+            types, open_answers, asked, shapes = [], [], [], []
             for question, state, answer in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
-                found = judge(state, question, answer, False, answer is not None and len(answer) in limits, own)
+                found = judge(state, question, answer, own)
                 types.append(found)
-                open_answers.append(answer if found is None and unfinished(answer) else None)
+                still = found is None and unfinished(answer)
+                open_answers.append(answer if still else None)
+                ask = still and breaks_off(answer) is None
+                asked.append([None] * len(KINDS) if ask else None)
+                shapes.append(last_shape(answer, own) if ask else [])
+            hashes, last = contexts(shapes)
+            rows = [k for k, shape in enumerate(shapes) if shape]
+            for c, (key, at) in enumerate(hashes):
+                place = np.searchsorted(at, last)
+                hit = np.flatnonzero((place < len(at)) & (at[np.minimum(place, max(len(at) - 1, 0))] == last)) if len(at) else []
+                for k in hit:
+                    asked[rows[k]][c] = int(key[place[k]].view(np.int64))
             keep = pa.array([t is not None or a is not None for t, a in zip(types, open_answers)])
-            columns = [batch.column(0), pa.array(types, type=pa.string()), pa.array(open_answers, type=pa.string())]
-            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["id", "defect_type", "answer"])
-
-    judged = cut(pairs.mapInArrow(classify, f"id {kind}, defect_type string, answer string"))
-    cut_short = judged.where("answer IS NOT NULL").join(shortened, "answer", "left_semi").select("id", F.lit("truncated_answer").alias("defect_type"))
-    found = judged.where("defect_type IS NOT NULL").select("id", "defect_type").unionByName(cut_short)
-    return found.groupBy("id").agg(F.min("defect_type").alias("defect_type"))
+            columns = [batch.column(0), pa.array(types, type=pa.string()), pa.array(open_answers, type=pa.string()), pa.array(asked, type=pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["id", "defect_type", "answer", "contexts"])
+
+    judged = pairs.mapInArrow(classify, f"id {kind}, defect_type string, answer string, contexts array<long>")
+    judged = cut(judged.withColumn("row", F.monotonically_increasing_id()).withColumn("n", F.length("answer")))
+    still, unsure = judged.where("answer is not null"), judged.where("contexts is not null")
+    rule = lambda rows, name: rows.select("id", F.lit("truncated_answer").alias("defect_type"), F.lit(name).alias("rule"))
+    found = (
+        judged.where("defect_type is not null").select("id", "defect_type", F.lit("alone").alias("rule"))
+        .unionByName(rule(still.join(shortened_texts(answers.distinct()), "answer", "left_semi"), "neighbour"))
+        .unionByName(rule(still.join(_ending_elsewhere(answers, judged, words), "row", "left_semi"), "masked neighbours"))
+        .unionByName(rule(unsure.join(length_limits(unsure.select("n")), "n", "left_semi"), "length limit"))
+    )
+    chosen = found.groupBy("id").agg(F.min("defect_type").alias("defect_type"), F.min_by("rule", F.struct("defect_type", "rule")).alias("rule"))
+    return chosen if with_rule else chosen.drop("rule")

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retrix.llm.hashing import mix as _mix
 from retrix.sources.tables import cut
 
 #: log2 of the size of the table of counts: 4 Mi entries, 16 MB.
@@ -47,13 +48,6 @@ _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit values (the finaliser of a public generator of random numbers)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 class _Codes(dict):
     """Words by number; a new word gets the next number, and its hash is kept at that place."""
 
