@@ -7,7 +7,9 @@ need an overlap of o it lies among the first n - o + 1 elements of the one and m
 So a set is stored under the paths that can be the beginning of an overlap:
 
 * a path is one element, or where the global counts tell that too many sets hold that element, the first
-  two, three or four common elements (a hot node of the trie is split by its children, never cut off);
+  two, three or four common elements (a hot node of the trie is split by its children, never cut off); what is
+  still hot then holds elements that nearly all sets have, and is split into blocks of its sets, every two of which
+  meet in one task;
 * at a node, pairs are pruned by the bound on the remaining lengths behind the shared element, and by the
   Hamming distance of bit signatures of the rarest elements, a lower bound of these elements' difference;
 * what is left is checked against the texts themselves.
@@ -38,7 +40,7 @@ from retrix.sources.tables import cut
 COUNT_BITS = 22
 #: Rows in which one task sends its part of that table.
 COUNT_PARTS = 64
-#: Sets at a node of the trie beyond which the node is split by its children.
+#: Sets at a node of the trie beyond which the node is split by its children, and from MAX_DEPTH on into blocks.
 NODE_LIMIT = 20_000
 MAX_DEPTH = 4
 PAIRS_AT_ONCE = 1 << 21
@@ -142,26 +144,35 @@ def element_counts(df: DataFrame, text_col: str, gram: int = 1, bits: int = COUN
 
 
 def _paths(
-    found: np.ndarray, rows: np.ndarray, sizes: np.ndarray, counts: np.ndarray, need: np.ndarray, limit: int, sets: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, path and position of the path's last element, without those of the path before it, of all paths under
-    which the rows' sets are stored.
+    found: np.ndarray, rows: np.ndarray, sizes: np.ndarray, counts: np.ndarray, need: np.ndarray, limit: int, sets: int, share: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, path, position of the path's last element, without those of the path before it, and block, of all paths
+    under which the rows' sets are stored.
 
-    found, rows, counts: elements in global order within each row; need: least overlap by row.
+    found, rows, counts: elements in global order within each row; need: least overlap by row; share: a number by row
+    that tells its block. The block is 0 but where two blocks of a node meet: there sets of one block have the same.
     """
     starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     position = np.arange(len(found)) - starts[rows]
     first = position <= (sizes - need)[rows]
     at = np.flatnonzero(first & (counts > 1))  # an element that one row alone holds is shared by none
     row, path, estimate = rows[at], found[at], counts[at].astype(np.float64)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     for depth in range(1, MAX_DEPTH + 1):
-        hot = estimate > limit if depth < MAX_DEPTH else np.zeros(len(at), dtype=bool)
+        hot = estimate > limit
         # the elements of the path before the last one are common too: only those beyond them count for the bound
-        out.append((row[~hot], path[~hot], position[at[~hot]] - (depth - 1)))
+        out.append((row[~hot], path[~hot], position[at[~hot]] - (depth - 1), np.zeros(int((~hot).sum()), dtype=np.int64)))
         at, row, path, estimate = at[hot], row[hot], path[hot], estimate[hot]
         if not len(at):
             break
+        if depth == MAX_DEPTH:
+            blocks = np.ceil(estimate / limit).astype(np.int64)
+            node = np.repeat(np.arange(len(at)), blocks)
+            other = np.arange(len(node)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            own = (share[row] % blocks.astype(_U)).astype(np.int64)[node]
+            cell = np.minimum(own, other) * blocks[node] + np.maximum(own, other) + 1
+            out.append((row[node], _mix(path[node] + cell.astype(_U)), position[at[node]] - (depth - 1), np.where(own == other, 0, own + 1)))
+            break
         # children: the next common element lies at most one position further than the last bound
         last = starts[row] + np.minimum((sizes - need)[row] + depth, sizes[row] - 1)
         width = np.maximum(last - at, 0)
@@ -234,16 +245,20 @@ def signatures(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8
             more = np.stack(_marks(found[order], rows, sizes, edges, LONG, 7), axis=1)
             more = [bits.tobytes() if is_large else None for bits, is_large in zip(more, large.tolist())]
             need = -(-sizes * ratio.numerator // ratio.denominator)
-            row, path, position = _paths(found[order], rows, sizes, count[order], need, limit, sets)
+            share = np.zeros(len(sizes), dtype=_U)
+            share[used] = keys[1].view(_U)
+            row, path, position, block = _paths(found[order], rows, sizes, count[order], need, limit, sets, share)
             by_row = np.lexsort((position, row))
             row, stored = row[by_row], np.zeros(len(row), dtype=_NODE)
             stored["path"], stored["pos"] = path[by_row].view(np.int64), position[by_row]
-            stored["before"][1:] = np.where(row[1:] == row[:-1], stored["path"][:-1], 0)
+            block = block[by_row]  # where two blocks meet, sets of one block do not
+            stored["before"][1:] = np.where((row[1:] == row[:-1]) & (block[:-1] == 0), stored["path"][:-1], 0)
+            stored["before"] = np.where(block > 0, block, stored["before"])
             ends = np.searchsorted(row, np.append(used, len(sizes)))
             nodes = []
             if len(seen) > MEMO_WORDS:
                 seen.clear()
-            for k, key in enumerate(keys[0].tolist()):
+            for k, key in enumerate(zip(keys[0].tolist(), keys[1].tolist())):
                 nodes.append(None if key in seen else stored[ends[k] : ends[k + 1]].tobytes())
                 seen.add(key)
             yield pa.RecordBatch.from_arrays(
@@ -260,16 +275,16 @@ def _nodes(signed: DataFrame) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = batch.column(5).to_pylist()
+            packed = batch.column(6).to_pylist()
             times = np.array([len(x) // _NODE.itemsize for x in packed], dtype=np.int64)
             stored = np.frombuffer(b"".join(packed), dtype=_NODE)
-            c1, n, b0, b1 = (np.repeat(batch.column(k).to_numpy(), times) for k in range(4))
-            columns = [stored["path"], stored["before"], c1, n.astype(np.int64) << 32 | stored["pos"], b0, b1]
-            more = batch.column(4).take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), more], names=["path", "before", "c1", "size", "b0", "b1", "more"])
+            c1, c2, n, b0, b1 = (np.repeat(batch.column(k).to_numpy(), times) for k in range(5))
+            columns = [stored["path"], stored["before"], c1, c2, n.astype(np.int64) << 32 | stored["pos"], b0, b1]
+            more = batch.column(5).take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), more], names=["path", "before", "c1", "c2", "size", "b0", "b1", "more"])
 
-    schema = "path long, before long, c1 long, size long, b0 long, b1 long, more binary"
-    return signed.where("nodes is not null").select("c1", "n", "b0", "b1", "more", "nodes").mapInArrow(unpack, schema)
+    schema = "path long, before long, c1 long, c2 long, size long, b0 long, b1 long, more binary"
+    return signed.where("nodes is not null").select("c1", "c2", "n", "b0", "b1", "more", "nodes").mapInArrow(unpack, schema)
 
 
 def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -285,11 +300,11 @@ def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 
 def _pairs(node: dict[str, np.ndarray], top: int, bottom: int) -> Iterator[pa.RecordBatch]:
     """Pairs of sets at the same node that pass the bounds; rows come by path, then size."""
-    path, c1 = node["path"], node["c1"]
-    copy = np.append(False, (path[1:] == path[:-1]) & (node["size"][1:] == node["size"][:-1]) & (c1[1:] == c1[:-1]))
+    path, c1, c2 = node["path"], node["c1"], node["c2"]
+    copy = np.append(False, (path[1:] == path[:-1]) & (node["size"][1:] == node["size"][:-1]) & (c1[1:] == c1[:-1]) & (c2[1:] == c2[:-1]))
     if copy.any():
         node = {k: x[~copy] for k, x in node.items()}
-        path, c1 = node["path"], node["c1"]
+        path, c1, c2 = node["path"], node["c1"], node["c2"]
     group = np.append(0, np.cumsum(path[1:] != path[:-1]))
     n, pos, before = node["size"] >> 32, node["size"] & 0xFFFFFFFF, node["before"]
     b0, b1 = node["b0"].view(_U), node["b1"].view(_U)  # bits of a signed number would be those of its amount
@@ -311,7 +326,7 @@ def _pairs(node: dict[str, np.ndarray], top: int, bottom: int) -> Iterator[pa.Re
         keep = (before[a] != before[b]) | (before[a] == 0)  # else the pair has met at the node before
         a, b, need = a[keep], b[keep], need[keep]
         apart = np.bitwise_count(b0[a] ^ b0[b]).astype(np.int64) + np.bitwise_count(b1[a] ^ b1[b])
-        keep = _may_reach(apart, n[a], n[b], need, SHORT) & (c1[a] != c1[b])
+        keep = _may_reach(apart, n[a], n[b], need, SHORT) & ((c1[a] != c1[b]) | (c2[a] != c2[b]))
         a, b, need = a[keep], b[keep], need[keep]
         large = np.flatnonzero((n[a] > LARGE) & (n[b] > LARGE))
         if len(large):
@@ -320,13 +335,14 @@ def _pairs(node: dict[str, np.ndarray], top: int, bottom: int) -> Iterator[pa.Re
             keep = np.ones(len(a), dtype=bool)
             keep[large] = _may_reach(apart, n[x], n[y], need[large], LONG)
             a, b = a[keep], b[keep]
-        a, b = c1[a], c1[b]
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a1", "z1"])
+            first = (c1[a] < c1[b]) | (c1[a] == c1[b]) & (c2[a] < c2[b])
+            a, b = np.where(first, a, b), np.where(first, b, a)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c1[a], c2[a], c1[b], c2[b])], names=["a1", "a2", "z1", "z2"])
 
 
 def candidates(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs of classes that share a node of the trie and pass its bounds: columns a1 < z1, the first halves of the class keys."""
+    """Pairs of classes that share a node of the trie and pass its bounds: their keys a1, a2 and z1, z2, the smaller one first."""
     ratio = Fraction(str(threshold))
     top, bottom = ratio.numerator, ratio.denominator
 
@@ -345,8 +361,8 @@ def candidates(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
         if rest:
             yield from _pairs(rest, top, bottom)
 
-    in_order = _nodes(signed).repartition("path").sortWithinPartitions("path", "size", "c1")
-    return in_order.mapInArrow(walk, "a1 long, z1 long").distinct()
+    in_order = _nodes(signed).repartition("path").sortWithinPartitions("path", "size", "c1", "c2")
+    return in_order.mapInArrow(walk, "a1 long, a2 long, z1 long, z2 long").distinct()
 
 
 def _similar(threshold: float, gram: int):
@@ -389,13 +405,13 @@ def similar_classes(
     signed = cut(signatures(df, id_col, text_col, threshold, gram, limit))
     members = signed.select("rid", "c1", "c2").distinct()
     pairs = cut(candidates(signed, threshold))
-    ends = pairs.select(F.col("a1").alias("c1")).union(pairs.select("z1")).distinct()
-    heads = signed.select("rid", "c1", "c2").join(ends, "c1", "left_semi").groupBy("c1", "c2").agg(F.min("rid").alias("rid"))
+    ends = pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).union(pairs.select("z1", "z2")).distinct()
+    heads = signed.select("rid", "c1", "c2").join(ends, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.min("rid").alias("rid"))
     source = df.select(F.col(id_col).alias("rid"), F.col(text_col).cast("string").alias("body")).where("rid is not null and body is not null")
     texts = cut(heads.join(source, "rid").groupBy("c1", "c2").agg(F.min("body").alias("body")))
     left = texts.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("body").alias("left"))
     right = texts.select(F.col("c1").alias("z1"), F.col("c2").alias("z2"), F.col("body").alias("right"))
-    checked = pairs.join(left, "a1").join(right, "z1")
+    checked = pairs.join(left, ["a1", "a2"]).join(right, ["z1", "z2"])
     links = checked.where(_similar(threshold, gram)("left", "right")).select("a1", "a2", "z1", "z2")
     return members, links
 

@@ -53,6 +53,16 @@ def test_pairs_are_those_of_brute_force(spark, seed, limit):
     assert {tuple(r) for r in similar.similar_pairs(df, "k", "t", limit=limit).collect()} == brute(rows)
 
 
+def test_nodes_that_stay_hot_are_split_into_blocks(spark, monkeypatch):
+    """Sets of few words that nearly all of them have: hot at every depth, or from the second level on."""
+    own = random.Random(9)
+    rows = [(k, " ".join(own.choices("a b c d e f g h".split(), weights=[9, 8, 7, 6, 5, 1, 1, 1], k=own.randint(3, 24)))) for k in range(220)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    for depth in (1, 2, similar.MAX_DEPTH):
+        monkeypatch.setattr(similar, "MAX_DEPTH", depth)
+        assert {tuple(r) for r in similar.similar_pairs(df, "k", "t", limit=9).collect()} == brute(rows)
+
+
 def test_links_count_pairs_without_expanding_copies(spark):
     rows = corpus(3) + [(1000 + k, "a b c d e f g h i j") for k in range(40)] + [(2000, "a b c d e f g h i k")]
     df = spark.createDataFrame(rows, "k long, t string").repartition(4)
