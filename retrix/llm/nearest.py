@@ -149,11 +149,10 @@ class Model:
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, dimension: int) -> DataFrame:
-    """One row per id with a vector of the dimension, finite and not all zero: ``id``, ``vector``."""
+    """Rows with an id and a vector of the dimension, finite and not all zero: ``id``, ``vector``."""
     vector = F.col("vector")
     good = (F.size(vector) == dimension) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
-    picked = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & vector.isNotNull() & good)
-    return picked.groupBy("id").agg(F.min("vector").alias("vector"))
+    return df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).where(F.col("id").isNotNull() & vector.isNotNull() & good)
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -216,12 +215,18 @@ def top_similar(
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([row.tobytes() for row in rows], type=pa.binary())], names=["id", "packed"])
 
     asks = asking if asking is not None else F.lit(True)
-    packed = cut(vectors.mapInArrow(pack, "id long, packed binary").withColumn("asks", asks))
-    total = packed.agg(F.approx_count_distinct("packed")).first()[0]
-    fitted = least_by_hash(packed.select("packed"), F.col("packed"), sample, total, distinct=True)
-    if not fitted:
+    keyed = vectors.mapInArrow(pack, "id long, packed binary").select("id", "packed", asks.alias("asks"), F.xxhash64("packed").alias("k1"), F.xxhash64(F.lit(1), "packed").alias("k2"))
+    rows = cut(keyed.withColumn("row", F.monotonically_increasing_id()))
+    # by keys of 128 bits, without the vectors: each id once, and equal vectors put together under their smallest id
+    once = rows.groupBy("id").agg(F.min(F.struct("k1", "k2", "row")).alias("own"), F.max("asks").alias("asks"), F.count(F.lit(1)).alias("times"))
+    ids = cut(once.select("id", "own.*", "asks", "times"))
+    classes = ids.groupBy("k1", "k2").agg(F.min("id").alias("entry"), F.min_by("row", "id").alias("head"), F.max("asks").alias("any"), F.count(F.lit(1)).alias("size"))
+    classes = cut(classes)
+    total = classes.count()
+    share = least_by_hash(rows.select("packed", "k1"), F.col("k1"), sample, total, distinct=True)
+    if not share:
         return spark.createDataFrame([], "id long, other long, cosine double, rank int")
-    points = _unit(np.frombuffer(b"".join(bytes(r["packed"]) for r in fitted), dtype=np.float32).reshape(-1, dimension)).astype(np.float32)
+    points = _unit(np.frombuffer(b"".join(bytes(r["packed"]) for r in share), dtype=np.float32).reshape(-1, dimension)).astype(np.float32)
     lists = lists or max(1, round(total**0.5), -(-total // LIST_SIZE))
     model = spark.sparkContext.broadcast(Model(points, lists, coarse=coarse))  # at most COARSE centroids and SAMPLE rows below
 
@@ -230,15 +235,17 @@ def top_similar(
         for batch in batches:
             if batch.num_rows:
                 number = own.place(_unit(_matrix(batch.column(0), dimension)).astype(np.float32))
-                columns = [pa.array(own.group_of(number)), pa.array(number), batch.column(1), batch.column(0), batch.column(2), batch.column(3)]
-                yield pa.RecordBatch.from_arrays(columns, names=["group", "list", "entry", "packed", "asks", "size"])
-
-    # equal vectors: one entry of the index, named by the smallest id; its k + 1 smallest ids can be answers
-    entries = packed.groupBy("packed").agg(F.min("id").alias("entry"), F.max("asks").alias("asks"), F.count(F.lit(1)).alias("size"))
-    placed = cut(entries.select("packed", "entry", "asks", "size").mapInArrow(place, "group long, list long, entry long, packed binary, asks boolean, size long"))
-    key = [F.xxhash64("packed").alias("k1"), F.xxhash64(F.lit(1), "packed").alias("k2")]
-    crowded = placed.where("size > 1").select(*key, "entry")
-    copies = cut(packed.select("id", "asks", *key).join(crowded, ["k1", "k2"]).select("id", "asks", "entry"))
+                columns = [pa.array(own.group_of(number)), pa.array(number), batch.column(1), batch.column(0), batch.column(2)]
+                yield pa.RecordBatch.from_arrays(columns, names=["group", "list", "entry", "packed", "asks"])
+
+    crowded = classes.where("size > 1")
+    copies = cut(ids.join(crowded.select("k1", "k2", "entry"), ["k1", "k2"]).select("id", "asks", "entry"))
+    # rows that are not the one of their class go; where a class has several, it asks if one of them does
+    repeated = rows.join(ids.where("times > 1").select("id", F.col("row").alias("kept")), "id").where("row <> kept").select("row", F.lit(None).cast("boolean").alias("any"))
+    others = ids.join(crowded, ["k1", "k2"]).select("row", F.when(F.col("row") == F.col("head"), F.col("any")).alias("any"))
+    marks = others.unionByName(repeated).withColumn("several", F.lit(True))
+    entries = rows.join(marks, "row", "left").where("several is null or any is not null").select("packed", F.col("id").alias("entry"), F.coalesce("any", "asks").alias("asks"))
+    placed = cut(entries.mapInArrow(place, "group long, list long, entry long, packed binary, asks boolean"))
     hot = placed.groupBy("group").count().where(F.col("count") > group_limit).collect()  # one row for GROUP_LIMIT vectors at most
     grid = spark.sparkContext.broadcast({r["group"]: -(-r["count"] // group_limit) for r in hot})
     # groups in turn to partitions: few of them would by chance meet in one
