@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from retrix.functions.text import ENTITIES, words
 
+#: Separators from the strongest on, sizes by language, factors by complexity.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 SIZES = {"python": 500, "javascript": 450, "typescript": 450, "java": 600, "csharp": 600}
 COMPLEXITY = {"low": 1.2, "medium": 1.0, "high": 0.8}
@@ -119,10 +120,33 @@ def semantic(text: str, threshold: float = 0.5, longest: int = 1000, shortest: i
     return [c for c in ([*out, current] if current else out) if len(c) >= shortest]
 
 
+def semantic_enhanced(text: str, threshold: float = 0.6, longest: int = 512) -> list[str]:
+    """Sentences joined while they are similar to the mean of all vectors of the chunk so far and their lengths add up
+    to ``longest`` at most; short chunks are kept."""
+    import numpy as np
+
+    from retrix.operators.models import hash_vector
+
+    out: list[list[str]] = []
+    total, used = None, 0
+    for sentence in (s.strip() for s in re.split(r"(?<=[.!?])\s+", text)):
+        if not sentence:
+            continue
+        vector = hash_vector(sentence)
+        near = out and float(np.dot(total, vector)) / ((np.linalg.norm(total) * np.linalg.norm(vector)) or 1.0) >= threshold  # a sum points where the mean does
+        if near and used + len(sentence) <= longest:
+            out[-1].append(sentence)
+            total, used = total + vector, used + len(sentence)
+        else:
+            out.append([sentence])
+            total, used = vector, len(sentence)
+    return [" ".join(group) for group in out]
+
+
 def hybrid(text: str, size: int = 1000, overlap: int = 50) -> list[str]:
     """Paragraph packing, with semantic cuts inside what is still too long; each chunk begins with the end of the
     original one before it."""
-    plain = [c for block in structural(text, size) for c in (semantic(block, longest=size) if len(block) > size else [block])]
+    plain = [c for block in structural(text, size) for c in (semantic_enhanced(block) if len(block) > size else [block])]
     if overlap <= 0:
         return plain
     return [f"{before[-overlap:]} {c}".strip() for before, c in zip(["", *plain], plain)]
@@ -165,27 +189,31 @@ def sentence_packs(text: str, tokens: int = 250, overlap: int = 50) -> list[str]
 
 
 STRATEGIES: dict[str, Callable[..., list[str]]] = {
-    "recursive": recursive, "structural": structural, "lines": by_lines, "semantic": semantic, "semantic_basic": semantic, "topic_based": semantic, "hybrid": hybrid,
+    "recursive": recursive, "structural": structural, "lines": by_lines, "semantic": semantic, "semantic_basic": semantic, "semantic_enhanced": semantic_enhanced, "topic_based": semantic, "hybrid": hybrid,
     "sliding_window": lambda text, window=400, stride=200: [text[at : at + window] for at in range(0, len(text), stride)],
     "entity_aware": entity_aware, "sentence_packs": sentence_packs,
 }
 
 
-def chunk(df: DataFrame, id_col: str, text_col: str, strategy: str = "hybrid", **how) -> DataFrame:
-    """Chunks of every text by a named strategy: ``id``, ``pos`` (its place before blank chunks are dropped), ``chunk``.
-    Null texts give none; an unknown strategy is an error."""
+def chunk(df: DataFrame, id_col: str, text_col: str, strategy: str = "hybrid", entities: bool = False, **how) -> DataFrame:
+    """Chunks of every text by a named strategy: ``id``, ``pos`` (its place before blank chunks are dropped), ``chunk``
+    and, if wanted, ``entities``, those of the whole text. Null texts give none; an unknown strategy is an error."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy: {strategy}")
     split = STRATEGIES[strategy]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, places, pieces = [], [], []
+            rows, places, pieces, named = [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
+                found = sorted(entity_names(text)) if entities else None
                 for place, piece in enumerate(split(text, **how)):
                     if piece.strip():
-                        rows.append(k), places.append(place), pieces.append(piece)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, type=pa.int64())), pa.array(places, type=pa.int32()), pa.array(pieces, type=pa.string())], names=["id", "pos", "chunk"])
+                        rows.append(k), places.append(place), pieces.append(piece), named.append(found)
+            columns = [batch.column(0).take(pa.array(rows, type=pa.int64())), pa.array(places, type=pa.int32()), pa.array(pieces, type=pa.string())]
+            if entities:
+                columns.append(pa.array(named, type=pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "pos", "chunk", "entities"][: len(columns)])
 
     used = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")).where(F.col("body").isNotNull())
-    return used.mapInArrow(cut, f"id {df.schema[id_col].dataType.simpleString()}, pos int, chunk string")
+    return used.mapInArrow(cut, f"id {df.schema[id_col].dataType.simpleString()}, pos int, chunk string" + ", entities array<string>" * entities)

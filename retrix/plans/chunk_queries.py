@@ -75,10 +75,17 @@ def _by_strategy(strategy: str):
     return run
 
 
-for _strategy in ("recursive", "structural", "semantic", "hybrid", "lines", "entity_aware", "sentence_packs"):
+for _strategy in ("recursive", "structural", "semantic", "semantic_enhanced", "lines", "entity_aware", "sentence_packs"):
     query()(_by_strategy(_strategy))
 
 
+@query()
+def chunk_hybrid(spark: SparkSession, directory: str) -> DataFrame:
+    """Chunks by the strategy hybrid, with the entities of their document."""
+    found = C.chunk(_documents(spark, directory), "doc_id", "text", "hybrid", entities=True)
+    return _hashed(found).withColumn("entities", F.array_join("entities", "|"))
+
+
 @query("SELECT language, CASE language WHEN 'python' THEN 500 WHEN 'javascript' THEN 450 WHEN 'typescript' THEN 450 WHEN 'java' THEN 600 WHEN 'csharp' THEN 600 ELSE 500 END AS size, count(*) AS n FROM chunks GROUP BY ALL")
 def chunk_sizes(spark: SparkSession, directory: str) -> DataFrame:
     """Chunk size that suits a language."""
@@ -97,6 +104,19 @@ def code_relations_found(spark: SparkSession, directory: str) -> DataFrame:
     return codestructure.relations(table(spark, directory, "ingest_items"), "item_id", "content", "source")
 
 
+@query()
+def chunk_code(spark: SparkSession, directory: str) -> DataFrame:
+    """Chunks of the source files along their definitions, with the context they need."""
+    found = codestructure.chunks(table(spark, directory, "ingest_items"), "item_id", "content", "source")
+    return _hashed(found).withColumn("context", F.sha2("context", 256))
+
+
+@query()
+def chunk_symbols(spark: SparkSession, directory: str) -> DataFrame:
+    """A description of every function, method and class."""
+    return _hashed(codestructure.described(table(spark, directory, "ingest_items"), "item_id", "content", "source"))
+
+
 @query(
     r"""
     WITH l AS (SELECT item_id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM (SELECT item_id, min(content) AS content FROM ingest_items GROUP BY item_id) WHERE content IS NOT NULL)
