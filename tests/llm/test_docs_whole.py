@@ -35,3 +35,8 @@ def test_unclosed_brackets_take_time_by_length():
 
     seconds(500)
     assert seconds(16_000) < 12 * seconds(4_000) + 0.2
+
+
+def test_methods_without_a_result():
+    assert names("class A {\n    /** Writes every part of the input. */\n    public void write(int x) { }\n}\n", "java") == ["write"]
+    assert names("class A {\n    /// <summary>Writes every part of the input.</summary>\n    void Write(int x) { }\n}\n", "csharp") == ["Write"]
