@@ -212,8 +212,8 @@ def _may_reach(apart: np.ndarray, n: np.ndarray, m: np.ndarray, need: np.ndarray
     return apart <= marked + other - 2 * (need - behind)
 
 
-#: A stored node: its path, the path stored before it, the position of its last element.
-_NODE = np.dtype([("path", "<i8"), ("before", "<i8"), ("pos", "<i4")])
+#: A stored node: its path, the position of its last element, its block.
+_NODE = np.dtype([("path", "<i8"), ("pos", "<i4"), ("block", "<i4")])
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, gram: int = 1, limit: int = NODE_LIMIT) -> DataFrame:
@@ -250,10 +250,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8
             row, path, position, block = _paths(found[order], rows, sizes, count[order], need, limit, sets, share)
             by_row = np.lexsort((position, row))
             row, stored = row[by_row], np.zeros(len(row), dtype=_NODE)
-            stored["path"], stored["pos"] = path[by_row].view(np.int64), position[by_row]
-            block = block[by_row]  # where two blocks meet, sets of one block do not
-            stored["before"][1:] = np.where((row[1:] == row[:-1]) & (block[:-1] == 0), stored["path"][:-1], 0)
-            stored["before"] = np.where(block > 0, block, stored["before"])
+            stored["path"], stored["pos"], stored["block"] = path[by_row].view(np.int64), position[by_row], block[by_row]
             ends = np.searchsorted(row, np.append(used, len(sizes)))
             nodes = []
             if len(seen) > MEMO_WORDS:
@@ -271,7 +268,8 @@ def signatures(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8
 
 
 def _nodes(signed: DataFrame) -> DataFrame:
-    """One row per class and stored node; ``size`` holds the set's size and the position in the node."""
+    """One row per class and stored node; ``size`` holds the set's size and the position in the node, ``before`` the path
+    stored before it. Where two blocks meet it is the block instead: sets of one block do not meet there."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +277,9 @@ def _nodes(signed: DataFrame) -> DataFrame:
             times = np.array([len(x) // _NODE.itemsize for x in packed], dtype=np.int64)
             stored = np.frombuffer(b"".join(packed), dtype=_NODE)
             c1, c2, n, b0, b1 = (np.repeat(batch.column(k).to_numpy(), times) for k in range(5))
-            columns = [stored["path"], stored["before"], c1, c2, n.astype(np.int64) << 32 | stored["pos"], b0, b1]
+            before, same = np.zeros(len(stored), dtype=np.int64), np.repeat(np.arange(len(times)), times)
+            before[1:] = np.where((same[1:] == same[:-1]) & (stored["block"][:-1] == 0), stored["path"][:-1], 0)
+            columns = [stored["path"], np.where(stored["block"] > 0, stored["block"], before), c1, c2, n.astype(np.int64) << 32 | stored["pos"], b0, b1]
             more = batch.column(5).take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
             yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), more], names=["path", "before", "c1", "c2", "size", "b0", "b1", "more"])
 
