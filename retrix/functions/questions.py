@@ -143,3 +143,87 @@ def cheapest_model(kind: Column, context: Column) -> Column:
         condition = kind.isin(*capable) & (context <= window)
         out = F.when(condition, name) if out is None else out.when(condition, name)
     return out.otherwise("large")
+
+
+#: Words and those that mean the same; what pads variations of a question; strategies by name.
+SYNONYMS = {
+    "função": ("function", "método", "procedimento"), "classe": ("class", "objeto", "tipo"), "código": ("code", "script", "programa"),
+    "erro": ("error", "bug", "falha", "problema"), "dados": ("data", "informação", "dataset"),
+}
+PADDING = ("com exemplos práticos", "explicação detalhada", "casos de uso")
+MOST_STRATEGIES = 5
+
+
+def synonyms(terms: Column) -> Column:
+    """All words that mean the same as one of an array of words, in their order."""
+    table = F.create_map(*(x for word, same in SYNONYMS.items() for x in (F.lit(word), F.array(*map(F.lit, same)))))
+    return F.flatten(F.transform(terms, lambda w: F.coalesce(F.try_element_at(table, w), F.array().cast("array<string>"))))
+
+
+def expanded(text: Column) -> Column:
+    """The question with the synonyms of its words behind it, if there are any."""
+    more = synonyms(words(lower(text)))
+    return F.when(F.size(more) > 0, F.concat(text, F.lit(" "), F.array_join(more, " "))).otherwise(text)
+
+
+def replaced(text: Column) -> Column:
+    """The question once more for each word that has a synonym, with the first of them in its place."""
+    table = F.create_map(*(x for word, same in SYNONYMS.items() for x in (F.lit(word), F.lit(same[0]))))
+    ws = words(text)
+    places = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda k: F.try_element_at(table, F.lower(F.get(ws, k))).isNotNull())
+    one = lambda k: F.array_join(F.transform(ws, lambda w, j: F.when(j == k, F.try_element_at(table, F.lower(w))).otherwise(w)), " ")
+    return F.when(F.size(ws) > 0, F.transform(places, one)).otherwise(F.array().cast("array<string>"))
+
+
+def clauses(text: Column) -> Column:
+    """Clauses between marks and conjunctions, of more than two words; a rule in place of a parser."""
+    parts = F.split(text, r"\s*[,;:.?!¿¡]+\s*|\s+(?:e|and|y|ou|or|mas|but|pero)\s+")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.size(words(x)) > 2)
+
+
+def enhanced(text: Column, most: int = 5) -> Column:
+    """The question, those with synonyms and its clauses, each once, up to ``most``."""
+    return F.slice(F.array_distinct(F.concat(F.array(text), replaced(text), clauses(text))), 1, most)
+
+
+def numbered_lines(response: Column) -> Column:
+    """Lines of a response without their numbering, of more than ten characters."""
+    strip = lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+", ""), r"\s+$", "")
+    lines = F.transform(F.split(strip(response), "\n"), lambda x: strip(F.regexp_replace(strip(x), r"^[0-9]+[.)\s-]+", "")))
+    return F.filter(lines, lambda x: F.length(x) > 10)
+
+
+def variations(response: Column, count: int = 3) -> Column:
+    """The numbered lines of a response, filled up with general variations of its first sentence."""
+    base = F.get(F.split(response, r"\."), F.lit(0))
+    padded = F.array(*(F.concat(base, F.lit(f" {x}")) for x in PADDING))
+    return F.slice(F.concat(numbered_lines(response), padded), 1, count)
+
+
+def parallel_strategies(text: Column, fastest: Column) -> Column:
+    """standard, more for code and for complex questions, then the fastest so far, each once, up to five."""
+    low = F.lower(text)
+    inner = F.substring(text, F.lit(1), F.greatest(F.length(text) - 1, F.lit(0)))
+    none = F.array().cast("array<string>")
+    code = F.when(low.contains("code") | low.contains("function"), F.array(F.lit("code_specific"))).otherwise(none)
+    hard = F.when((word_count(text) > 20) | inner.contains("?"), F.array(F.lit("multi_query"), F.lit("graph_enhanced"))).otherwise(none)
+    return F.slice(F.array_distinct(F.concat(F.array(F.lit("standard")), code, hard, fastest)), 1, MOST_STRATEGIES)
+
+
+def match_explanation(dense: Column, lexical: Column, found: Column) -> Column:
+    """Why a text was found: bands of its scores and the keywords it holds."""
+    parts = F.array_compact(
+        F.array(
+            F.when(dense > 0.8, "Alta similaridade semântica").when(dense > 0.6, "Similaridade semântica moderada"),
+            F.when(lexical > 0.5, "Forte match de keywords").when(lexical > 0.2, "Match parcial de keywords"),
+            F.when(F.size(found) > 0, F.concat(F.lit("Keywords encontradas: "), F.array_join(found, ", "))),
+        )
+    )
+    return F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise("Match geral")
+
+
+def combined_answer(answers: Column, reasoning: Column) -> Column:
+    """Several answers as one: set side by side for comparisons, else one after another."""
+    numbered = F.transform(answers, lambda a, k: F.concat(F.lit("Perspectiva "), (k + 1).cast("string"), F.lit(": "), a))
+    compared = F.concat(F.lit("Comparando as informações:\n\n"), F.array_join(numbered, "\n\n"))
+    return F.when(reasoning == "comparative", compared).otherwise(F.concat(F.lit("Síntese das informações encontradas:\n\n"), F.array_join(answers, " ")))

@@ -104,3 +104,10 @@ def entities(col: Column) -> Column:
     """Runs of capitalised words, quoted terms and technical terms of more than two characters, the first ten by name."""
     found = F.concat(*(F.regexp_extract_all(col, F.lit(p), F.lit(g)) for p, g in ENTITIES))
     return F.slice(F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.length(x) > 2))), 1, 10)
+
+
+def merge_context(content: Column, summary: Column, names: Column) -> Column:
+    """A text with a summary of its surroundings and related names behind it; what is empty is left out."""
+    about = F.when(F.length(summary) > 0, F.concat(F.lit("\n\n[Contexto do Grafo]\n"), summary))
+    related = F.when(F.size(names) > 0, F.concat(F.lit("\nEntidades relacionadas: "), F.array_join(names, ", ")))
+    return F.concat_ws("\n", content, about, related)

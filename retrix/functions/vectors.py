@@ -41,3 +41,22 @@ def combine(vectors: Column, how: str = "mean") -> Column:
 def min_max(value: Column, low: Column, high: Column) -> Column:
     """Value between 0 and 1 within its range; 0.5 where the range is empty."""
     return F.when(high == low, F.lit(0.5)).otherwise((value - low) / (high - low))
+
+
+#: What the heads' matrices hold. Factual: the unit matrix, every tenth row by 1.2. Conceptual: 0.1 from
+#: five places before the diagonal to four behind it. Procedural: 1 on the diagonal and 0.8 behind it, the last row
+#: empty. Contextual: 0.1 everywhere. The noise that could be added to them is left out.
+FACTUAL, NEAR, NEXT, EVERYWHERE = 1.2, (5, 0.1), 0.8, 0.1
+
+
+def head_projections(vector: Column) -> dict[str, Column]:
+    """A vector times the matrix of each head, by its name."""
+    size = F.size(vector)
+    total = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x)
+    near = lambda k: F.slice(vector, F.greatest(k - NEAR[0] + 2, F.lit(1)), F.least(size, k + NEAR[0] + 1) - F.greatest(k - NEAR[0] + 2, F.lit(1)) + 1)
+    return {
+        "factual": F.transform(vector, lambda x, k: F.when(k % 10 == 0, x * FACTUAL).otherwise(x)),
+        "conceptual": F.transform(vector, lambda x, k: F.aggregate(near(k), F.lit(0.0), lambda a, y: a + y * NEAR[1])),
+        "procedural": F.transform(vector, lambda x, k: F.when(k < size - 1, x).otherwise(0.0) + F.when(k > 0, F.get(vector, k - 1) * NEXT).otherwise(0.0)),
+        "contextual": F.transform(vector, lambda x, k: total * EVERYWHERE),
+    }

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Weights of the tiers.
 TIER_WEIGHT = {"hot": 3.0, "warm": 2.0, "cold": 1.0}
 
 
@@ -49,3 +53,34 @@ def budget_fold(hits: Column, limit: int, most: int) -> Column:
         )
 
     return F.aggregate(hits, start, step)["ids"]
+
+
+#: Level of compression, characters from which it is tried, and share of the size that it must get below.
+LEVEL, LONG, GAIN = 6, 10_000, 0.8
+
+
+def compressed(text: Column) -> Column:
+    """``compressed``, ``packed`` (null where it isn't), ``ratio`` and ``plain`` (null where it is) of long texts that
+    become smaller than GAIN of their size; the others stay as they are, with a ratio of 1."""
+
+    @F.pandas_udf("compressed boolean, packed binary, ratio double, plain string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            packed = zlib.compress(raw, LEVEL) if len(text or "") > LONG else None
+            worth = packed is not None and len(packed) < GAIN * len(raw)
+            rows.append((worth, packed if worth else None, len(raw) / len(packed) if worth else 1.0, None if worth else text))
+        return pd.DataFrame(rows, columns=["compressed", "packed", "ratio", "plain"])
+
+    return run(text)
+
+
+def restored(held: Column) -> Column:
+    """The text of a ``compressed`` struct."""
+
+    @F.pandas_udf("string")
+    def run(packed: pd.Series) -> pd.Series:
+        return packed.map(lambda x: None if x is None else zlib.decompress(x).decode("utf-8", "surrogatepass"))
+
+    return F.coalesce(run(held["packed"]), held["plain"])

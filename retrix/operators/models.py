@@ -64,29 +64,43 @@ def template_answer(prompt: str) -> str:
     return " ".join(re.split(r"(?<=[.!?])\s+", body)[:2])
 
 
-def query_variants(question: str, count: int = 3) -> list[str]:
-    """The question and variations of it by fixed templates."""
-    base = question.rstrip("?. ")
-    return [question, f"{base}: exemplos", f"{base}: detalhes", f"{base}: passos"][: count + 1]
+#: What variations of a question add to it.
+VARIANTS = (": exemplos", ": detalhes", ": passos")
 
 
-#: Labels of contents and words that speak for them.
+def query_variants(question: Column, count: int = 3) -> Column:
+    """The question and variations of it by fixed templates, as an array."""
+    base = F.regexp_replace(question, r"[?. ]+$", "")
+    return F.array(question, *(F.concat(base, F.lit(x)) for x in VARIANTS[:count]))
+
+
+#: Labels of contents, the first of which is the default, and words that speak for them.
 LABELS = {
-    "technology": ("api", "server", "code", "função", "code", "cache", "token"), "business": ("cliente", "tenant", "custo", "cost", "orçamento", "budget"), "science": ("estudo", "study", "prova", "test"),
-    "education": ("guia", "guide", "manual", "passos"), "health": ("saúde", "health"), "legal": ("lei", "law", "contrato"),
+    "technology": "api app banco cache cliente code codec código computer computador dados data database deploy device docker erro error função function gateway hardware index json latência latency log método model modelo network python query rede rest script server servidor sistema software system sistema token usuario usuário vector vetor web",
+    "finance": "account ativo bank banco bolsa budget capital cash cost costo crédito credit custo débito despesa dinero dinheiro dividend empréstimo expense factura fatura finance finanças fondo fundo gasto impuesto imposto interest inversión investimento invoice juros loan lucro market mercado money orçamento payment pagamento pago precio preço price profit receita revenue stock tax",
+    "health": "care clínica clinic cuidado disease doctor doença droga dose dosis enfermedad enfermeiro enfermera exame fever febre fiebre health hospital medicine medicina médico nurse paciente patient remédio salud saúde sintoma symptom surgery cirurgia cirugía therapy terapia tratamento treatment vaccine vacina vacuna virus vírus",
+    "education": "alumno aluno aprender aprendizado aprendizaje aula class classe clase colegio college course curso degree education educação educación ensino enseñanza escola escuela estudante estudiante exam exercise exercício ejercicio faculdade guia guía learn lesson lição lección manual professor profesor school student study estudo estudio teacher university universidade universidad",
+    "entertainment": "actor ator arte art artista artist banda band cine cinema concert concerto concierto dance dança danza episode episódio festival film filme game jogo juego movie music música novela palco película play radio rádio série series show song canção canción stage teatro theater televisão televisión television video vídeo",
+    "legal": "abogado advogado acuerdo acordo agreement artigo artículo cláusula clause constitution constituição contrato contract corte court crime crimen derecho direito juez juiz judge justice justiça justicia law lawyer legal lei ley license licença licencia norma penal policy processo proceso regulation regulamento reglamento right sentença sentencia tribunal",
 }
 
 
-def label_of(text: str) -> tuple[str, float]:
-    """The label whose words occur most in the first 512 characters, and its share; technology and 0.5 where none does."""
-    found = set(_WORD.findall(text[:512].lower()))
-    scores = {label: len(found & set(terms)) for label, terms in LABELS.items()}
-    best = max(scores, key=lambda label: scores[label])
-    return (best, scores[best] / sum(scores.values())) if scores[best] else ("technology", 0.5)
+def label_of(text: Column) -> Column:
+    """The label most of whose words a whole text has, and its share of all such words; the default and 0.5 where it
+    has none. The rule stands where a zero-shot classifier can be put."""
+    held = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    counts = {label: F.size(F.array_intersect(held, F.array(*map(F.lit, sorted(set(terms.split())))))) for label, terms in LABELS.items()}
+    most, total, best = F.greatest(*counts.values()), sum(counts.values()), None
+    for label, count in counts.items():
+        best = F.when(count == most, label) if best is None else best.when(count == most, label)
+    none = F.coalesce(most, F.lit(0)) == 0
+    return F.struct(F.when(none, next(iter(LABELS))).otherwise(best).alias("label"), F.when(none, 0.5).otherwise(most / total).alias("confidence"))
 
 
-def content_label(text: Column, model: Callable[[str], tuple[str, float]] = label_of) -> Column:
-    """Label and confidence of every text by a pluggable classifier."""
+def content_label(text: Column, model: Callable[[str], tuple[str, float]] | None = None) -> Column:
+    """Label and confidence of every text: by the words of whole texts, or by a classifier that is given."""
+    if model is None:
+        return label_of(text)
 
     @F.pandas_udf("label string, confidence double")
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -95,6 +109,17 @@ def content_label(text: Column, model: Callable[[str], tuple[str, float]] = labe
     return run(text)
 
 
+def generate(prompt: Column, model: Generator) -> Column:
+    """The generator's answers to a column of prompts, a batch at a time; a null prompt has none."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda p: None if p is None else model(p))
+
+    return run(prompt)
+
+
 def find_entities(text: str) -> list[tuple[str, str, int, int]]:
     """Text, label, start and end of names, numbers and quoted terms: the default in place of a tagger."""
     out = []

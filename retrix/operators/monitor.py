@@ -39,17 +39,26 @@ def trailing_mean(df: DataFrame, value: Column, by: Sequence[str], order: Sequen
     return F.avg(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(start, 0))
 
 
-def running_mean(df: DataFrame, value: Column, by: str, order: Sequence[str], name: str, day: str = "day") -> DataFrame:
-    """``df`` with the mean of all rows of the group up to each row, in order of ``day`` and ``order``.
+def running(df: DataFrame, value: Column, by: Sequence[str], part: Column, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of the group up to each row, in order of ``part`` and ``order``.
 
-    Totals of the days before are added to a window within the day, so that no task holds a whole hot group.
+    ``part`` divides a group in the order of its rows (an hour of a day, say): sums of the parts before are added to a
+    window within the part, so that no task holds a whole hot group. Null values count as 0.
     """
-    rows = df.withColumn("__v", value)
-    within = Window.partitionBy(by, day).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__s", F.coalesce(F.sum("__v").over(within), F.lit(0.0))).withColumn("__n", F.count("__v").over(within))
-    days = df.withColumn("__v", value).groupBy(F.col(by).alias("__by"), F.col(day).alias("__day")).agg(F.sum("__v").alias("ds"), F.count("__v").alias("dn"))
-    before = Window.partitionBy("__by").orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("__by", "__day", F.coalesce(F.sum("ds").over(before), F.lit(0.0)).alias("__ps"), F.coalesce(F.sum("dn").over(before), F.lit(0)).alias("__pn"))
-    joined = rows.join(days, F.col(by).eqNullSafe(F.col("__by")) & F.col(day).eqNullSafe(F.col("__day")))
-    total = F.col("__n") + F.col("__pn")
-    return joined.withColumn(name, F.when(total > 0, (F.col("__s") + F.col("__ps")) / total)).select(*df.columns, name)
+    keys = [f"__k{k}" for k in range(len(by))]
+    rows = df.withColumn("__v", F.coalesce(value, F.lit(0))).withColumn("__p", part)
+    within = Window.partitionBy(*by, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col("__p").alias("__q")).agg(F.sum("__v").alias("__t"))
+    before = F.coalesce(F.sum("__t").over(Window.partitionBy(*keys).orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*keys, "__q", before.alias("__b"))
+    match = F.col("__p").eqNullSafe(F.col("__q"))
+    for c, k in zip(by, keys):
+        match = match & F.col(c).eqNullSafe(F.col(k))
+    return rows.withColumn("__s", F.sum("__v").over(within)).join(parts, match).withColumn(name, F.col("__s") + F.col("__b")).select(*df.columns, name)
+
+
+def running_mean(df: DataFrame, value: Column, by: str, order: Sequence[str], name: str, day: str = "day") -> DataFrame:
+    """``df`` with the mean of all rows of the group up to each row, in order of ``day`` and ``order``; see running."""
+    held = running(df.withColumn("__value", value), F.col("__value"), [by], F.col(day), order, "__sum")
+    held = running(held, F.when(F.col("__value").isNotNull(), 1), [by], F.col(day), order, "__count")
+    return held.withColumn(name, F.when(F.col("__count") > 0, F.col("__sum") / F.col("__count"))).select(*df.columns, name)

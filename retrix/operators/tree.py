@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from retrix.functions.vectors import cosine
 from retrix.operators import mixtures
-from retrix.operators.memory import budget_fold
 from retrix.sources.tables import cut
 
 SEED = 42
@@ -49,12 +48,27 @@ def summary(tree: DataFrame) -> DataFrame:
 
 
 def collapsed_search(tree: DataFrame, vector: list[float], k: int = 20, max_tokens: int = 2000, fetch: int = 200) -> DataFrame:
-    """Nodes of all levels by similarity, taken while they fit into the budget; those that don't are passed over."""
+    """Nodes of all levels by similarity, taken while they fit into the budget; those that don't are passed over.
+
+    The nodes are looked through in pages of ``fetch``, each page only of those behind the last and small enough for
+    what is left, until k are taken, the budget is spent or none is left: so all nodes are considered.
+    """
     scored = tree.select("node", "level", "tokens", F.round(cosine(F.col("vector"), F.array(*map(F.lit, vector))), 9).alias("score"))
-    best = scored.orderBy(F.desc("score"), "node").limit(fetch)
-    row = F.struct((-F.col("score")).alias("s"), F.col("node").alias("id"), F.col("tokens"))
-    chosen = best.groupBy().agg(F.sort_array(F.collect_list(row)).alias("rows")).select(F.posexplode(budget_fold(F.col("rows"), max_tokens, k)).alias("place", "node"))
-    return chosen.join(best, "node").select("place", "node", "level", "score", "tokens")
+    taken: list[tuple[int, int, int, float, int]] = []
+    room, last = max_tokens, None
+    while len(taken) < k and room > 0:
+        rest = scored.where(F.col("tokens") <= room)
+        if last is not None:
+            rest = rest.where((F.col("score") < last[0]) | (F.col("score") == last[0]) & (F.col("node") > last[1]))
+        page = rest.orderBy(F.desc("score"), "node").limit(fetch).collect()  # a page
+        for r in page:
+            if r["tokens"] <= room and len(taken) < k:
+                taken.append((len(taken), r["node"], r["level"], r["score"], r["tokens"]))
+                room -= r["tokens"]
+        if len(page) < fetch:
+            break
+        last = (page[-1]["score"], page[-1]["node"])
+    return tree.sparkSession.createDataFrame(taken, "place int, node long, level int, score double, tokens long")
 
 
 def mixture(points: DataFrame, most: int = 50, dimensions: int = 8, seed: int = SEED, by: str = "criterion") -> DataFrame:

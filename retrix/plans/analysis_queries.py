@@ -58,7 +58,14 @@ def classify_router(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-@query()
+_ROUTES = "CASE kind WHEN 'simple' THEN ['direct'] WHEN 'single_hop' THEN ['standard', 'multi_query'] WHEN 'multi_hop' THEN ['graph', 'multi_query'] ELSE ['multi_head', 'graph'] END"
+
+
+@query(
+    ASKED
+    + f""", k AS (SELECT *, {_CLASS} AS kind, {_UNCLEAR} AS unclear FROM b), s AS (SELECT id, list_concat(list_concat({_ROUTES}, CASE WHEN {_any(Q.TEMPORAL_WORDS)} THEN ['graph'] ELSE [] END), CASE WHEN unclear > 0.3 THEN ['corrective'] ELSE [] END) AS s FROM k)
+    SELECT id, array_to_string(list_slice(list_filter(s, lambda x, i: list_position(s, x) = i), 1, 3), ',') AS strategies FROM s"""
+)
 def router_strategies(spark: SparkSession, directory: str) -> DataFrame:
     """Up to three strategies for every question."""
     q = F.col("q")

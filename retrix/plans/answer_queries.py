@@ -98,7 +98,12 @@ def feedback_success(spark: SparkSession, directory: str) -> DataFrame:
     return rows.groupBy("model_used").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("user_feedback") > 2.5).cast("int")), 6).alias("rate"))
 
 
-@query()
+@query(
+    METRICS_ONCE
+    + """, f AS (SELECT routing_strategy, ts::DATE AS day, avg(user_feedback / 5) AS s FROM m WHERE user_feedback IS NOT NULL AND routing_strategy IS NOT NULL GROUP BY ALL),
+    l AS (SELECT routing_strategy, list(s ORDER BY day) AS fs FROM f GROUP BY routing_strategy)
+    SELECT routing_strategy, round(list_reduce(list_prepend(0.5::DOUBLE, fs), lambda w, s: least(1.0::DOUBLE, greatest(0.1::DOUBLE, w + 0.1::DOUBLE * (s - 0.5)))), 9) AS weight FROM l"""
+)
 def feedback_weights(spark: SparkSession, directory: str) -> DataFrame:
     """Weight of every routing strategy after its feedback by day, kept between 0.1 and 1 at every step."""
     from retrix.operators import monitor

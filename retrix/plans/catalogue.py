@@ -14,6 +14,7 @@ from retrix.plans import (  # noqa: F401  each module registers its queries
     graph_queries,
     memory_queries,
     monitor_queries,
+    pipeline_queries,
     text_queries,
     tree_queries,
 )

@@ -75,8 +75,17 @@ def _by_strategy(strategy: str):
     return run
 
 
-for _strategy in ("recursive", "structural", "semantic", "semantic_enhanced", "lines", "entity_aware", "sentence_packs"):
-    query()(_by_strategy(_strategy))
+#: Greedy packing of pieces (``ps``) by their lengths: the number of each piece's chunk, by a fold.
+_PACKED = """WITH d AS (SELECT doc_id AS id, {pieces} AS ps FROM documents WHERE text IS NOT NULL),
+    g AS (SELECT id, ps, list_reduce(list_transform(ps, lambda p: {{'g': [0], 'used': length(p)}}), lambda a, b: {{'g': list_append(a.g, CASE WHEN a.used + b.used > {size} THEN a.g[-1] + 1 ELSE a.g[-1] END), 'used': CASE WHEN a.used + b.used > {size} THEN b.used ELSE a.used + b.used END}}).g AS gs FROM d),
+    u AS (SELECT id, unnest(gs) AS pos, unnest(ps) AS p, generate_subscripts(ps, 1) AS n FROM g), c AS (SELECT id, pos, string_agg(p, {joint} ORDER BY n) AS chunk FROM u GROUP BY ALL)"""
+_LINES = _PACKED.format(pieces="string_split(text, chr(10))", size=500, joint="chr(10)") + r" SELECT id, pos::INT AS pos, sha256(chunk) AS chunk FROM c WHERE regexp_matches(chunk, '[^\s\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')"
+
+_BLANK = _LINES[_LINES.index(" WHERE regexp_matches") :]
+_STRUCTURAL = _PACKED.format(pieces=r"regexp_split_to_array(text, '\n{{2,}}')".replace("{{", "{").replace("}}", "}"), size=1000, joint="chr(10) || chr(10)") + ", k AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS pos, chunk FROM c WHERE chunk <> '') SELECT id, pos::INT AS pos, sha256(chunk) AS chunk FROM k" + _BLANK
+
+for _strategy, _sql in (("recursive", None), ("structural", _STRUCTURAL), ("semantic", None), ("semantic_enhanced", None), ("lines", _LINES), ("entity_aware", None), ("sentence_packs", None)):
+    query(_sql)(_by_strategy(_strategy))
 
 
 @query()

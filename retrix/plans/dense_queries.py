@@ -253,6 +253,26 @@ def temporal_projection(spark: SparkSession, directory: str) -> DataFrame:
     return spread.groupBy("vec_id", (F.col("i") + F.col("o")).alias("pos")).agg(F.round(F.sum(F.col("x").cast("double") / (F.abs("o") + 1)), 6).alias("value"))
 
 
+@query(
+    """
+    WITH m AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings WHERE vec_id % 100 = 0), n AS (SELECT vec_id, max(i) + 1 AS d FROM m GROUP BY vec_id),
+    w AS (
+        SELECT 'factual' AS head, vec_id, i AS pos, x * CASE WHEN i % 10 = 0 THEN 1.2::DOUBLE ELSE 1 END AS y FROM m
+        UNION ALL SELECT 'conceptual', m.vec_id, j.j, x * 0.1::DOUBLE FROM m JOIN n USING (vec_id), range(64) j(j) WHERE j.j >= i - 5 AND j.j < i + 5
+        UNION ALL SELECT 'procedural', m.vec_id, i, x FROM m JOIN n USING (vec_id) WHERE i < d - 1
+        UNION ALL SELECT 'procedural', m.vec_id, i + 1, x * 0.8::DOUBLE FROM m JOIN n USING (vec_id) WHERE i < d - 1
+        UNION ALL SELECT 'contextual', m.vec_id, j.j, x * 0.1::DOUBLE FROM m, range(64) j(j)
+    ) SELECT head, vec_id, pos, round(sum(y), 6) + 0 AS value FROM w GROUP BY ALL
+    """
+)
+def head_projections(spark: SparkSession, directory: str) -> DataFrame:
+    """Query vectors through the matrices of the factual, conceptual, procedural and contextual heads."""
+    rows = table(spark, directory, "embeddings").where(f"vec_id % {STATED} = 0").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    heads = F.explode(F.array(*(F.struct(F.lit(name).alias("head"), projected.alias("p")) for name, projected in V.head_projections(F.col("e")).items()))).alias("h")
+    flat = rows.select("vec_id", heads).select("h.head", "vec_id", F.posexplode("h.p").alias("pos", "value"))
+    return flat.select("head", "vec_id", "pos", (F.round("value", 6) + 0).alias("value"))
+
+
 @query(
     _SCORES
     + ","

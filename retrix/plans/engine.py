@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retrix.functions import questions as Q
+from retrix.functions import text as X
 from retrix.operators import fusion, models, search, sparse
 from retrix.sources.tables import cut
 
 RELEVANT = 0.7
+#: Weights of the heads in their vote.
+HEADS = {"factual": 1.2, "conceptual": 1.0, "procedural": 1.1, "contextual": 0.9}
 
 
 @dataclass
@@ -48,6 +51,12 @@ class Engine:
         """Dense and lexical hits fused by reciprocal rank: ``query_id``, ``doc_id``, ``score``, ``rank``."""
         return fusion.reciprocal_rank(self.dense(questions), self.sparse(questions), k).withColumnRenamed("place", "rank")
 
+    @staticmethod
+    def _apart(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Parts of questions (``origin``, ``q``) as questions with ids of their own, and what these belong to."""
+        held = cut(parts.withColumn("query_id", F.monotonically_increasing_id()))
+        return held.select("query_id", "q"), held.drop("q")
+
     def rerank(self, questions: DataFrame, hits: DataFrame, k: int = 10) -> DataFrame:
         """Hits in the order of the scorer's judgement of question and content."""
         held = hits.join(self.documents, "doc_id").join(questions, "query_id")
@@ -56,9 +65,8 @@ class Engine:
 
     def multi_query(self, questions: DataFrame, k: int = 5) -> DataFrame:
         """Hits of each question and its variations, fused by weighted sums."""
-        variants = F.udf(lambda q: models.query_variants(q or ""), "array<string>", useArrow=True)
-        spread = questions.select("query_id", F.posexplode(variants("q")).alias("n", "q")).select((F.col("query_id") * 10 + F.col("n")).alias("query_id"), "q")
-        hits = self.hybrid(spread, k).select(F.floor(F.col("query_id") / 10).cast("long").alias("origin"), (F.col("query_id") % 10).alias("n"), "doc_id", "score")
+        spread, of = self._apart(questions.select(F.col("query_id").alias("origin"), F.posexplode(models.query_variants(F.coalesce("q", F.lit("")))).alias("n", "q")))
+        hits = self.hybrid(spread, k).join(of, "query_id").select("origin", "n", "doc_id", "score")
         summed = hits.groupBy("origin", "doc_id").agg(F.round(F.sum(F.col("score") * F.when(F.col("n") == 0, 1.0).otherwise(0.8)), 9).alias("score"))
         return search.ranked(summed.withColumnRenamed("origin", "query_id"), ["query_id"], "score", "doc_id", k)
 
@@ -82,8 +90,8 @@ class Engine:
 
     def decomposed(self, questions: DataFrame, k: int = 10) -> DataFrame:
         """Hits of the parts put together; a hit of several parts counts more (0.2 for each further one)."""
-        parts = self.decompose(questions).select((F.col("query_id") * 100 + F.col("part")).alias("query_id"), "q")
-        hits = self.hybrid(parts, k).withColumn("origin", F.floor(F.col("query_id") / 100).cast("long"))
+        parts, of = self._apart(self.decompose(questions).withColumnRenamed("query_id", "origin"))
+        hits = self.hybrid(parts, k).join(of, "query_id")
         grouped = hits.groupBy("origin", "doc_id").agg(F.max("score").alias("best"), F.countDistinct("query_id").alias("n"))
         scored = grouped.select(F.col("origin").alias("query_id"), "doc_id", F.round(F.col("best") * (1 + 0.2 * (F.col("n") - 1)), 12).alias("score"))
         return search.ranked(scored, ["query_id"], "score", "doc_id", k)
@@ -121,6 +129,48 @@ class Engine:
             out = one if out is None else out.unionByName(one)
         return out
 
+    def by_entities(self, questions: DataFrame, k: int = 5) -> DataFrame:
+        """Texts that share the entities of a question: each entity counts by how few texts have it. Questions without
+        entities have no hits."""
+        named = questions.select("query_id", F.explode(F.transform(X.entities(F.col("q")), F.lower)).alias("term"))
+        held = cut(self.documents.where("content IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.transform(X.entities(F.col("content")), F.lower))).alias("term")))
+        spread = held.groupBy("term").agg((1 / F.log(F.lit(2.0) + F.count(F.lit(1)))).alias("w"))
+        wanted = held.join(named.select("term").distinct(), "term", "left_semi").join(spread, "term")
+        scored = named.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score"))
+        return search.ranked(scored, ["query_id"], "score", "doc_id", k)
+
+    def heads(self, questions: DataFrame, k: int = 5) -> DataFrame:
+        """Dense hits of the question's vector through each head's matrix, by a weighted vote."""
+        from retrix.functions import vectors as V
+
+        asked = questions.select("query_id", models.embed(F.col("q"), self.embedder).alias("v"))
+        turned = V.head_projections(F.col("v"))
+        rows = asked.select(F.col("query_id").alias("origin"), F.explode(F.array(*(F.struct(F.lit(name).alias("head"), p.alias("v")) for name, p in turned.items()))).alias("h"))
+        held = cut(rows.select("origin", "h.head", "h.v").withColumn("query_id", F.monotonically_increasing_id()))
+        hits = search.top_cosine(self.vectors(), "doc_id", "vector", held, "query_id", "v", k).join(held.select("query_id", "origin", "head"), "query_id")
+        weight = F.create_map(*(x for name, w in HEADS.items() for x in (F.lit(name), F.lit(w))))[F.col("head")]
+        summed = hits.groupBy(F.col("origin").alias("query_id"), "doc_id").agg(F.round(F.sum(F.col("score") * weight) / len(HEADS), 9).alias("score"))
+        return search.ranked(summed, ["query_id"], "score", "doc_id", k)
+
+    def execute(self, questions: DataFrame, k: int = 5) -> DataFrame:
+        """Each question by all strategies its router chose (up to three): ``query_id``, ``strategy``, ``doc_id``, ``score``,
+        ``rank``. Every strategy runs once, for all the questions that want it."""
+        q = F.col("q")
+        chosen = Q.strategies(Q.route_class(q), Q.contains_any(Q.lower(q), list(Q.TEMPORAL_WORDS)), Q.ambiguity(q))
+        wanted = cut(questions.where("q IS NOT NULL").select("query_id", "q", F.explode(chosen).alias("strategy")))
+        run = {"direct": self.sparse, "standard": self.hybrid, "multi_query": self.multi_query, "graph": self.by_entities, "multi_head": self.heads, "corrective": self.corrective}
+        out = None
+        for name, branch in run.items():
+            one = branch(wanted.where(F.col("strategy") == name).select("query_id", "q"), k).select("query_id", F.lit(name).alias("strategy"), "doc_id", "score", "rank")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def combined(self, questions: DataFrame, k: int = 5) -> DataFrame:
+        """The hits of a question's strategies together: a text is there once, with its best place and all strategies that
+        found it, those with the best places first."""
+        found = self.execute(questions, k).groupBy("query_id", "doc_id").agg(F.min("rank").alias("best"), F.sort_array(F.collect_set("strategy")).alias("strategies"))
+        return search.ranked(found.withColumn("score", F.size("strategies") - F.col("best")), ["query_id"], "score", "doc_id", k).select("query_id", "doc_id", "strategies", "rank")
+
     def context(self, hits: DataFrame, size: int = 5, characters: int = 500) -> DataFrame:
         """Numbered contents of each question's best hits as one text: ``query_id``, ``context``."""
         best = hits.where(F.col("rank") <= size).join(self.documents, "doc_id")
@@ -132,8 +182,7 @@ class Engine:
         """Routes, gathers context and lets the generator answer: ``query_id``, ``answer``, ``sources``, ``confidence``."""
         hits = cut(self.route(questions, k))
         found = hits.groupBy("query_id").agg(F.sort_array(F.collect_set("doc_id")).alias("sources"), F.count(F.lit(1)).alias("n"))
-        generate = F.udf(self.generator, "string", useArrow=True)
         prompt = F.concat_ws("\n\n", F.lit("Responda com base no contexto."), "context", F.concat(F.lit("Pergunta: "), F.col("q")))
         base = questions.join(self.context(hits, k), "query_id", "left").join(found, "query_id", "left")
         confidence = F.least(F.lit(1.0), F.lit(0.5) + F.when(F.col("n") > 3, 0.2).otherwise(0.0) + F.when(F.length("context") > 200, 0.1).otherwise(0.0))
-        return base.select("query_id", generate(prompt).alias("answer"), F.coalesce("sources", F.array().cast("array<long>")).alias("sources"), F.round(confidence, 6).alias("confidence"))
+        return base.select("query_id", models.generate(prompt, self.generator).alias("answer"), F.coalesce("sources", F.array().cast("array<long>")).alias("sources"), F.round(confidence, 6).alias("confidence"))

@@ -58,6 +58,19 @@ def engine_adaptive(spark: SparkSession, directory: str) -> DataFrame:
     return _engine(spark, directory).adaptive(asked_queries(spark, directory))
 
 
+@query()
+def engine_execute(spark: SparkSession, directory: str) -> DataFrame:
+    """Hits of each of the strategies that a question's router chose."""
+    return _engine(spark, directory).execute(asked_queries(spark, directory))
+
+
+@query()
+def engine_combined(spark: SparkSession, directory: str) -> DataFrame:
+    """The hits of a question's strategies put together."""
+    found = _engine(spark, directory).combined(asked_queries(spark, directory))
+    return found.withColumn("strategies", F.array_join("strategies", ","))
+
+
 @query()
 def engine_rerank(spark: SparkSession, directory: str) -> DataFrame:
     """Hybrid hits in the order of a second judgement."""

@@ -79,17 +79,17 @@ def graph_khop(spark: SparkSession, directory: str) -> DataFrame:
     return G.k_hop(edges(spark, directory), own.where("id = 'n3'").select("id"), 2)
 
 
-@query(GRAPH + "SELECT e.src, e.type, e.dst, n.type AS dst_type FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.src = 'r1'")
+@query(GRAPH + "SELECT e.src, e.type, e.dst, n.type AS dst_type FROM edges e JOIN nodes n ON n.id = e.dst")
 def graph_context(spark: SparkSession, directory: str) -> DataFrame:
-    """What a node holds."""
-    found = edges(spark, directory).where("src = 'r1'")
+    """What every node holds."""
+    found = edges(spark, directory)
     return found.join(nodes(spark, directory).select(F.col("id").alias("dst"), F.col("type").alias("dst_type")), "dst").select("src", "type", "dst", "dst_type")
 
 
-@query(GRAPH + "SELECT n.id, count(b.dst) AS neighbours, list_sort(list(DISTINCT b.type) FILTER (b.type IS NOT NULL)) AS kinds FROM nodes n LEFT JOIN sym b ON b.src = n.id WHERE n.id IN ('n1', 'n2', 'c1', 'x9') GROUP BY n.id")
+@query(GRAPH + "SELECT n.id, count(b.dst) AS neighbours, list_sort(list(DISTINCT b.type) FILTER (b.type IS NOT NULL)) AS kinds FROM nodes n LEFT JOIN sym b ON b.src = n.id GROUP BY n.id")
 def graph_neighbourhood(spark: SparkSession, directory: str) -> DataFrame:
-    """Neighbours of listed nodes, also of those that have none."""
-    wanted = nodes(spark, directory).where(F.col("id").isin("n1", "n2", "c1", "x9"))
+    """Neighbours of every node, also of those that have none."""
+    wanted = nodes(spark, directory)
     joined = wanted.select("id").join(G.both_ways(edges(spark, directory)).withColumnRenamed("src", "id"), "id", "left")
     return joined.groupBy("id").agg(F.count("dst").alias("neighbours"), F.sort_array(F.collect_set("type")).alias("kinds"))
 
@@ -149,11 +149,9 @@ def graph_delete(spark: SparkSession, directory: str) -> DataFrame:
 
 @query()
 def graph_pagerank(spark: SparkSession, directory: str) -> DataFrame:
-    """The twenty nodes with the highest rank around a region."""
-    own, links = nodes(spark, directory), edges(spark, directory)
-    near = cut(G.k_hop(links, own.where("id = 'r0'").select("id"), 2).select("id"))
-    inside = cut(G.valid_edges(links, near))
-    return G.page_rank(near, inside).select("id", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), "id").limit(20)
+    """The twenty nodes with the highest rank of the whole graph."""
+    own = cut(nodes(spark, directory).select("id"))
+    return G.page_rank(own, cut(edges(spark, directory))).select("id", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), "id").limit(20)
 
 
 @query()

@@ -135,9 +135,8 @@ def export_last(spark: SparkSession, directory: str) -> DataFrame:
 )
 def daily_budget(spark: SparkSession, directory: str) -> DataFrame:
     """Queries within and beyond a budget of 0.5 a day, in order of time."""
-    window = Window.partitionBy("day").orderBy("ts", "query_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = _metrics(spark, directory).withColumn("day", F.to_date("ts"))
-    spent = rows.withColumn("spent", F.sum(F.coalesce(M.valid(F.col("estimated_cost")), F.lit(0.0))).over(window))
+    spent = M.running(rows, M.valid(F.col("estimated_cost")), ["day"], F.hour("ts"), ["ts", "query_id"], "spent")
     return spent.groupBy("day").agg(F.count_if(F.col("spent") <= 0.5).alias("within"), F.count_if(F.col("spent") > 0.5).alias("refused"))
 
 
@@ -150,8 +149,8 @@ def daily_budget(spark: SparkSession, directory: str) -> DataFrame:
 def rate_limit(spark: SparkSession, directory: str) -> DataFrame:
     """Requests that a limit of 60 requests and 1500 tokens a minute lets through."""
     rows = _metrics(spark, directory).withColumn("minute", F.window("ts", "60 seconds")["start"])
-    window = Window.partitionBy("minute").orderBy("ts", "query_id").rowsBetween(Window.unboundedPreceding, 0)
-    counted = rows.select("minute", F.count(F.lit(1)).over(window).alias("n"), F.sum("tokens_input").over(window).alias("tokens"))
+    counted = M.running(rows, F.lit(1), ["minute"], F.second("ts"), ["ts", "query_id"], "n")
+    counted = M.running(counted, F.col("tokens_input"), ["minute"], F.second("ts"), ["ts", "query_id"], "tokens")
     return counted.agg(F.count(F.lit(1)).alias("queries"), F.count_if((F.col("n") <= 60) & (F.col("tokens") <= 1500)).alias("allowed"), F.countDistinct("minute").alias("minutes"))
 
 

@@ -376,19 +376,9 @@ def key_terms(spark: SparkSession, directory: str) -> DataFrame:
     return sparse.key_terms(table(spark, directory, "documents"), "doc_id", "text")
 
 
-@query()
+@query(_KEYS.replace("WITH d AS", _WEIGHTS + ", d AS").replace("p AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY ALL)", "kp AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY ALL)").replace("FROM p GROUP BY term HAVING", "FROM kp GROUP BY term HAVING").replace("FROM p JOIN f USING", "FROM kp JOIN f USING") + "SELECT doc_id, round(sum(weight * CASE WHEN k.term IS NULL THEN 1 ELSE 1.5::DOUBLE END), 6) AS weight FROM w LEFT JOIN k USING (doc_id, term) GROUP BY doc_id")
 def bm25_boosted(spark: SparkSession, directory: str) -> DataFrame:
     """BM25 weights raised for key terms, summed up per text."""
     docs = table(spark, directory, "documents")
     raised = sparse.boosted(sparse.weights(sparse.fit(docs, "doc_id", "text")), sparse.key_terms(docs, "doc_id", "text"))
     return raised.groupBy("doc_id").agg(F.round(F.sum("weight"), 6).alias("weight"))
-
-
-@query()
-def content_labels(spark: SparkSession, directory: str) -> DataFrame:
-    """Label of every text by the default classifier, and the entities the default tagger finds."""
-    from retrix.operators import models
-
-    docs = table(spark, directory, "documents").where("text IS NOT NULL")
-    rows = docs.select("doc_id", models.content_label(F.col("text")).alias("c"), models.tagged(F.col("text")).alias("e"))
-    return rows.select("doc_id", "c.label", F.round("c.confidence", 6).alias("confidence"), F.size("e").alias("entities"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from retrix.functions import questions as Q
 from retrix.functions import text as X
 from retrix.functions import vectors as V
-from retrix.operators import chunking, codestructure, fusion, graph, memory, models, search, writes
+from retrix.operators import chunking, fusion, graph, memory, models, search, writes
 
 
 def test_page_rank(spark):
@@ -98,10 +98,6 @@ def test_questions(spark):
     assert found == [("list", "simple", "vector_only"), ("definition", "simple", "vector_only"), ("explanation", "complex", "graph")]
 
 
-def test_code_structure():
-    found = codestructure.find_relations("import os\nclass A(Base):\n    def f(self):\n        g()\n\ndef g():\n    os.path()\n    h()\n", "python")
-    assert ("EXTENDS", "A", "Base") in found and ("IMPORTS", "", "os") in found and ("CALLS", "", "g") in found and ("CALLS_EXTERNAL", "", "h") in found
-
 
 def test_models_are_the_same_in_every_run():
     assert np.allclose(models.hash_vector("Olá mundo"), models.hash_vector("olá MUNDO")) and models.hash_vector("").sum() == 0
