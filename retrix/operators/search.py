@@ -1,16 +1,24 @@
-"""Search: the best rows for each of a stated set of queries."""
+"""Search: the best rows for each of a stated set of queries.
+
+Queries whose vectors take SENT bytes at most are sent to every task, and rows are held against them where they lie.
+More of them meet the rows in cells of CELL_ROWS rows: a row goes to one cell, a query to all; nothing that grows with
+the data reaches the driver.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
+
+from retrix.sources.tables import cut
 
-#: Query vectors that are held against all rows at once.
-BLOCK = 4096
+#: Bytes of query vectors that are sent to every task; rows of a cell; numbers of a matrix that is made at once.
+SENT, CELL_ROWS, AT_ONCE = 32 << 20, 1 << 18, 1 << 22
 ROUND = 9
 
 
@@ -20,79 +28,155 @@ def ranked(df: DataFrame, by: list[str], score: str, tie: str, k: int, rank: str
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def top_cosine(rows: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_id: str, query_vector: str, k: int = 5) -> DataFrame:
-    """The k rows most similar to each query: ``query_id``, ``doc_id``, ``score``, ``rank``.
+class _Best:
+    """The k most similar rows of each query so far."""
 
-    Scores are cosines in double precision, rounded to 9 decimals; a vector of length 0 scores 0. The
-    queries are a stated set: they are taken in blocks of BLOCK vectors, each held against all rows where
-    these lie, and every task keeps its own k best before anything is shuffled. Rows with a null id or
-    vector, or of another length than the query, are left out.
-    """
-    asked = [(r[0], r[1]) for r in queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull()).toLocalIterator()]
-    blocks = [asked[at : at + BLOCK] for at in range(0, len(asked), BLOCK)] or [[]]
-    out = None
-    for block in blocks:
-        found = _block(rows, id_col, vector_col, block, k)
-        out = found if out is None else out.unionByName(found)
-    return ranked(out, ["query_id"], "score", "doc_id", k)
+    schema = "query_id long, key long, score double"
+
+    def __init__(self, k: int):
+        self.k, self.held = k, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def add(self, ids: np.ndarray, queries: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> None:
+        size = np.outer(np.sqrt((queries**2).sum(axis=1)), np.sqrt((rows**2).sum(axis=1)))
+        scores = np.round(np.divide(queries @ rows.T, size, out=np.zeros_like(size), where=size > 0), ROUND)
+        if scores.shape[1] > self.k:
+            least = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
+            who, what = np.nonzero(scores >= least[:, None])  # ties included
+        else:
+            who, what = (x.reshape(-1) for x in np.indices(scores.shape))
+        query, key, score = (np.concatenate(x) for x in zip(self.held, (ids[who], keys[what], scores[who, what])))
+        order = np.lexsort((key, -score, query))
+        query, key, score = query[order], key[order], score[order]
+        first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))[: len(query)]
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        self.held = query[rank < self.k], key[rank < self.k], score[rank < self.k]
+
+    def rows(self) -> list[np.ndarray]:
+        return list(self.held)
+
+
+class _Greatest:
+    """The greatest dot product of each query with the rows of each key so far."""
+
+    schema = "query_id long, key long, score double"
+
+    def __init__(self):
+        self.held: dict[tuple[int, int], float] = {}
+
+    def add(self, ids: np.ndarray, queries: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        starts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+        best = np.maximum.reduceat((queries @ rows.T)[:, order], starts, axis=1)
+        for key, column in zip(keys[order][starts].tolist(), best.T):
+            for query, value in zip(ids.tolist(), column.tolist()):
+                self.held[query, key] = max(self.held.get((query, key), -np.inf), value)
 
+    def rows(self) -> list[np.ndarray]:
+        return [np.array([q for q, _ in self.held], np.int64), np.array([k for _, k in self.held], np.int64), np.array(list(self.held.values()))]
 
-def _block(rows: DataFrame, id_col: str, vector_col: str, block: list, k: int) -> DataFrame:
-    ids = np.array([i for i, _ in block], dtype=np.int64)
-    matrix = np.array([v for _, v in block], dtype=np.float64).reshape(len(block), len(block[0][1]) if block else 0)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = np.sqrt((matrix**2).sum(axis=1))
-        best: list[tuple[np.ndarray, np.ndarray]] = []
+def _packed(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``key`` and the vector's bytes, for rows that have both."""
+    kind = np.float32 if isinstance(df.schema[vector_col].dataType.elementType, FloatType) else np.float64
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(ids) or not batch.num_rows:
+            if not batch.num_rows:
                 continue
             vectors = batch.column(1)
-            fits = np.array([x == matrix.shape[1] for x in pa.compute.list_value_length(vectors).fill_null(-1).to_pylist()])
-            held = batch.column(0).filter(pa.array(fits)).to_numpy(zero_copy_only=False)
-            values = vectors.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, matrix.shape[1])
-            if not len(held):
-                continue
-            size = np.outer(lengths, np.sqrt((values**2).sum(axis=1)))
-            scores = np.round(np.divide(matrix @ values.T, size, out=np.zeros_like(size), where=size > 0), ROUND)
-            best.append((scores, np.broadcast_to(held, scores.shape)))
-            scores, names = (np.concatenate(x, axis=1) for x in zip(*best))
-            order = np.lexsort((names, -scores), axis=1)[:, :k]
-            best = [(np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1))]
-        if best:
-            scores, names = best[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, scores.shape[1])), pa.array(names.reshape(-1).astype(np.int64)), pa.array(scores.reshape(-1))], names=["query_id", "doc_id", "score"])
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()
+            ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False))]).astype(np.int64) * np.dtype(kind).itemsize
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[s:e] for s, e in zip(ends, ends[1:])], type=pa.binary()), pa.array([kind().itemsize] * batch.num_rows, type=pa.int32())], names=["key", "packed", "width"])
 
-    used = rows.select(F.col(id_col).cast("long"), F.col(vector_col)).where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
-    return used.mapInArrow(score, "query_id long, doc_id long, score double")
+    used = df.select(F.col(id_col).cast("long").alias("key"), F.col(vector_col).alias("v")).where(F.col("key").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    return used.mapInArrow(pack, "key long, packed binary, width int")
 
 
-def best_product(rows: DataFrame, group_col: str, vector_col: str, queries: DataFrame, query_id: str, query_vector: str) -> DataFrame:
-    """The greatest dot product of each query vector with the vectors of each group: ``query_id``, ``grp``, ``best``.
+def _matrix(packed: list[bytes], width: int, dimension: int) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), dtype=np.float32 if width == 4 else np.float64).reshape(-1, dimension).astype(np.float64)
 
-    Every task keeps one number per query and group, so only these are shuffled. The queries are a stated
-    set, taken in blocks.
-    """
-    asked = [(r[0], r[1]) for r in queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull()).toLocalIterator()]
+
+def _against(rows: DataFrame, asked: DataFrame, start: Callable[[], _Best | _Greatest], sent: int, cell_rows: int) -> DataFrame:
+    """What a state makes of all queries (``key``, ``packed``, ``width``) and all rows of their length."""
+    schema = "query_id long, key long, score double"
+    asked = cut(asked)
+    groups = asked.groupBy("width", (F.octet_length("packed") / F.col("width")).cast("int").alias("dimension")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("packed")).alias("bytes")).collect()  # one row per length
     out = None
-    for at in range(0, max(len(asked), 1), BLOCK):
-        block = asked[at : at + BLOCK]
-        ids, matrix = np.array([i for i, _ in block], dtype=np.int64), np.array([v for _, v in block], dtype=np.float64).reshape(len(block), len(block[0][1]) if block else 0)
-
-        def score(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                groups = batch.column(0).to_numpy(zero_copy_only=False)
-                products = matrix @ batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1).T
-                for group in np.unique(groups):
-                    best = products[:, groups == group].max(axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), group, dtype=np.int64)), pa.array(best)], names=["query_id", "grp", "best"])
-
-        used = rows.select(F.col(group_col).cast("long"), F.col(vector_col)).where(F.col(group_col).isNotNull() & (F.size(vector_col) == matrix.shape[1]))
-        found = used.mapInArrow(score, "query_id long, grp long, best double")
+    for group in groups:
+        width, dimension = group["width"], group["dimension"]
+        of_length = F.octet_length("packed") == F.lit(dimension) * F.col("width")
+        own = asked.where((F.col("width") == width) & of_length)
+        fitting = rows.where(of_length)
+
+        def both(state, ids: np.ndarray, queries: np.ndarray, keys: np.ndarray, held: np.ndarray) -> None:
+            step = max(1, AT_ONCE // max(len(keys), 1))
+            for at in range(0, len(ids), step):
+                state.add(ids[at : at + step], queries[at : at + step], keys, held)
+
+        def batch_of(state) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in state.rows()], names=["query_id", "key", "score"])
+
+        if group["bytes"] <= sent:
+            few = own.collect()  # bounded by SENT
+            known = rows.sparkSession.sparkContext.broadcast((np.array([r["key"] for r in few], np.int64), _matrix([bytes(r["packed"]) for r in few], width, dimension)))
+
+            def walk(batches: Iterator[pa.RecordBatch], known=known, dimension=dimension) -> Iterator[pa.RecordBatch]:
+                state = start()
+                for batch in batches:
+                    if batch.num_rows:
+                        both(state, *known.value, batch.column(0).to_numpy(), _matrix(batch.column(1).to_pylist(), batch.column(2)[0].as_py(), dimension))
+                yield batch_of(state)
+
+            found = fitting.select("key", "packed", "width").mapInArrow(walk, schema)
+        else:
+            cells = max(1, -(-fitting.count() // cell_rows))
+
+            def meet(batches: Iterator[pa.RecordBatch], dimension=dimension) -> Iterator[pa.RecordBatch]:
+                """Rows come by cell, those that are searched before those that ask."""
+                at, waiting, state = None, [], None
+                for batch in batches:
+                    cell, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+                    cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (asks[1:] != asks[:-1])) + 1
+                    for low, high in zip(np.append(0, cuts), np.append(cuts, len(cell))):
+                        if low == high:
+                            continue
+                        if cell[low] != at:
+                            if state is not None:
+                                yield batch_of(state)
+                            at, waiting, state = cell[low], [], start()
+                        part = batch.slice(low, high - low)
+                        keys, held = part.column(2).to_numpy(), _matrix(part.column(3).to_pylist(), part.column(4)[0].as_py(), dimension)
+                        if not asks[low]:
+                            waiting.append((keys, held))
+                        else:
+                            for some, vectors in waiting:
+                                both(state, keys, held, some, vectors)
+                if state is not None:
+                    yield batch_of(state)
+
+            placed = fitting.select(F.pmod(F.xxhash64("key", "packed"), F.lit(cells)).alias("cell"), F.lit(False).alias("asks"), "key", "packed", "width")
+            spread = own.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell"), F.lit(True).alias("asks"), "key", "packed", "width")
+            found = placed.unionByName(spread).repartition("cell").sortWithinPartitions("cell", "asks").mapInArrow(meet, schema)
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("query_id", "grp").agg(F.max("best").alias("best"))
+    return out if out is not None else rows.sparkSession.createDataFrame([], schema)
+
+
+def top_cosine(rows: DataFrame, id_col: str, vector_col: str, queries: DataFrame, query_id: str, query_vector: str, k: int = 5, sent: int = SENT, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The k rows most similar to each query: ``query_id``, ``doc_id``, ``score``, ``rank``.
+
+    Scores are cosines in double precision, rounded to 9 decimals; a vector of length 0 scores 0. Rows and queries
+    with a null id or vector, or with a null in it, are left out, and only vectors of the same length are compared. A
+    task keeps k rows of each query it holds before anything is shuffled.
+    """
+    found = _against(_packed(rows, id_col, vector_col), _packed(queries, query_id, query_vector), lambda: _Best(k), sent, cell_rows)
+    return ranked(found.withColumnRenamed("key", "doc_id"), ["query_id"], "score", "doc_id", k)
+
+
+def best_product(rows: DataFrame, group_col: str, vector_col: str, queries: DataFrame, query_id: str, query_vector: str, sent: int = SENT, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The greatest dot product of each query vector with the vectors of each group: ``query_id``, ``grp``, ``best``.
+    A task keeps one number per query and group, so only these are shuffled. Odd vectors as in top_cosine."""
+    found = _against(_packed(rows, group_col, vector_col), _packed(queries, query_id, query_vector), _Greatest, sent, cell_rows)
+    return found.groupBy("query_id", F.col("key").alias("grp")).agg(F.max("score").alias("best"))
 
 
 def post_filtered(hits: DataFrame, payload: DataFrame, id_col: str, condition: Column, k: int) -> DataFrame:

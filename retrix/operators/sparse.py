@@ -12,12 +12,14 @@ from retrix.operators.search import ranked
 from retrix.sources.tables import cut
 
 K1, B, EPSILON = 1.2, 0.75, 0.25
+#: Texts of a term that one task takes.
+TERM_LIMIT = 200_000
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per text and term: ``doc_id``, ``term``, ``tf``. Null texts have none."""
-    terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(X.tokens(F.col(text_col))).alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """One row per text and term: ``doc_id``, ``term``, ``tf`` and ``dl``, the text's length in terms. Null texts have none."""
+    held = docs.select(F.col(id_col).alias("doc_id"), X.tokens(F.col(text_col)).alias("ts")).select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    return held.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
 @dataclass(frozen=True)
@@ -40,15 +42,17 @@ def fit(docs: DataFrame, id_col: str, text_col: str) -> Lexicon:
     total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).first()["t"]  # one row
     counted = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     value = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return Lexicon(posted, counted.withColumn("idf", F.greatest(F.lit(EPSILON), value)), n, total / n if n else 0.0)
+    return Lexicon(posted, cut(counted.withColumn("idf", F.greatest(F.lit(EPSILON), value))), n, total / n if n else 0.0)
+
+
+def _weight(lexicon: Lexicon):
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(lexicon.avgdl or 1.0))
+    return F.col("idf") * F.col("tf") * (K1 + 1) / norm
 
 
 def weights(lexicon: Lexicon) -> DataFrame:
     """BM25 weight of each posting: ``doc_id``, ``term``, ``weight``."""
-    lengths = lexicon.posted.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    joined = lexicon.posted.join(lengths, "doc_id").join(lexicon.terms.select("term", "idf"), "term")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(lexicon.avgdl or 1.0))
-    return joined.select("doc_id", "term", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("weight"))
+    return lexicon.posted.join(lexicon.terms.select("term", "idf"), "term").select("doc_id", "term", _weight(lexicon).alias("weight"))
 
 
 def asked_terms(queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
@@ -59,13 +63,13 @@ def asked_terms(queries: DataFrame, query_id: str, query_text: str) -> DataFrame
 def search(lexicon: Lexicon, queries: DataFrame, query_id: str, query_text: str, k: int) -> DataFrame:
     """The k best texts of each query: ``query_id``, ``doc_id``, ``score``, ``rank``. A term counts as often as the
     query has it; terms that no text has count nothing."""
-    asked = asked_terms(queries, query_id, query_text)
-    wanted = lexicon.posted.join(asked.select("term").distinct(), "term", "left_semi")  # only postings of terms that are asked for
-    lengths = lexicon.posted.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(lexicon.avgdl or 1.0))
-    terms = lexicon.terms.join(asked.select("term").distinct(), "term", "left_semi").select("term", "idf")
-    weighted = wanted.join(lengths, "doc_id").join(terms, "term").select("doc_id", "term", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("weight"))
-    scored = asked.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qf") * F.col("weight")), 9).alias("score"))
+    asked = asked_terms(queries, query_id, query_text).join(lexicon.terms, "term")
+    # a term of many texts is spread over as many tasks as it needs; all others have one
+    spread = F.ceil(F.col("df") / F.lit(TERM_LIMIT)).cast("int")
+    salted = asked.select("query_id", "term", "qf", "idf", spread.alias("parts"), F.explode(F.sequence(F.lit(0), spread - 1)).alias("part"))
+    parts = asked.select("term", spread.alias("parts")).distinct()
+    wanted = lexicon.posted.join(parts, "term").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))  # only postings of terms that are asked for
+    scored = salted.drop("parts").join(wanted.drop("parts"), ["term", "part"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qf") * _weight(lexicon)), 9).alias("score"))
     return ranked(scored, ["query_id"], "score", "doc_id", k)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,33 +14,102 @@ from retrix.operators import mixtures
 from retrix.sources.tables import cut
 
 SEED = 42
+#: Points that one task clusters, parts into which a larger group is divided at once, and points on which the
+#: centres of the parts are fitted.
+GROUP, PARTS, SAMPLE = 4096, 64, 8192
+
+
+def _centres(data: np.ndarray, k: int, rounds: int = 10, seed: int = SEED) -> np.ndarray:
+    """Centres by Lloyd's rounds from different rows; one that loses all its rows goes."""
+    distinct = np.unique(data, axis=0)
+    centres = distinct[np.random.default_rng(seed).permutation(len(distinct))[: max(1, k)]]
+    for _ in range(rounds):
+        near = _nearest(data, centres)
+        held = np.unique(near)
+        centres = np.stack([data[near == c].mean(axis=0) for c in held])
+    return centres
+
 
+def _nearest(data: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(axis=1) - 2 * data @ centres.T).argmin(axis=1)
 
-def clusters(points: DataFrame, k: int, seed: int = SEED) -> DataFrame:
-    """``id``, ``cluster`` and the cluster's ``centroid`` for points (``id``, ``vector``)."""
-    ready = points.select("id", array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=10).fit(ready)
-    centers = points.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centroid array<double>")
-    return model.transform(ready).select("id", F.col("prediction").alias("cluster")).join(F.broadcast(centers), "cluster")  # k rows
+
+def _grouped(points: DataFrame, limit: int) -> DataFrame:
+    """``id``, ``vector`` and ``grp``: groups of neighbouring points, of ``limit`` at most.
+
+    A group that is larger is divided by PARTS centres, fitted on a bounded sample of it (the least by a hash of the
+    id), again and again; one that these cannot divide, of equal points, is divided by a hash.
+    """
+    spark = points.sparkSession
+    done, left, depth = None, points.select("id", "vector", F.lit("").alias("grp")), 0
+    while True:
+        sizes = left.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+        large = cut(sizes.where(F.col("n") > limit))
+        fit = left.join(large, "grp", "left_anti")
+        done = fit if done is None else done.unionByName(fit)
+        if not large.limit(1).count():
+            return done
+        held = left.join(large, "grp")
+        chosen = held.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(float(SAMPLE << 30)) / F.col("n"))
+
+        def centres(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            ordered = rows.sort_values("id")
+            found = _centres(np.stack(ordered["vector"].to_numpy()), PARTS)
+            return pd.DataFrame({"grp": [key[0]], "centres": [found.reshape(-1).tolist()]})
+
+        fitted = chosen.select("grp", "id", "vector").groupBy("grp").applyInPandas(centres, "grp string, centres array<double>")
+
+        def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                part = np.zeros(len(rows), dtype=np.int64)
+                for flat, index in rows.groupby(rows["centres"].map(lambda x: x.tobytes())).indices.items():
+                    data = np.stack(rows["vector"].to_numpy()[index])
+                    part[index] = _nearest(data, np.frombuffer(flat).reshape(-1, data.shape[1]))
+                yield pd.DataFrame({"id": rows["id"], "vector": rows["vector"], "grp": rows["grp"] + "/" + pd.Series(part, index=rows.index).astype(str), "whole": rows["n"]})
+
+        # a group's centres are a few kilobytes; the joined rows carry them only as far as this
+        divided = held.join(fitted, "grp").select("id", "vector", "grp", "n", "centres").mapInPandas(divide, f"id {points.schema['id'].dataType.simpleString()}, vector array<double>, grp string, whole long")
+        divided = cut(divided)
+        same = divided.groupBy("grp").agg(F.count(F.lit(1)).alias("now"), F.max("whole").alias("whole")).where(F.col("now") > 0.95 * F.col("whole"))
+        marked = divided.join(same.select("grp", F.ceil(F.col("now") / limit).alias("pieces")), "grp", "left")
+        piece = F.when(F.col("pieces").isNotNull(), F.concat(F.col("grp"), F.lit("#"), F.pmod(F.xxhash64("id"), F.col("pieces") * 2).cast("string"))).otherwise(F.col("grp"))
+        left, depth = cut(marked.select("id", "vector", piece.alias("grp"))), depth + 1
+
+
+def clusters(points: DataFrame, per_cluster: int = 8, seed: int = SEED, limit: int = GROUP) -> DataFrame:
+    """``id``, ``cluster`` and the cluster's ``centroid`` for points (``id``, ``vector`` of doubles), about ``per_cluster`` to
+    a cluster. Clusters are made inside groups of neighbouring points, each in one task, so the work grows with the
+    points, not with the points times the clusters; no centres reach the driver."""
+
+    def within(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        data = np.stack(rows["vector"].to_numpy())
+        centres = _centres(data, max(1, round(len(data) / per_cluster)), seed=seed)
+        near = _nearest(data, centres)
+        return pd.DataFrame({"id": rows["id"].to_numpy(), "cluster": [f"{key[0]}:{c}" for c in near], "centroid": list(centres[near])})
+
+    kind = points.schema["id"].dataType.simpleString()
+    placed = _grouped(points, limit).groupBy("grp").applyInPandas(within, f"id {kind}, cluster string, centroid array<double>")
+    return placed.withColumn("cluster", F.xxhash64("cluster"))
 
 
 def build(points: DataFrame, levels: int = 3, per_cluster: int = 8, least: int = 2) -> DataFrame:
     """Nodes of the tree: ``node``, ``level``, ``vector``, ``tokens``, ``parent``. A level has one node for about
     ``per_cluster`` nodes below; it is the last when fewer than ``least`` clusters would be made."""
     current = cut(points.select(F.col("id").cast("long").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.col("tokens").cast("long").alias("tokens")))
-    out, base = None, 0
+    out = None
     for level in range(levels + 1):
         count = current.count()
-        k = count // per_cluster
-        last = level == levels or k < least
+        last = level == levels or count // per_cluster < least
         if last:
             rows = current.select(F.col("id").alias("node"), F.lit(level).alias("level"), "vector", "tokens", F.lit(None).cast("long").alias("parent"))
             return rows if out is None else out.unionByName(rows)
-        base += 1_000_000_000
-        placed = cut(clusters(current.select("id", "vector"), k).join(current, "id").select("id", "vector", "tokens", "centroid", (F.col("cluster") + base).cast("long").alias("parent")))
+        # a parent's number: those of a level share their first digits, so no two nodes have the same
+        parent = (F.pmod(F.col("cluster"), F.lit(1 << 55)) + F.lit((level + 1) << 56)).alias("parent")
+        placed = cut(clusters(current.select("id", "vector"), per_cluster).join(current, "id").select("id", "vector", "tokens", "centroid", parent))
         rows = placed.select(F.col("id").alias("node"), F.lit(level).alias("level"), "vector", "tokens", "parent")
         out = rows if out is None else out.unionByName(rows)
-        current = cut(placed.groupBy(F.col("parent").alias("id")).agg(F.first("centroid").alias("vector"), F.least(F.sum("tokens"), F.lit(200)).alias("tokens")))
+        current = cut(placed.groupBy(F.col("parent").alias("id")).agg(F.min("centroid").alias("vector"), F.least(F.sum("tokens"), F.lit(200)).alias("tokens")))
     return out
 
 

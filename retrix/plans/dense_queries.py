@@ -35,9 +35,9 @@ def _top(n: int, source: str = "scored", name: str = "top") -> str:
     )"""
 
 
-def _hits(spark: SparkSession, directory: str, k: int, where: str = "true") -> DataFrame:
+def _hits(spark: SparkSession, directory: str, k: int, where: str = "true", asking: str = "true") -> DataFrame:
     rows = table(spark, directory, "embeddings")
-    return search.top_cosine(rows.where(where), "vec_id", "embedding", rows.where(f"vec_id % {STATED} = 0"), "vec_id", "embedding", k)
+    return search.top_cosine(rows.where(where), "vec_id", "embedding", rows.where(f"vec_id % {STATED} = 0 AND {asking}"), "vec_id", "embedding", k)
 
 
 @query(_SCORES + "," + _top(20) + "SELECT * FROM top")
@@ -181,7 +181,7 @@ def multi_query_rrf(spark: SparkSession, directory: str) -> DataFrame:
 def _heads(spark: SparkSession, directory: str) -> DataFrame:
     """Hits of the five heads, each with its own depth."""
     depth = F.create_map(*(x for h, n in enumerate(HEAD_TOP) for x in (F.lit(h), F.lit(n))))
-    hits = _hits(spark, directory, max(HEAD_TOP)).where(f"query_id < {5 * STATED}").withColumn("head", (F.col("query_id") / STATED).cast("int"))
+    hits = _hits(spark, directory, max(HEAD_TOP), asking=f"vec_id < {5 * STATED}").withColumn("head", (F.col("query_id") / STATED).cast("int"))
     return hits.where(F.col("rank") <= depth[F.col("head")]).select("head", "doc_id", "score", "rank")
 
 

@@ -9,7 +9,7 @@ from retrix.functions import text as X
 from retrix.operators import fusion, search, sparse
 from retrix.operators.writes import latest
 from retrix.plans.registry import query
-from retrix.sources.tables import table
+from retrix.sources.tables import kept, table
 
 TOKENS_SQL = r"list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^\pL\pM\pN_\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2)"
 _POSTINGS = (
@@ -40,7 +40,9 @@ def asked_queries(spark: SparkSession, directory: str) -> DataFrame:
     return cache.groupBy(F.col("id").alias("query_id")).agg(F.first("query_text").alias("q"))
 
 
+@kept
 def _index(spark: SparkSession, directory: str) -> sparse.Lexicon:
+    """The lexical index of the documents: fitted once a session, and anew if the table has changed."""
     return sparse.fit(table(spark, directory, "documents"), "doc_id", "text")
 
 
@@ -380,5 +382,5 @@ def key_terms(spark: SparkSession, directory: str) -> DataFrame:
 def bm25_boosted(spark: SparkSession, directory: str) -> DataFrame:
     """BM25 weights raised for key terms, summed up per text."""
     docs = table(spark, directory, "documents")
-    raised = sparse.boosted(sparse.weights(sparse.fit(docs, "doc_id", "text")), sparse.key_terms(docs, "doc_id", "text"))
+    raised = sparse.boosted(sparse.weights(_index(spark, directory)), sparse.key_terms(docs, "doc_id", "text"))
     return raised.groupBy("doc_id").agg(F.round(F.sum("weight"), 6).alias("weight"))

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from retrix.operators import tree as T
 from retrix.plans.registry import query
-from retrix.sources.tables import table
+from retrix.sources.tables import cut, kept, table
 from retrix.streaming import windows
 
 
+@kept
 def _tree(spark: SparkSession, directory: str) -> DataFrame:
     points = table(spark, directory, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), (F.col("vec_id") % 90 + 10).alias("tokens"))
-    return T.build(points)
+    return cut(T.build(points))
 
 
 @query()

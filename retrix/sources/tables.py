@@ -6,10 +6,14 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+T = TypeVar("T")
 
 
 _PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -29,13 +33,37 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def _version(spark: SparkSession, directory: str) -> tuple:
+    """Names, times and sizes of what lies in a folder: it changes when a table does."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((s.getPath().getName(), s.getModificationTime(), s.getLen()) for s in listed))
+
+
+def kept(build: Callable[[SparkSession, str], T]) -> Callable[[SparkSession, str], T]:
+    """Builds something from the tables of a folder once a session, and anew when the folder has changed."""
+    held: dict[tuple, T] = {}
+
+    @wraps(build)
+    def get(spark: SparkSession, directory: str) -> T:
+        key = (spark.sparkContext.applicationId, directory)
+        version = _version(spark, directory)
+        if key not in held or held[key][0] != version:
+            held[key] = (version, build(spark, directory))
+        return held[key][1]
+
+    return get
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of its own only where none is configured, as in tests."""
+    """The shared folder of the session; one of its own only where none is configured and all runs on one machine, as in tests."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get(_CHECKPOINT_CONF, None) or context.getConf().get(_CHECKPOINT_CONF)
+    if not configured and not context.master.startswith("local"):
+        raise RuntimeError(f"{_CHECKPOINT_CONF} is not set: a cluster needs a folder that all executors share")
     folder = configured or os.path.join(tempfile.gettempdir(), f"retrix-checkpoints-{os.getuid()}")
     context.setCheckpointDir(folder)
     return folder
