@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retrix.sources.tables import cut
+from retrix.sources.tables import cut, release
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -78,7 +78,8 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: flo
         loose = ranks.join(sinks, "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("s")).first()["s"]  # one row
         given = weighted.join(ranks, weighted["src"] == ranks["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
         base = (1 - damping) / total + damping * loose / total
-        ranks = cut(nodes.select("id").join(given, "id", "left").select("id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        before, ranks = ranks, cut(nodes.select("id").join(given, "id", "left").select("id", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")))
+        release(before)
     return ranks
 
 
@@ -101,6 +102,9 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -
         moved = cut(labels.join(willing, "id", "left").select("id", "community", "next"))
         if not moved.where("next is not null").limit(1).count():
             break
+        if number > 1:
+            release(last)  # what the labels before were read from
+        last = moved
         turn = F.pmod(F.xxhash64("id", F.lit(number)), F.lit(2)) == 0
         labels = moved.select("id", F.when(turn, F.coalesce("next", "community")).otherwise(F.col("community")).alias("community"))
     return labels

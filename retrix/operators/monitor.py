@@ -39,26 +39,26 @@ def trailing_mean(df: DataFrame, value: Column, by: Sequence[str], order: Sequen
     return F.avg(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(start, 0))
 
 
-def running(df: DataFrame, value: Column, by: Sequence[str], part: Column, order: Sequence[str], name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over the rows of the group up to each row, in order of ``part`` and ``order``.
+def running(df: DataFrame, values: dict[str, Column], by: Sequence[str], part: Column, order: Sequence[str]) -> DataFrame:
+    """``df`` with the sums, by name, of ``values`` over the rows of the group up to each row, in order of ``part`` and ``order``.
 
     ``part`` divides a group in the order of its rows (an hour of a day, say): sums of the parts before are added to a
     window within the part, so that no task holds a whole hot group. Null values count as 0.
     """
-    keys = [f"__k{k}" for k in range(len(by))]
-    rows = df.withColumn("__v", F.coalesce(value, F.lit(0))).withColumn("__p", part)
+    keys, held = [f"__k{k}" for k in range(len(by))], {name: f"__v{k}" for k, name in enumerate(values)}
+    rows = df.withColumns({held[name]: F.coalesce(value, F.lit(0)) for name, value in values.items()} | {"__p": part})
     within = Window.partitionBy(*by, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    parts = rows.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col("__p").alias("__q")).agg(F.sum("__v").alias("__t"))
-    before = F.coalesce(F.sum("__t").over(Window.partitionBy(*keys).orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(*keys, "__q", before.alias("__b"))
+    parts = rows.groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys)), F.col("__p").alias("__q")).agg(*(F.sum(v).alias(v) for v in held.values()))
+    before = Window.partitionBy(*keys).orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "__q", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}b") for v in held.values()))
     match = F.col("__p").eqNullSafe(F.col("__q"))
     for c, k in zip(by, keys):
         match = match & F.col(c).eqNullSafe(F.col(k))
-    return rows.withColumn("__s", F.sum("__v").over(within)).join(parts, match).withColumn(name, F.col("__s") + F.col("__b")).select(*df.columns, name)
+    summed = rows.withColumns({f"{v}s": F.sum(v).over(within) for v in held.values()}).join(parts, match)
+    return summed.withColumns({name: F.col(f"{v}s") + F.col(f"{v}b") for name, v in held.items()}).select(*df.columns, *values)
 
 
 def running_mean(df: DataFrame, value: Column, by: str, order: Sequence[str], name: str, day: str = "day") -> DataFrame:
     """``df`` with the mean of all rows of the group up to each row, in order of ``day`` and ``order``; see running."""
-    held = running(df.withColumn("__value", value), F.col("__value"), [by], F.col(day), order, "__sum")
-    held = running(held, F.when(F.col("__value").isNotNull(), 1), [by], F.col(day), order, "__count")
+    held = running(df.withColumn("__value", value), {"__sum": F.col("__value"), "__count": F.when(F.col("__value").isNotNull(), 1)}, [by], F.col(day), order)
     return held.withColumn(name, F.when(F.col("__count") > 0, F.col("__sum") / F.col("__count"))).select(*df.columns, name)

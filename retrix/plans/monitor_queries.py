@@ -136,7 +136,7 @@ def export_last(spark: SparkSession, directory: str) -> DataFrame:
 def daily_budget(spark: SparkSession, directory: str) -> DataFrame:
     """Queries within and beyond a budget of 0.5 a day, in order of time."""
     rows = _metrics(spark, directory).withColumn("day", F.to_date("ts"))
-    spent = M.running(rows, M.valid(F.col("estimated_cost")), ["day"], F.hour("ts"), ["ts", "query_id"], "spent")
+    spent = M.running(rows, {"spent": M.valid(F.col("estimated_cost"))}, ["day"], F.hour("ts"), ["ts", "query_id"])
     return spent.groupBy("day").agg(F.count_if(F.col("spent") <= 0.5).alias("within"), F.count_if(F.col("spent") > 0.5).alias("refused"))
 
 
@@ -149,8 +149,7 @@ def daily_budget(spark: SparkSession, directory: str) -> DataFrame:
 def rate_limit(spark: SparkSession, directory: str) -> DataFrame:
     """Requests that a limit of 60 requests and 1500 tokens a minute lets through."""
     rows = _metrics(spark, directory).withColumn("minute", F.window("ts", "60 seconds")["start"])
-    counted = M.running(rows, F.lit(1), ["minute"], F.second("ts"), ["ts", "query_id"], "n")
-    counted = M.running(counted, F.col("tokens_input"), ["minute"], F.second("ts"), ["ts", "query_id"], "tokens")
+    counted = M.running(rows, {"n": F.lit(1), "tokens": F.col("tokens_input")}, ["minute"], F.second("ts"), ["ts", "query_id"])
     return counted.agg(F.count(F.lit(1)).alias("queries"), F.count_if((F.col("n") <= 60) & (F.col("tokens") <= 1500)).alias("allowed"), F.countDistinct("minute").alias("minutes"))
 
 

@@ -219,7 +219,7 @@ BATCH = 32
 def request_batches(spark: SparkSession, directory: str) -> DataFrame:
     """Requests of each strategy in batches of 32, in order of time; the last one may be waiting."""
     rows = _metrics(spark, directory).select("query_id", "routing_strategy", "ts")
-    numbered = M.running(rows, F.lit(1), ["routing_strategy"], F.date_trunc("hour", "ts"), ["ts", "query_id"], "n")
+    numbered = M.running(rows, {"n": F.lit(1)}, ["routing_strategy"], F.date_trunc("hour", "ts"), ["ts", "query_id"])
     batch = F.floor((F.col("n") - 1) / BATCH).cast("long").alias("batch")
     return numbered.groupBy("routing_strategy", batch).agg(F.count(F.lit(1)).alias("requests"), (F.count(F.lit(1)) == BATCH).alias("full_batch"), F.min("query_id").alias("first_id"))
 

@@ -88,4 +88,13 @@ def cut(df: DataFrame) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(folder)
     atexit.register(_remove, spark, folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    copy = spark.read.schema(df.schema).parquet(folder)
+    copy._retrix_folder = folder
+    return copy
+
+
+def release(copy: DataFrame) -> None:
+    """Remove a table that ``cut`` wrote, once nothing will read it any more; other frames are left alone."""
+    folder = getattr(copy, "_retrix_folder", None)
+    if folder:
+        _remove(copy.sparkSession, folder)

@@ -1,4 +1,9 @@
-"""Operators with state: rate limits from the first event on, circuit breakers, entries that expire, debounced files."""
+"""Operators with state: rate limits from the first event on, circuit breakers, entries that expire, debounced files.
+
+The state of a key that has had no events for a time (``idle`` seconds on the clock of the run, far longer than what the
+state tells of) is dropped, so the state doesn't grow with all keys that ever were. A run over what is there now
+(trigger availableNow) would wait for that for ever: it takes ``idle=None``, and keeps all.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _kept(run, idle: float):
+    """A state function that drops the state of a key without events for ``idle`` seconds."""
+
+    def with_timeout(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        yield from run(key, frames, state)
+        state.setTimeoutDuration(int(idle * 1000))
+
+    return with_timeout
+
+
+def _stateful(stream: DataFrame, run, output: str, held: str, idle: float | None) -> DataFrame:
+    if idle is None:
+        return stream.groupBy("key").applyInPandasWithState(run, output, held, "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("key").applyInPandasWithState(_kept(run, idle), output, held, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def limiter(window: float = 60.0, most_requests: int = 60, most_tokens: int = 100_000):
     """State function of a fixed window that begins with its first event, not on the clock: (start, requests, tokens)."""
 
@@ -31,9 +55,9 @@ def limiter(window: float = 60.0, most_requests: int = 60, most_tokens: int = 10
     return run
 
 
-def rate_limited(stream: DataFrame, **how) -> DataFrame:
+def rate_limited(stream: DataFrame, idle: float | None = 3600.0, **how) -> DataFrame:
     """Which requests (``key``, ``id``, ``at`` in seconds, ``tokens``) a limit lets through: ``key``, ``id``, ``allowed``."""
-    return stream.groupBy("key").applyInPandasWithState(limiter(**how), "key string, id long, allowed boolean", "start double, requests long, used long", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(stream, limiter(**how), "key string, id long, allowed boolean", "start double, requests long, used long", idle)
 
 
 def breaker(failures: int = 5, recovery: float = 60.0):
@@ -62,9 +86,9 @@ def breaker(failures: int = 5, recovery: float = 60.0):
     return run
 
 
-def circuit_breaker(stream: DataFrame, **how) -> DataFrame:
+def circuit_breaker(stream: DataFrame, idle: float | None = 86_400.0, **how) -> DataFrame:
     """State after each call (``key``, ``id``, ``at`` in seconds, ``ok``), and whether it was let through."""
-    return stream.groupBy("key").applyInPandasWithState(breaker(**how), "key string, id long, state string, executed boolean", "mode string, count long, since double", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(stream, breaker(**how), "key string, id long, state string, executed boolean", "mode string, count long, since double", idle)
 
 
 def expiring_cache(ttl: float = 86_400.0):
@@ -85,9 +109,9 @@ def expiring_cache(ttl: float = 86_400.0):
     return run
 
 
-def cache_lookups(stream: DataFrame, **how) -> DataFrame:
+def cache_lookups(stream: DataFrame, idle: float | None = 172_800.0, **how) -> DataFrame:
     """Hits and misses of look-ups (``key``, ``id``, ``at`` in seconds); a miss writes the entry."""
-    return stream.groupBy("key").applyInPandasWithState(expiring_cache(**how), "key string, id long, hit boolean", "written double", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(stream, expiring_cache(**how), "key string, id long, hit boolean", "written double", idle)
 
 
 def sessions(stream: DataFrame, time_col: str, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

@@ -58,7 +58,7 @@ def test_running_sums_across_parts_are_those_of_one_window(spark):
     own = random.Random(2)
     rows = [(k, own.choice(["a", "b", None]), own.choice([None, 1, 2, 5]), own.randrange(50)) for k in range(400)]
     df = spark.createDataFrame(rows, "id long, g string, v long, t long")
-    found = {r["id"]: r["s"] for r in monitor.running(df, F.col("v"), ["g"], F.floor(F.col("t") / 7), ["t", "id"], "s").collect()}
+    found = {r["id"]: r["s"] for r in monitor.running(df, {"s": F.col("v"), "n": F.lit(1)}, ["g"], F.floor(F.col("t") / 7), ["t", "id"]).collect()}
     expected, sums = {}, {}
     for k, g, v, t in sorted(rows, key=lambda r: (r[3], r[0])):
         sums[g] = sums.get(g, 0) + (v or 0)
