@@ -227,3 +227,15 @@ def combined_answer(answers: Column, reasoning: Column) -> Column:
     numbered = F.transform(answers, lambda a, k: F.concat(F.lit("Perspectiva "), (k + 1).cast("string"), F.lit(": "), a))
     compared = F.concat(F.lit("Comparando as informações:\n\n"), F.array_join(numbered, "\n\n"))
     return F.when(reasoning == "comparative", compared).otherwise(F.concat(F.lit("Síntese das informações encontradas:\n\n"), F.array_join(answers, " ")))
+
+
+#: Marks of a model's lines, the kind of clue they give and its score.
+CLUES = (("CONCEITO:", "concept", 0.9), ("ENTIDADES:", "entity", 0.85))
+
+
+def marked_clues(response: Column) -> Column:
+    """Clues in the marked lines of a response: ``kind``, ``clue`` and ``score``."""
+    one = lambda line: F.array_compact(
+        F.array(*(F.when(line.startswith(mark), F.struct(F.lit(kind).alias("kind"), F.trim(F.replace(line, F.lit(mark))).alias("clue"), F.lit(score).alias("score"))) for mark, kind, score in CLUES))
+    )
+    return F.flatten(F.transform(F.split(response, "\n"), one))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from retrix.functions import questions as Q
 from retrix.functions import text as X
-from retrix.operators import fusion, models, search, sparse
+from retrix.operators import fusion, models, search, sparse, tree
 from retrix.sources.tables import cut
 
 RELEVANT = 0.7
@@ -165,6 +165,29 @@ class Engine:
             out = one if out is None else out.unionByName(one)
         return out
 
+    def by_tree(self, questions: DataFrame, k: int = 5) -> DataFrame:
+        """The nodes of the hierarchical index, of all its levels, that are most similar to each question; those of the
+        lowest level are texts: ``query_id``, ``doc_id``, ``score``, ``rank``, ``level``."""
+        if "tree" not in self._held:
+            points = self.vectors().join(self.documents.select("doc_id", X.token_estimate(F.col("content")).alias("tokens")), "doc_id")
+            self._held["tree"] = cut(tree.build(points.select(F.col("doc_id").alias("id"), "vector", "tokens")))
+        nodes = self._held["tree"]
+        asked = questions.select("query_id", models.embed(F.col("q"), self.embedder).alias("v"))
+        return search.top_cosine(nodes, "node", "vector", asked, "query_id", "v", k).join(nodes.select(F.col("node").alias("doc_id"), "level"), "doc_id")
+
+    def retrieve(self, questions: DataFrame, k: int = 5, method: str = "hybrid") -> DataFrame:
+        """Hits by a named method: raptor (the hierarchical index), enhanced_corrective, hybrid (half of them from the
+        hierarchical index, half from the basic search, by score), and the basic search for any other name."""
+        columns = ["query_id", "doc_id", "score", "rank"]
+        if method == "raptor":
+            return self.by_tree(questions, k).select(*columns)
+        if method == "enhanced_corrective":
+            return self.corrective(questions, k).select(*columns)
+        if method == "hybrid":
+            both = self.by_tree(questions, k // 2).select("query_id", "doc_id", "score").unionByName(self.dense(questions, k // 2).select("query_id", "doc_id", "score"))
+            return search.ranked(both.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), ["query_id"], "score", "doc_id", k)
+        return self.dense(questions, k).select(*columns)
+
     def combined(self, questions: DataFrame, k: int = 5) -> DataFrame:
         """The hits of a question's strategies together: a text is there once, with its best place and all strategies that
         found it, those with the best places first."""

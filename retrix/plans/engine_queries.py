@@ -64,6 +64,12 @@ def engine_execute(spark: SparkSession, directory: str) -> DataFrame:
     return _engine(spark, directory).execute(asked_queries(spark, directory))
 
 
+@query()
+def engine_retrieve(spark: SparkSession, directory: str) -> DataFrame:
+    """Hits half from the hierarchical index and half from the basic search."""
+    return _engine(spark, directory).retrieve(asked_queries(spark, directory), 6)
+
+
 @query()
 def engine_combined(spark: SparkSession, directory: str) -> DataFrame:
     """The hits of a question's strategies put together."""

@@ -325,3 +325,78 @@ def combined_answers(spark: SparkSession, directory: str) -> DataFrame:
     """Two answers put together by the kind of reasoning (the question itself and in capitals stand for them)."""
     reasoning = Q.first_match(Q.lower(F.col("q")), Q.REASONING, "factual")
     return questions(spark, directory).select("id", Q.combined_answer(F.array("q", F.upper("q")), reasoning).alias("answer"))
+
+
+_NAMES = CHUNKS_ONCE + """, e AS (SELECT DISTINCT id, src, dst FROM (SELECT id, unnest(symbols) AS src, relations['calls'] AS cs FROM c), unnest(cs) AS u(dst) WHERE src IS NOT NULL AND dst IS NOT NULL),
+    two AS (SELECT DISTINCT src AS name, dst AS other FROM e UNION SELECT DISTINCT dst, src FROM e), g AS (SELECT name, count(*) AS degree FROM two GROUP BY name)"""
+
+
+def _symbol_edges(spark: SparkSession, directory: str) -> DataFrame:
+    """Which symbol of a chunk stands beside which call: ``id``, ``src``, ``dst``."""
+    rows = chunks(spark, directory).select("id", F.explode("symbols").alias("src"), F.col("relations")["calls"].alias("cs"))
+    return rows.select("id", "src", F.explode("cs").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+
+
+@query(
+    _NAMES
+    + """, n AS (SELECT DISTINCT e.id, b.other AS name FROM (SELECT DISTINCT id, src FROM e) e JOIN two b ON b.name = e.src),
+    r AS (SELECT n.id, n.name, degree, row_number() OVER (PARTITION BY n.id ORDER BY degree DESC, n.name) AS place FROM n JOIN g USING (name))
+    SELECT id, concat_ws(chr(10), id, chr(10) || chr(10) || '[Contexto do Grafo]' || chr(10) || count(*) || ' relations', chr(10) || 'Entidades relacionadas: ' || string_agg(name, ', ' ORDER BY place) FILTER (place <= 5)) AS enriched FROM r GROUP BY id"""
+)
+def chunks_enriched(spark: SparkSession, directory: str) -> DataFrame:
+    """Chunks with what the graph of symbols and calls tells of theirs: relations, and the five most central neighbours."""
+    links = _symbol_edges(spark, directory)
+    both = links.select(F.col("src").alias("name"), F.col("dst").alias("other")).union(links.select("dst", "src")).distinct()
+    degree = both.groupBy("name").agg(F.count(F.lit(1)).alias("degree"))
+    near = links.select("id", F.col("src").alias("name")).distinct().join(both, "name").select("id", F.col("other").alias("name")).distinct().join(degree, "name")
+    counted = near.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("degree"), "name"))
+    first = near.withColumn("place", place).where("place <= 5").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "name"))).alias("names"))
+    rows = counted.join(first, "id")
+    return rows.select("id", X.merge_context(F.col("id"), F.concat(F.col("n").cast("string"), F.lit(" relations")), F.col("names.name")).alias("enriched"))
+
+
+@query(
+    """
+    WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE list_dot_product(e, e) > 0),
+    m AS (SELECT pos, avg(x) AS x FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM u WHERE vec_id % 100 = 0) GROUP BY pos), c AS (SELECT list(x ORDER BY pos) AS c FROM m)
+    SELECT vec_id, round(list_dot_product(e, c), 6) AS relevance FROM u, c
+    """
+)
+def entity_relevance(spark: SparkSession, directory: str) -> DataFrame:
+    """Mean cosine of every vector with all stated queries: its product with the mean of their unit vectors, one row."""
+    rows = table(spark, directory, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
+    unit = rows.withColumn("l", length).where("l > 0").select("vec_id", F.transform("e", lambda x: x / F.col("l")).alias("e"))
+    mean = unit.where("vec_id % 100 = 0").select(F.posexplode("e").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("x"))
+    centre = mean.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("c"))  # one number per dimension
+    product = F.aggregate(F.zip_with("e", "c", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return unit.join(centre).select("vec_id", F.round(product, 6).alias("relevance"))
+
+
+_REPLY = "'CONCEITO: ' || name || chr(10) || 'ENTIDADES: ' || id || ', ' || status || chr(10) || 'OUTRO: x'"
+
+
+@query(
+    f"""
+    WITH r AS (SELECT id, unnest(string_split({_REPLY}, chr(10))) AS line FROM projects WHERE name IS NOT NULL AND status IS NOT NULL)
+    SELECT id, CASE WHEN line LIKE 'CONCEITO:%' THEN 'concept' ELSE 'entity' END AS kind, trim(split_part(line, ':', 2)) AS clue, CASE WHEN line LIKE 'CONCEITO:%' THEN 0.9 ELSE 0.85 END::DOUBLE AS score
+    FROM r WHERE line LIKE 'CONCEITO:%' OR line LIKE 'ENTIDADES:%'
+    """
+)
+def parse_clues(spark: SparkSession, directory: str) -> DataFrame:
+    """Clues read out of a model's marked lines (put together here from the projects)."""
+    rows = table(spark, directory, "projects").where("name IS NOT NULL AND status IS NOT NULL")
+    reply = F.concat(F.lit("CONCEITO: "), "name", F.lit("\nENTIDADES: "), "id", F.lit(", "), "status", F.lit("\nOUTRO: x"))
+    return rows.select("id", F.explode(Q.marked_clues(reply)).alias("c")).select("id", "c.kind", "c.clue", "c.score")
+
+
+@query()
+def code_graph_nodes(spark: SparkSession, directory: str) -> DataFrame:
+    """Nodes of the graph of the source files, by kind, with their edges."""
+    from retrix.operators import codestructure
+
+    links = codestructure.relations(table(spark, directory, "ingest_items"), "item_id", "content", "source").select("type", "src", "dst").distinct()
+    ends = links.select(F.col("src").alias("node"), F.lit(1).alias("out")).unionByName(links.select(F.col("dst").alias("node"), F.lit(0).alias("out")))
+    by_node = ends.groupBy("node").agg(F.sum("out").alias("out"), F.count(F.lit(1)).alias("edges"))
+    return by_node.groupBy(F.regexp_extract("node", "^([a-z]+)::", 1).alias("kind")).agg(F.count(F.lit(1)).alias("nodes"), F.sum("out").alias("outgoing"), F.sum("edges").alias("ends"))
