@@ -24,6 +24,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -40,9 +41,6 @@ from retrix.sources.tables import cut
 COUNT_BITS = 22
 #: Rows in which one task sends its part of that table.
 COUNT_PARTS = 64
-#: Sets at a node of the trie beyond which the node is split by its children, and from MAX_DEPTH on into blocks.
-NODE_LIMIT = 20_000
-MAX_DEPTH = 4
 PAIRS_AT_ONCE = 1 << 21
 MEMO_WORDS = 1_000_000
 
@@ -50,6 +48,20 @@ _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
 
 
+@dataclass(frozen=True)
+class Trie:
+    """How the trie is divided.
+
+    limit: sets at a node beyond which the node is split by its children before anything is sent, and from the depth
+    ``depth`` on into blocks. leaf: sets of a subtree beyond which a task goes down it, and down: levels that it goes.
+    """
+
+    limit: int = 20_000
+    depth: int = 4
+    leaf: int = 256
+    down: int = 3
+
+
 class _Codes(dict):
     """Words by number; a new word gets the next number, and its hash is kept at that place."""
 
@@ -144,10 +156,10 @@ def element_counts(df: DataFrame, text_col: str, gram: int = 1, bits: int = COUN
 
 
 def _paths(
-    found: np.ndarray, rows: np.ndarray, sizes: np.ndarray, counts: np.ndarray, need: np.ndarray, limit: int, sets: int, share: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, path, position of the path's last element, without those of the path before it, and block, of all paths
-    under which the rows' sets are stored.
+    found: np.ndarray, rows: np.ndarray, sizes: np.ndarray, counts: np.ndarray, need: np.ndarray, trie: Trie, sets: int, share: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, path, position of the path's last element, without those of the path before it, block, length, and whether
+    more sets are expected than a leaf has, of all paths under which the rows' sets are stored.
 
     found, rows, counts: elements in global order within each row; need: least overlap by row; share: a number by row
     that tells its block. The block is 0 but where two blocks of a node meet: there sets of one block have the same.
@@ -157,21 +169,22 @@ def _paths(
     first = position <= (sizes - need)[rows]
     at = np.flatnonzero(first & (counts > 1))  # an element that one row alone holds is shared by none
     row, path, estimate = rows[at], found[at], counts[at].astype(np.float64)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    for depth in range(1, MAX_DEPTH + 1):
-        hot = estimate > limit
+    out: list[tuple[np.ndarray, ...]] = []
+    for depth in range(1, trie.depth + 1):
+        hot = estimate > trie.limit
         # the elements of the path before the last one are common too: only those beyond them count for the bound
-        out.append((row[~hot], path[~hot], position[at[~hot]] - (depth - 1), np.zeros(int((~hot).sum()), dtype=np.int64)))
+        none = np.zeros(int((~hot).sum()), dtype=np.int64)
+        out.append((row[~hot], path[~hot], position[at[~hot]] - (depth - 1), none, none + depth, estimate[~hot] > trie.leaf))
         at, row, path, estimate = at[hot], row[hot], path[hot], estimate[hot]
         if not len(at):
             break
-        if depth == MAX_DEPTH:
-            blocks = np.ceil(estimate / limit).astype(np.int64)
+        if depth == trie.depth:
+            blocks = np.ceil(estimate / trie.limit).astype(np.int64)
             node = np.repeat(np.arange(len(at)), blocks)
             other = np.arange(len(node)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             own = (share[row] % blocks.astype(_U)).astype(np.int64)[node]
             cell = np.minimum(own, other) * blocks[node] + np.maximum(own, other) + 1
-            out.append((row[node], _mix(path[node] + cell.astype(_U)), position[at[node]] - (depth - 1), np.where(own == other, 0, own + 1)))
+            out.append((row[node], _mix(path[node] + cell.astype(_U)), position[at[node]] - (depth - 1), np.where(own == other, 0, own + 1), np.full(len(node), depth), np.ones(len(node), dtype=bool)))
             break
         # children: the next common element lies at most one position further than the last bound
         last = starts[row] + np.minimum((sizes - need)[row] + depth, sizes[row] - 1)
@@ -212,13 +225,14 @@ def _may_reach(apart: np.ndarray, n: np.ndarray, m: np.ndarray, need: np.ndarray
     return apart <= marked + other - 2 * (need - behind)
 
 
-#: A stored node: its path, the position of its last element, its block.
-_NODE = np.dtype([("path", "<i8"), ("pos", "<i4"), ("block", "<i4")])
+#: A stored node: its path, the position of its last element, its block, its depth, and whether its subtree is large.
+_NODE = np.dtype([("path", "<i8"), ("pos", "<i4"), ("block", "<i4"), ("depth", "u1"), ("large", "u1")])
 
 
-def signatures(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, gram: int = 1, limit: int = NODE_LIMIT) -> DataFrame:
+def signatures(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, gram: int = 1, trie: Trie = Trie()) -> DataFrame:
     """One row per row of ``df`` that has elements: ``rid``, class key (``c1``, ``c2``), size ``n``, bit
-    signature (``b0``, ``b1``) and ``nodes``, the trie paths under which the set is stored, packed.
+    signature (``b0``, ``b1``), ``nodes``, the trie paths under which the set is stored, packed, and ``window``, the
+    first elements of the set in global order.
 
     Texts with the same elements have the same class key (a 128-bit hash of the multiset). A task gives the
     nodes of a class once and leaves them null for further copies.
@@ -247,29 +261,36 @@ def signatures(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8
             need = -(-sizes * ratio.numerator // ratio.denominator)
             share = np.zeros(len(sizes), dtype=_U)
             share[used] = keys[1].view(_U)
-            row, path, position, block = _paths(found[order], rows, sizes, count[order], need, limit, sets, share)
+            row, path, position, block, depth, wide = _paths(found[order], rows, sizes, count[order], need, trie, sets, share)
             by_row = np.lexsort((position, row))
             row, stored = row[by_row], np.zeros(len(row), dtype=_NODE)
             stored["path"], stored["pos"], stored["block"] = path[by_row].view(np.int64), position[by_row], block[by_row]
+            stored["depth"], stored["large"] = depth[by_row], wide[by_row]
+            # what a task may meet on its way down, in 16 bits each: two elements that fall together cost a comparison
+            parts = (found[order] >> _U(20)).astype(np.uint16)
+            begun, held = np.cumsum(sizes) - sizes, np.minimum(sizes, sizes - need + trie.depth + trie.down)
             ends = np.searchsorted(row, np.append(used, len(sizes)))
-            nodes = []
+            nodes, windows = [], []
             if len(seen) > MEMO_WORDS:
                 seen.clear()
             for k, key in enumerate(zip(keys[0].tolist(), keys[1].tolist())):
-                nodes.append(None if key in seen else stored[ends[k] : ends[k + 1]].tobytes())
+                known = key in seen
+                nodes.append(None if known else stored[ends[k] : ends[k + 1]].tobytes())
+                windows.append(None if known else parts[begun[used[k]] : begun[used[k]] + held[used[k]]].tobytes())
                 seen.add(key)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(used)), *map(pa.array, keys), pa.array(sizes[used].astype(np.int32)), *map(pa.array, marks), pa.array(more, type=pa.binary()), pa.array(nodes, type=pa.binary())],
-                names=["rid", "c1", "c2", "n", "b0", "b1", "more", "nodes"],
+                [batch.column(0).take(pa.array(used)), *map(pa.array, keys), pa.array(sizes[used].astype(np.int32)), *map(pa.array, marks), pa.array(more, type=pa.binary()), pa.array(nodes, type=pa.binary()), pa.array(windows, type=pa.binary())],
+                names=["rid", "c1", "c2", "n", "b0", "b1", "more", "nodes", "window"],
             )
 
     kind = source.schema["rid"].dataType.simpleString()
-    return source.mapInArrow(sign, f"rid {kind}, c1 long, c2 long, n int, b0 long, b1 long, more binary, nodes binary")
+    return source.mapInArrow(sign, f"rid {kind}, c1 long, c2 long, n int, b0 long, b1 long, more binary, nodes binary, window binary")
 
 
-def _nodes(signed: DataFrame) -> DataFrame:
+def _nodes(signed: DataFrame, ratio: Fraction, trie: Trie) -> DataFrame:
     """One row per class and stored node; ``size`` holds the set's size and the position in the node, ``before`` the path
-    stored before it. Where two blocks meet it is the block instead: sets of one block do not meet there."""
+    stored before it. Where two blocks meet it is the block instead: sets of one block do not meet there. Where the
+    subtree is large, ``rest`` has the elements that can be the next ones, else nothing."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,19 +298,31 @@ def _nodes(signed: DataFrame) -> DataFrame:
             times = np.array([len(x) // _NODE.itemsize for x in packed], dtype=np.int64)
             stored = np.frombuffer(b"".join(packed), dtype=_NODE)
             c1, c2, n, b0, b1 = (np.repeat(batch.column(k).to_numpy(), times) for k in range(5))
+            more = batch.column(5).take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
             before, same = np.zeros(len(stored), dtype=np.int64), np.repeat(np.arange(len(times)), times)
             before[1:] = np.where((same[1:] == same[:-1]) & (stored["block"][:-1] == 0), stored["path"][:-1], 0)
-            columns = [stored["path"], np.where(stored["block"] > 0, stored["block"], before), c1, c2, n.astype(np.int64) << 32 | stored["pos"], b0, b1]
-            more = batch.column(5).take(pa.array(np.repeat(np.arange(batch.num_rows), times)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), more], names=["path", "before", "c1", "c2", "size", "b0", "b1", "more"])
-
-    schema = "path long, before long, c1 long, c2 long, size long, b0 long, b1 long, more binary"
-    return signed.where("nodes is not null").select("c1", "c2", "n", "b0", "b1", "more", "nodes").mapInArrow(unpack, schema)
+            windows = batch.column(7).to_pylist()
+            flat = np.frombuffer(b"".join(windows), dtype=np.uint16)
+            begun = np.concatenate([[0], np.cumsum([len(x) // 2 for x in windows])])[same]
+            need = -(-n.astype(np.int64) * ratio.numerator // ratio.denominator)
+            depth = stored["depth"].astype(np.int64)
+            first = stored["pos"] + depth
+            width = np.where(stored["large"] > 0, np.maximum(np.minimum(n, n - need + depth + trie.down) - first, 0), 0)
+            ends = np.concatenate([[0], np.cumsum(width)])
+            place = np.arange(ends[-1]) - np.repeat(ends[:-1], width) + np.repeat(begun + first, width)
+            rest = pa.Array.from_buffers(pa.binary(), len(stored), [None, pa.py_buffer((ends * 2).astype(np.int32).tobytes()), pa.py_buffer(flat[place].tobytes())])
+            columns = [stored["path"], np.where(stored["block"] > 0, stored["block"], before), c1, c2, n.astype(np.int64) << 32 | stored["pos"], stored["depth"].astype(np.int32), b0, b1]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in columns), more, rest], names=["path", "before", "c1", "c2", "size", "depth", "b0", "b1", "more", "rest"])
+
+    schema = "path long, before long, c1 long, c2 long, size long, depth int, b0 long, b1 long, more binary, rest binary"
+    return signed.where("nodes is not null").select("c1", "c2", "n", "b0", "b1", "more", "nodes", "window").mapInArrow(unpack, schema)
 
 
 def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     """The rows of stored nodes as numbers; ``more`` as a matrix that is zero where a set is not large."""
-    rows = {k: batch.column(k).to_numpy() for k in batch.schema.names if k != "more"}
+    rows = {k: batch.column(k).to_numpy() for k in batch.schema.names if k not in ("more", "rest")}
+    rows["rest"] = np.empty(batch.num_rows, dtype=object)
+    rows["rest"][:] = batch.column("rest").to_pylist()
     more = batch.column("more")
     held = more.is_valid().to_numpy(zero_copy_only=False)
     rows["more"] = np.zeros((len(held), LONG), dtype=_U)
@@ -298,8 +331,61 @@ def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return rows
 
 
-def _pairs(node: dict[str, np.ndarray], top: int, bottom: int) -> Iterator[pa.RecordBatch]:
+def _runs(path: np.ndarray) -> np.ndarray:
+    """How many rows have the path of each row; rows come by path."""
+    starts = np.flatnonzero(np.append(True, path[1:] != path[:-1]))[: len(path)]
+    sizes = np.diff(np.append(starts, len(path)))
+    return np.repeat(sizes, sizes)
+
+
+def _down(node: dict[str, np.ndarray], top: int, bottom: int, trie: Trie) -> dict[str, np.ndarray]:
+    """The rows with those of large subtrees one level or more further down, where the subtrees are small.
+
+    The common elements so far are carried along as the depth. A set goes to the child of each element that can be
+    the next common one: the overlap still needed must lie behind it. Sets that are so small that what is common
+    already may suffice also stay where they are.
+    """
+    column = {"path": node["path"], "pos": node["size"] & 0xFFFFFFFF, "depth": node["depth"].astype(np.int64), "source": np.arange(len(node["path"]))}
+    n = node["size"] >> 32
+    need = -(-n * top // bottom)
+    lengths = np.array([len(x) // 2 for x in node["rest"]], dtype=np.int64)
+    flat = np.frombuffer(b"".join(node["rest"]), dtype=np.uint16)
+    column["from"] = np.cumsum(lengths) - lengths
+    limit = column["from"] + lengths
+    done = []
+    for _ in range(trie.down):
+        source = column["source"]
+        go = (_runs(column["path"]) > trie.leaf) & (lengths[source] > 0)
+        stay = ~go | (need[source] <= column["depth"])
+        done.append({k: x[stay] for k, x in column.items()})
+        column = {k: x[go] for k, x in column.items()}
+        source = column["source"]
+        if not len(source):
+            break
+        width = np.maximum(np.minimum(n[source] - need[source] + 1 - column["pos"], limit[source] - column["from"]), 0)
+        parent = np.repeat(np.arange(len(source)), width)
+        step = np.arange(len(parent)) - np.repeat(np.cumsum(width) - width, width)
+        place = column["from"][parent] + step
+        path = _mix(column["path"].view(_U)[parent] * _U(0x9E3779B97F4A7C15) + flat[place].astype(_U) + _U(1)).view(np.int64)
+        child = {"path": path, "pos": column["pos"][parent] + step, "depth": column["depth"][parent] + 1, "source": source[parent], "from": place + 1}
+        order = np.argsort(child["path"], kind="stable")
+        child = {k: x[order] for k, x in child.items()}
+        several = _runs(child["path"]) > 1
+        column = {k: x[several] for k, x in child.items()}
+    else:
+        done.append(column)
+    whole = {k: np.concatenate([x[k] for x in done]) for k in column}
+    size = n[whole["source"]]
+    order = np.lexsort((whole["source"], size, whole["path"]))
+    source = whole["source"][order]
+    out = {k: x[source] for k, x in node.items() if k not in ("path", "size", "depth", "rest")}
+    return out | {"path": whole["path"][order], "size": size[order] << 32 | whole["pos"][order]}
+
+
+def _pairs(node: dict[str, np.ndarray], top: int, bottom: int, trie: Trie) -> Iterator[pa.RecordBatch]:
     """Pairs of sets at the same node that pass the bounds; rows come by path, then size."""
+    if (_runs(node["path"]) > trie.leaf).any():
+        node = _down(node, top, bottom, trie)
     path, c1, c2 = node["path"], node["c1"], node["c2"]
     copy = np.append(False, (path[1:] == path[:-1]) & (node["size"][1:] == node["size"][:-1]) & (c1[1:] == c1[:-1]) & (c2[1:] == c2[:-1]))
     if copy.any():
@@ -338,10 +424,11 @@ def _pairs(node: dict[str, np.ndarray], top: int, bottom: int) -> Iterator[pa.Re
         if len(a):
             first = (c1[a] < c1[b]) | (c1[a] == c1[b]) & (c2[a] < c2[b])
             a, b = np.where(first, a, b), np.where(first, b, a)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c1[a], c2[a], c1[b], c2[b])], names=["a1", "a2", "z1", "z2"])
+            found = np.unique(np.stack([c1[a], c2[a], c1[b], c2[b]]), axis=1)  # a pair can meet in several subtrees
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a1", "a2", "z1", "z2"])
 
 
-def candidates(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
+def candidates(signed: DataFrame, threshold: float = 0.8, trie: Trie = Trie()) -> DataFrame:
     """Pairs of classes that share a node of the trie and pass its bounds: their keys a1, a2 and z1, z2, the smaller one first."""
     ratio = Fraction(str(threshold))
     top, bottom = ratio.numerator, ratio.denominator
@@ -357,11 +444,11 @@ def candidates(signed: DataFrame, threshold: float = 0.8) -> DataFrame:
             end = int(np.searchsorted(rows["path"], rows["path"][-1]))
             rest = {k: x[end:] for k, x in rows.items()}
             if end:
-                yield from _pairs({k: x[:end] for k, x in rows.items()}, top, bottom)
+                yield from _pairs({k: x[:end] for k, x in rows.items()}, top, bottom, trie)
         if rest:
-            yield from _pairs(rest, top, bottom)
+            yield from _pairs(rest, top, bottom, trie)
 
-    in_order = _nodes(signed).repartition("path").sortWithinPartitions("path", "size", "c1", "c2")
+    in_order = _nodes(signed, ratio, trie).repartition("path").sortWithinPartitions("path", "size", "c1", "c2")
     return in_order.mapInArrow(walk, "a1 long, a2 long, z1 long, z2 long").distinct()
 
 
@@ -389,7 +476,7 @@ def _similar(threshold: float, gram: int):
 
 
 def similar_classes(
-    df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, gram: int = 1, limit: int = NODE_LIMIT
+    df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, gram: int = 1, trie: Trie = Trie()
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of texts with the same elements, and the links between classes.
 
@@ -402,9 +489,9 @@ def similar_classes(
     occur: the threshold is compared in whole numbers. An empty table gives empty results. Other columns
     of ``df`` are ignored.
     """
-    signed = cut(signatures(df, id_col, text_col, threshold, gram, limit))
+    signed = cut(signatures(df, id_col, text_col, threshold, gram, trie))
     members = signed.select("rid", "c1", "c2").distinct()
-    pairs = cut(candidates(signed, threshold))
+    pairs = cut(candidates(signed, threshold, trie))
     ends = pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).union(pairs.select("z1", "z2")).distinct()
     heads = signed.select("rid", "c1", "c2").join(ends, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.min("rid").alias("rid"))
     source = df.select(F.col(id_col).alias("rid"), F.col(text_col).cast("string").alias("body")).where("rid is not null and body is not null")
@@ -416,9 +503,9 @@ def similar_classes(
     return members, links
 
 
-def similar_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, gram: int = 1, limit: int = NODE_LIMIT) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, gram: int = 1, trie: Trie = Trie()) -> DataFrame:
     """All pairs of different ids whose texts reach the threshold: ``id_a`` < ``id_b``. See similar_classes for odd rows."""
-    members, links = similar_classes(df, id_col, text_col, threshold, gram, limit)
+    members, links = similar_classes(df, id_col, text_col, threshold, gram, trie)
     links = cut(links)
     one = members.select(F.col("rid").alias("x"), "c1", "c2")
     crowded = members.groupBy("c1", "c2").count().where("count > 1").select("c1", "c2")

@@ -46,21 +46,42 @@ def corpus(seed, n=260):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "limit"), [(1, similar.NODE_LIMIT), (2, 3)])
+@pytest.mark.parametrize(("seed", "limit"), [(1, 20_000), (2, 3)])
 def test_pairs_are_those_of_brute_force(spark, seed, limit):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "k long, t string")
-    assert {tuple(r) for r in similar.similar_pairs(df, "k", "t", limit=limit).collect()} == brute(rows)
+    assert {tuple(r) for r in similar.similar_pairs(df, "k", "t", trie=similar.Trie(limit=limit)).collect()} == brute(rows)
 
 
-def test_nodes_that_stay_hot_are_split_into_blocks(spark, monkeypatch):
+def test_nodes_that_stay_hot_are_split_into_blocks(spark):
     """Sets of few words that nearly all of them have: hot at every depth, or from the second level on."""
     own = random.Random(9)
     rows = [(k, " ".join(own.choices("a b c d e f g h".split(), weights=[9, 8, 7, 6, 5, 1, 1, 1], k=own.randint(3, 24)))) for k in range(220)]
     df = spark.createDataFrame(rows, "k long, t string")
-    for depth in (1, 2, similar.MAX_DEPTH):
-        monkeypatch.setattr(similar, "MAX_DEPTH", depth)
-        assert {tuple(r) for r in similar.similar_pairs(df, "k", "t", limit=9).collect()} == brute(rows)
+    for depth in (1, 2, 4):
+        assert {tuple(r) for r in similar.similar_pairs(df, "k", "t", trie=similar.Trie(limit=9, depth=depth)).collect()} == brute(rows)
+
+
+@pytest.mark.parametrize(("seed", "leaf", "down", "limit"), [(4, 1, 3, 10**6), (5, 3, 1, 10**6), (6, 2, 3, 40), (7, 1, 2, 5)])
+def test_pairs_are_those_of_brute_force_down_the_trie(spark, seed, leaf, down, limit):
+    rows = corpus(seed)
+    own = random.Random(seed)
+    rows += [(1000 + k, " ".join(own.choices("a b c d e f".split(), k=own.randint(1, 9)))) for k in range(60)]  # small sets of common words
+    df = spark.createDataFrame(rows, "k long, t string").repartition(3)
+    assert {tuple(r) for r in similar.similar_pairs(df, "k", "t", trie=similar.Trie(limit=limit, leaf=leaf, down=down)).collect()} == brute(rows)
+
+
+def test_sets_go_down_to_the_elements_that_can_be_next():
+    """Two sets share what comes next, a third nothing: only the two are left together."""
+    import numpy as np
+
+    n, need = 10, 8
+    rest = [np.array(x, dtype=np.uint16).tobytes() for x in ([7, 8, 9, 10, 11], [7, 8, 9, 10, 12], [20, 21, 22, 23, 24])]
+    node = {k: np.arange(3) for k in ("c1", "c2", "b0", "b1", "before")} | {"path": np.zeros(3, np.int64), "size": np.full(3, n << 32), "depth": np.ones(3, np.int64), "more": np.zeros((3, similar.LONG), np.uint64)}
+    node["rest"] = np.empty(3, dtype=object)
+    node["rest"][:] = rest
+    out = similar._down(node, 4, 5, similar.Trie(leaf=1))
+    assert set(out["c1"].tolist()) == {0, 1} and (out["size"] >> 32 == n).all() and ((out["size"] & 0xFFFFFFFF) <= n - need).all()
 
 
 def test_links_count_pairs_without_expanding_copies(spark):
