@@ -1,5 +1,6 @@
 """Loaders of files as tables, and sinks. One row per file: ``doc_id``, ``content``, ``source``, ``filename``,
-``extension``, ``size``, ``modified``, ``language``. What a file can't be read as comes out with null content."""
+``extension``, ``size``, ``modified``, ``language``, ``error``. A file that can't be read comes out with null content and
+the error that it gave."""
 
 from __future__ import annotations
 
@@ -112,21 +113,23 @@ def load(spark: SparkSession, paths: str | list[str], glob: str = "*", strict: b
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            contents = []
+            contents, errors = [], []
             for path, raw in zip(frame["path"], frame["content"]):
                 try:
                     contents.append(read_file(path.rsplit("/", 1)[-1], bytes(raw)))
-                except Exception:
+                    errors.append(None)
+                except Exception as error:
                     if strict:
                         raise
                     contents.append(None)
-            yield pd.DataFrame({"source": frame["path"], "content": contents, "size": frame["length"], "modified": frame["modificationTime"]})
+                    errors.append(f"{type(error).__name__}: {error}")
+            yield pd.DataFrame({"source": frame["path"], "content": contents, "size": frame["length"], "modified": frame["modificationTime"], "error": errors})
 
-    loaded = files.select("path", "length", "modificationTime", "content").mapInPandas(read, "source string, content string, size long, modified timestamp")
+    loaded = files.select("path", "length", "modificationTime", "content").mapInPandas(read, "source string, content string, size long, modified timestamp, error string")
     name = F.regexp_extract("source", r"([^/]+)$", 1)
     ending = F.lower(F.regexp_extract("source", r"\.([^./]+)$", 1))
     languages = F.create_map(*(x for k, v in LANGUAGES.items() for x in (F.lit(k), F.lit(v))))
-    return loaded.select(F.sha2("source", 256).alias("doc_id"), "content", "source", name.alias("filename"), ending.alias("extension"), "size", "modified", languages[ending].alias("language"))
+    return loaded.select(F.sha2("source", 256).alias("doc_id"), "content", "source", name.alias("filename"), ending.alias("extension"), "size", "modified", languages[ending].alias("language"), "error")
 
 
 def git_files(spark: SparkSession, repository: str, endings: tuple[str, ...] = ("py", "js", "ts", "java", "cs", "go", "rb")) -> DataFrame:
