@@ -97,6 +97,7 @@ _QUOTED = re.compile(r"`[^`\n]{1,200}`|\"[^\"\n]{3,200}\"|“[^”\n]{3,200}”|
 _SPLIT = re.compile(r"(?<=[.!?;:])\s+|\s*[\n|]+\s*|\s+[-–—]\s+")
 _NAMES = re.compile(r"\b\w+\(\)|\b[\w-]+(?:\.[\w-]+)*\.(?:example|EXAMPLE|com|org|net|io|local|internal|br|es|pt)\b(?:/\S*)?|(?<!\w)/[\w./-]+|\b\w+(?:Error|Exception)\b|\b[a-z]+(?:\.[a-z]+){2,}\.?\w*\b")
 _NUMBER = re.compile(r"\b(?=\w*\d)[\w-]+\b")
+_DIGIT = re.compile(r"\d")
 _TERM = re.compile(r"⟨\w+⟩|[^\W_]+(?:'[^\W_]+)?")
 _MESSAGE = re.compile(r'(?:^|(?<=>))[ \t]*\{"[^\n<]{1,400}\}[ \t]*(?:$|(?=<))', re.M)
 _BROKEN = re.compile("[\u00c2\u00c3][\u0080-\u00bf]")
@@ -125,7 +126,11 @@ def mark_fields(passage: str) -> str:
 
 def terms(passage: str) -> list[str]:
     """Terms of a passage in lower case; numbers, codes, hosts and the like by their marks."""
-    passage = _NUMBER.sub(" ⟨n⟩ ", _NAMES.sub(" ⟨name⟩ ", passage))
+    inner = passage[:-1]
+    if "." in inner or "/" in passage or "(" in passage or "Error" in passage or "Exception" in passage:  # what names hold at least
+        passage = _NAMES.sub(" ⟨name⟩ ", passage)
+    if _DIGIT.search(passage):
+        passage = _NUMBER.sub(" ⟨n⟩ ", passage)
     return _TERM.findall(passage.lower())
 
 
