@@ -13,6 +13,8 @@ from typing import TypeVar
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Setting by which a statement's shuffle files are removed when it has ended.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 T = TypeVar("T")
 
 
@@ -40,15 +42,24 @@ def _version(spark: SparkSession, directory: str) -> tuple:
     return tuple(sorted((s.getPath().getName(), s.getModificationTime(), s.getLen()) for s in listed))
 
 
+def _there(spark: SparkSession, value: object) -> bool:
+    """Whether the copies that something was built on still lie where ``cut`` wrote them."""
+    frames = [value] if isinstance(value, DataFrame) else list(getattr(value, "__dict__", {}).values())
+    folders = [f._retrix_folder for f in frames if isinstance(f, DataFrame) and hasattr(f, "_retrix_folder")]
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder) for folder in folders]
+    return all(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path) for path in paths)
+
+
 def kept(build: Callable[[SparkSession, str], T]) -> Callable[[SparkSession, str], T]:
-    """Builds something from the tables of a folder once a session, and anew when the folder has changed."""
+    """Builds something from the tables of a folder once a session, and anew when the folder has changed or its own copies
+    are gone."""
     held: dict[tuple, T] = {}
 
     @wraps(build)
     def get(spark: SparkSession, directory: str) -> T:
         key = (spark.sparkContext.applicationId, directory)
         version = _version(spark, directory)
-        if key not in held or held[key][0] != version:
+        if key not in held or held[key][0] != version or not _there(spark, held[key][1]):
             held[key] = (version, build(spark, directory))
         return held[key][1]
 
@@ -82,11 +93,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table into the checkpoint folder and go on from the written copy.
 
     The copy lies in the folder all executors share, so losing an executor loses nothing, and later steps
-    read only the columns they need. It is removed when the driver's process ends.
+    read only the columns they need. It is removed when the driver's process ends. The files of the shuffles that led to
+    it are removed as soon as it is written: nothing will read them any more.
     """
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
     atexit.register(_remove, spark, folder)
     copy = spark.read.schema(df.schema).parquet(folder)
     copy._retrix_folder = folder

@@ -62,6 +62,21 @@ def test_what_is_kept_is_renewed_when_the_table_changes(spark, tmp_path):
     assert get(spark, str(tmp_path)) == 2
 
 
+def test_what_is_kept_is_built_again_when_its_copy_is_gone(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    built = []
+
+    @tables.kept
+    def get(session, directory):
+        built.append(directory)
+        return tables.cut(tables.table(session, directory, "t"))
+
+    first = get(spark, str(tmp_path))
+    assert get(spark, str(tmp_path)) is first and len(built) == 1
+    tables.release(first)
+    assert get(spark, str(tmp_path)).count() == 3 and len(built) == 2
+
+
 def test_clusters_of_a_tree_are_made_in_bounded_groups(spark):
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(40, 8)) * 10
@@ -75,3 +90,13 @@ def test_clusters_of_a_tree_are_made_in_bounded_groups(spark):
         assert 60 <= len(groups) <= 260
         mixed = sum(len({k % 40 for k in ids}) > 1 for ids in groups.values() if max(ids) < 900)
         assert mixed <= 0.1 * len(groups)
+
+
+def test_a_written_copy_leaves_no_shuffle_files(spark):
+    import glob
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    count = lambda: len(glob.glob(f"{folder}/**/shuffle_*.data", recursive=True))
+    before = count()
+    copy = tables.cut(spark.range(2000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    assert copy.count() == 7 and count() <= before + 1 and spark.conf.get(tables._FREE_SHUFFLES) == "false"
