@@ -2,7 +2,8 @@
 
 Queries whose vectors take SENT bytes at most are sent to every task, and rows are held against them where they lie.
 More of them meet the rows in cells of CELL_ROWS rows: a row goes to one cell, a query to all; nothing that grows with
-the data reaches the driver.
+the data reaches the driver. Terms of queries are sent likewise, and texts are held against them where they lie: pairs of
+queries and texts with a term in common, whose number grows with the product of both, are never shuffled.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import FloatType
 
 from retrix.sources.tables import cut
@@ -55,6 +58,42 @@ class _Best:
         return list(self.held)
 
 
+class _Leading:
+    """The k greatest sums of each query so far, by the rounded sum, then the smallest key."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.held, self.waiting = k, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), []
+        # score and key of a query's place k; a query with fewer takes what comes
+        self.least, self.last = np.zeros(queries), np.full(queries, np.iinfo(np.int64).max)
+
+    def add(self, sums: np.ndarray, keys: np.ndarray) -> None:
+        """Sums of all queries (rows) and some keys (columns); 0 is no hit."""
+        floor = self.least
+        if not len(self.held[0]) and not self.waiting and len(keys) > self.k:
+            floor = np.partition(sums, len(keys) - self.k, axis=1)[:, -self.k]
+        who, what = np.nonzero(sums >= np.maximum(floor - 2 * 10.0**-ROUND, np.finfo(float).tiny)[:, None])  # what may round to it included
+        value, key = sums[who, what], keys[what]
+        score = np.round(value, ROUND)
+        good = (score > self.least[who]) | ((score == self.least[who]) & (key <= self.last[who]))
+        self.waiting.append((who[good], key[good], value[good]))
+        if sum(len(x[0]) for x in self.waiting) > max(len(self.held[0]), AT_ONCE // 8):
+            self.merge()
+
+    def merge(self) -> None:
+        query, key, value = (np.concatenate(x) for x in zip(self.held, *self.waiting))
+        order = np.lexsort((key, -np.round(value, ROUND), query))
+        query, key, value = query[order], key[order], value[order]
+        first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))[: len(query)]
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        full = rank == self.k - 1
+        self.least[query[full]], self.last[query[full]] = np.round(value[full], ROUND), key[full]
+        self.held, self.waiting = (query[rank < self.k], key[rank < self.k], value[rank < self.k]), []
+
+    def rows(self) -> list[np.ndarray]:
+        self.merge()
+        return list(self.held)
+
+
 class _Greatest:
     """The greatest dot product of each query with the rows of each key so far."""
 
@@ -172,6 +211,59 @@ def top_cosine(rows: DataFrame, id_col: str, vector_col: str, queries: DataFrame
     return ranked(found.withColumnRenamed("key", "doc_id"), ["query_id"], "score", "doc_id", k)
 
 
+def sendable(asked: DataFrame, sent: int | None = None) -> bool:
+    """Whether the terms of queries (``term``) are few enough to be sent to every task."""
+    size = asked.agg((F.count(F.lit(1)) * 32 + F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).alias("bytes")).first()["bytes"]  # one row
+    return size <= (SENT if sent is None else sent)
+
+
+def top_sums(texts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k texts (``doc_id``, ``terms``, ``values``; one row each) with the greatest sum of weight times value over the
+    terms that they share with a query (``query_id``, ``term``, ``weight``; a term once a query, weights above 0):
+    ``query_id``, ``doc_id``, ``score``, ``rank``. A task keeps k texts of each query before anything is shuffled.
+    ``asked`` has to be sendable."""
+    spark, kind = texts.sparkSession, asked.schema["query_id"].dataType
+    few = asked.select("query_id", "term", "weight").collect()  # bounded by SENT
+    number = {q: n for n, q in enumerate(dict.fromkeys(r["query_id"] for r in few))}
+    terms = {t: n for n, t in enumerate(dict.fromkeys(r["term"] for r in few))}
+    term = np.array([terms[r["term"]] for r in few], np.int64)
+    order = np.argsort(term, kind="stable")
+    of, weight = np.array([number[r["query_id"]] for r in few], np.int64)[order], np.array([r["weight"] for r in few], float)[order]
+    known = spark.sparkContext.broadcast((list(number), list(terms), of, weight, np.searchsorted(term[order], np.arange(len(terms) + 1))))
+    no_key = np.iinfo(np.int64).min  # a null id, which comes first among equals
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held, of, weight, starts = known.value
+        wanted, state = pa.array(held, pa.string()), _Leading(len(names), k)
+        step = max(1, AT_ONCE // max(len(names), 1))
+        for batch in batches:
+            keys = pa.compute.fill_null(batch.column(0), no_key).to_numpy()
+            text = np.repeat(np.arange(len(keys)), pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            term = pa.compute.fill_null(pa.compute.index_in(batch.column(1).flatten(), value_set=wanted), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            value = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            text, term, value = text[term >= 0], term[term >= 0], value[term >= 0]
+            for low in range(0, len(keys) if len(names) else 0, step):
+                a, b = np.searchsorted(text, [low, low + step])
+                if a == b:
+                    continue
+                place, back = np.unique(term[a:b] * step + text[a:b] - low, return_inverse=True)
+                summed = np.bincount(back, value[a:b])
+                t, d = np.divmod(place, step)
+                cuts = np.flatnonzero(t[1:] != t[:-1]) + 1
+                sums = np.zeros((len(names), min(step, len(keys) - low)))
+                for s, e in zip(np.append(0, cuts), np.append(cuts, len(t))):
+                    own = slice(starts[t[s]], starts[t[s] + 1])
+                    sums[of[own][:, None], d[s:e]] += weight[own][:, None] * summed[s:e]
+                state.add(sums, keys[low : low + step])
+        query, key, score = state.rows()
+        ids = pa.array(names, to_arrow_type(kind)).take(pa.array(query))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(key, mask=key == no_key), pa.array(score)], names=["query_id", "doc_id", "score"])
+
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "terms", F.col("values").cast("array<double>").alias("values"))
+    found = rows.mapInArrow(walk, f"query_id {kind.simpleString()}, doc_id long, score double")
+    return ranked(found.withColumn("score", F.round("score", ROUND)), ["query_id"], "score", "doc_id", k)
+
+
 def best_product(rows: DataFrame, group_col: str, vector_col: str, queries: DataFrame, query_id: str, query_vector: str, sent: int = SENT, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The greatest dot product of each query vector with the vectors of each group: ``query_id``, ``grp``, ``best``.
     A task keeps one number per query and group, so only these are shuffled. Odd vectors as in top_cosine."""

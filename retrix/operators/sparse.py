@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retrix.functions import text as X
-from retrix.operators.search import ranked
+from retrix.operators.search import ranked, sendable, top_sums
 from retrix.sources.tables import cut
 
 K1, B, EPSILON = 1.2, 0.75, 0.25
@@ -17,32 +17,40 @@ TERM_LIMIT = 200_000
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per text and term: ``doc_id``, ``term``, ``tf`` and ``dl``, the text's length in terms. Null texts have none."""
-    held = docs.select(F.col(id_col).alias("doc_id"), X.tokens(F.col(text_col)).alias("ts")).select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    return held.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    """One row per text: ``doc_id`` and its terms, each with ``term``, ``tf`` and ``dl``, the text's length in terms. Null
+    texts and those without terms have none. Rows of a text meet once, all else follows where they are."""
+    words = docs.select(F.col(id_col).alias("doc_id"), X.tokens(F.col(text_col)).alias("ts")).repartition("doc_id")
+    counted = words.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    return counted.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf", "dl")).alias("held"))
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """A fitted corpus: its postings, the idf of its terms, its number of texts and their mean length in terms."""
+    """A fitted corpus: its texts with their terms, the idf of its terms, its number of texts and their mean length in terms."""
 
-    posted: DataFrame
+    texts: DataFrame
     terms: DataFrame
     n: int
     avgdl: float
 
+    @property
+    def posted(self) -> DataFrame:
+        """One row per text and term."""
+        return self.texts.select("doc_id", F.inline("held"))
+
 
 def fit(docs: DataFrame, id_col: str, text_col: str) -> Lexicon:
     """Postings and idf = max(0.25, ln((n - df + 0.5) / (df + 0.5))) of all texts that are not null.
 
     The texts are read into terms once; what follows reads the written postings.
     """
-    posted = cut(postings(docs, id_col, text_col))
+    texts = cut(postings(docs, id_col, text_col))
     n = docs.where(F.col(text_col).isNotNull()).count()
+    posted = texts.select(F.inline("held"))
     total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("t")).first()["t"]  # one row
     counted = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     value = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return Lexicon(posted, cut(counted.withColumn("idf", F.greatest(F.lit(EPSILON), value))), n, total / n if n else 0.0)
+    return Lexicon(texts, cut(counted.withColumn("idf", F.greatest(F.lit(EPSILON), value))), n, total / n if n else 0.0)
 
 
 def _weight(lexicon: Lexicon):
@@ -63,7 +71,11 @@ def asked_terms(queries: DataFrame, query_id: str, query_text: str) -> DataFrame
 def search(lexicon: Lexicon, queries: DataFrame, query_id: str, query_text: str, k: int) -> DataFrame:
     """The k best texts of each query: ``query_id``, ``doc_id``, ``score``, ``rank``. A term counts as often as the
     query has it; terms that no text has count nothing."""
-    asked = asked_terms(queries, query_id, query_text).join(lexicon.terms, "term")
+    asked = cut(asked_terms(queries, query_id, query_text).join(lexicon.terms, "term"))
+    if sendable(asked):
+        share = lambda p: p["tf"] * (K1 + 1) / (p["tf"] + K1 * (1 - B + B * p["dl"] / F.lit(lexicon.avgdl or 1.0)))
+        held = lexicon.texts.select("doc_id", F.col("held.term").alias("terms"), F.transform("held", share).alias("values"))
+        return top_sums(held, asked.select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight")), k)
     # a term of many texts is spread over as many tasks as it needs; all others have one
     spread = F.ceil(F.col("df") / F.lit(TERM_LIMIT)).cast("int")
     salted = asked.select("query_id", "term", "qf", "idf", spread.alias("parts"), F.explode(F.sequence(F.lit(0), spread - 1)).alias("part"))

@@ -49,7 +49,7 @@ class Engine:
 
     def hybrid(self, questions: DataFrame, k: int = 20) -> DataFrame:
         """Dense and lexical hits fused by reciprocal rank: ``query_id``, ``doc_id``, ``score``, ``rank``."""
-        return fusion.reciprocal_rank(self.dense(questions), self.sparse(questions), k).withColumnRenamed("place", "rank")
+        return fusion.reciprocal_rank(cut(self.dense(questions)), cut(self.sparse(questions)), k).withColumnRenamed("place", "rank")
 
     @staticmethod
     def _apart(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +59,7 @@ class Engine:
 
     def rerank(self, questions: DataFrame, hits: DataFrame, k: int = 10) -> DataFrame:
         """Hits in the order of the scorer's judgement of question and content."""
-        held = hits.join(self.documents, "doc_id").join(questions, "query_id")
+        held = hits.join(questions, "query_id").join(self.documents, "doc_id")  # contents last, so that they are moved once
         scored = held.select("query_id", "doc_id", F.round(models.cross_score(F.col("q"), F.col("content"), self.scorer), 9).alias("score"))
         return search.ranked(scored, ["query_id"], "score", "doc_id", k)
 
@@ -132,11 +132,14 @@ class Engine:
     def by_entities(self, questions: DataFrame, k: int = 5) -> DataFrame:
         """Texts that share the entities of a question: each entity counts by how few texts have it. Questions without
         entities have no hits."""
-        named = questions.select("query_id", F.explode(F.transform(X.entities(F.col("q")), F.lower)).alias("term"))
-        held = cut(self.documents.where("content IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.transform(X.entities(F.col("content")), F.lower))).alias("term")))
-        spread = held.groupBy("term").agg((1 / F.log(F.lit(2.0) + F.count(F.lit(1)))).alias("w"))
-        wanted = held.join(named.select("term").distinct(), "term", "left_semi").join(spread, "term")
-        scored = named.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score"))
+        named = questions.select("query_id", F.explode(F.transform(X.entities(F.col("q")), F.lower)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
+        texts = self.documents.where("content IS NOT NULL").select("doc_id", F.array_distinct(F.transform(X.entities(F.col("content")), F.lower)).alias("terms")).where("size(terms) > 0")
+        held = cut(texts.groupBy("doc_id").agg(F.flatten(F.collect_list("terms")).alias("terms")))
+        spread = held.select(F.explode("terms").alias("term")).groupBy("term").agg((1 / F.log(F.lit(2.0) + F.count(F.lit(1)))).alias("w"))
+        asked = cut(named.join(spread, "term").select("query_id", "term", (F.col("n") * F.col("w")).alias("weight")))
+        if search.sendable(asked):
+            return search.top_sums(held.withColumn("values", F.transform("terms", lambda _: F.lit(1.0))), asked, k)
+        scored = held.select("doc_id", F.explode("terms").alias("term")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("weight"), 9).alias("score"))
         return search.ranked(scored, ["query_id"], "score", "doc_id", k)
 
     def heads(self, questions: DataFrame, k: int = 5) -> DataFrame:
@@ -154,14 +157,15 @@ class Engine:
 
     def execute(self, questions: DataFrame, k: int = 5) -> DataFrame:
         """Each question by all strategies its router chose (up to three): ``query_id``, ``strategy``, ``doc_id``, ``score``,
-        ``rank``. Every strategy runs once, for all the questions that want it."""
+        ``rank``. Every strategy runs once, for all the questions that want it, and its hits are written before the next
+        one runs: what it shuffled is gone by then."""
         q = F.col("q")
         chosen = Q.strategies(Q.route_class(q), Q.contains_any(Q.lower(q), list(Q.TEMPORAL_WORDS)), Q.ambiguity(q))
         wanted = cut(questions.where("q IS NOT NULL").select("query_id", "q", F.explode(chosen).alias("strategy")))
         run = {"direct": self.sparse, "standard": self.hybrid, "multi_query": self.multi_query, "graph": self.by_entities, "multi_head": self.heads, "corrective": self.corrective}
         out = None
         for name, branch in run.items():
-            one = branch(wanted.where(F.col("strategy") == name).select("query_id", "q"), k).select("query_id", F.lit(name).alias("strategy"), "doc_id", "score", "rank")
+            one = cut(branch(wanted.where(F.col("strategy") == name).select("query_id", "q"), k).select("query_id", F.lit(name).alias("strategy"), "doc_id", "score", "rank"))
             out = one if out is None else out.unionByName(one)
         return out
 
