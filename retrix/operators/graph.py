@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retrix.sources.tables import cut, release
@@ -83,42 +83,72 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: flo
     return ranks
 
 
+#: Rounds whose turns a node carries at once, a bit each.
+TURNS = 32
+
+
+def _turns(number: int) -> Column:
+    """Whether a node may change in round ``number`` and those after it, as bits, the first the lowest."""
+    bits = F.lit(0).cast("long")
+    for k in range(TURNS):
+        bits = bits + F.when(F.pmod(F.xxhash64("id", F.lit(number + k)), F.lit(2)) == 0, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+    return bits
+
+
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``id`` and ``community`` by label propagation: a node takes the label most of its neighbours have (the
     smallest among several) if that is more than have its own, until no node would change (or for ``rounds``).
 
     Half of the nodes, another half in each round, may change: if all did at once, the two sides of a graph
     without odd cycles could swap labels for ever.
+
+    Nodes are numbered in the order of their ids. All rounds have one and the same plan, with one join, which is never
+    a broadcast: the driver holds no relation, and compiles nothing anew.
     """
-    steps = cut(both_ways(edges).where("src <> dst").select("src", "dst").distinct())
-    labels = cut(nodes.select("id", F.col("id").alias("community")))
-    number = 0
+    named = cut(nodes.select("id").where("id is not null").distinct().orderBy("id").withColumn("node", F.monotonically_increasing_id()))
+    ends = lambda name: named.select(F.col("id").alias(name), F.col("node").alias(f"{name}_node")).hint("merge")
+    pairs = both_ways(edges).where("src <> dst").select("src", "dst").distinct()
+    steps = cut(pairs.join(ends("src"), "src").join(ends("dst"), "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("node")))
+    labels = named.select("node", F.col("node").alias("community"), _turns(1).alias("turns"))
+    number, last = 0, None
     while rounds is None or number < rounds:
         number += 1
-        votes = steps.join(labels, steps["src"] == labels["id"]).groupBy(F.col("dst").alias("id"), "community").agg(F.count(F.lit(1)).alias("n"))
-        held = votes.join(labels.select("id", F.col("community").alias("own")), "id")
-        best = held.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("b"), F.coalesce(F.max(F.when(F.col("community") == F.col("own"), F.col("n"))), F.lit(0)).alias("kept"))
-        willing = best.where(-F.col("b.n") > F.col("kept")).select("id", F.col("b.community").alias("next"))
-        moved = cut(labels.join(willing, "id", "left").select("id", "community", "next"))
+        heard = steps.join(labels.select(F.col("node").alias("src"), "community").hint("merge"), "src").select("node", "community", F.lit(1).alias("n"), F.lit(None).cast("long").alias("turns"))
+        votes = heard.unionByName(labels.select("node", "community", F.lit(0).alias("n"), "turns")).groupBy("node", "community").agg(F.sum("n").alias("n"), F.max("turns").alias("turns"))
+        own = F.col("turns").isNotNull()
+        best = votes.groupBy("node").agg(
+            F.min(F.when(F.col("n") > 0, F.struct((-F.col("n")).alias("n"), "community"))).alias("b"), F.max(F.when(own, F.col("n"))).alias("kept"),
+            F.max(F.when(own, F.col("community"))).alias("community"), F.max("turns").alias("turns"),
+        )
+        moved = cut(best.select("node", "community", F.when(-F.col("b.n") > F.col("kept"), F.col("b.community")).alias("next"), "turns"))
         if not moved.where("next is not null").limit(1).count():
+            release(moved)
             break
-        if number > 1:
+        if last is not None:
             release(last)  # what the labels before were read from
         last = moved
-        turn = F.pmod(F.xxhash64("id", F.lit(number)), F.lit(2)) == 0
-        labels = moved.select("id", F.when(turn, F.coalesce("next", "community")).otherwise(F.col("community")).alias("community"))
-    return labels
+        if number % TURNS:
+            later, turns = moved, F.shiftrightunsigned("turns", 1)
+        else:
+            later, turns = moved.join(named.select("node", _turns(number + 1).alias("later")).hint("merge"), "node"), F.col("later")
+        labels = later.select("node", F.when(F.col("turns").bitwiseAND(1) == 1, F.coalesce("next", "community")).otherwise(F.col("community")).alias("community"), turns.alias("turns"))
+    names = named.select(F.col("node").alias("community"), F.col("id").alias("name")).hint("merge")
+    placed = labels.select("node", "community").join(names, "community").join(named.hint("merge"), "node").select("id", F.col("name").alias("community"))
+    found = cut(nodes.select("id").join(placed.hint("merge"), "id", "left"))
+    for held in (steps, named, *([last] if last is not None else [])):
+        release(held)
+    return found
 
 
 def modularity(found: DataFrame, edges: DataFrame) -> DataFrame:
     """``community``, ``members`` and its part of the ``modularity`` (their sum is that of the whole) in the undirected
-    graph without repeated edges."""
+    graph without repeated edges. No table is broadcast."""
     steps = cut(both_ways(edges).where("src <> dst").select("src", "dst").distinct())
-    placed = steps.join(found.select(F.col("id").alias("src"), "community"), "src").join(found.select(F.col("id").alias("dst"), F.col("community").alias("other")), "dst")
+    placed = steps.join(found.select(F.col("id").alias("src"), "community").hint("merge"), "src").join(found.select(F.col("id").alias("dst"), F.col("community").alias("other")).hint("merge"), "dst")
     total = float(max(steps.count(), 1))  # each edge both ways
     inside = placed.groupBy("community").agg(F.sum((F.col("community") == F.col("other")).cast("long")).alias("within"), F.count(F.lit(1)).alias("ends"))
     share = F.coalesce("within", F.lit(0)) / total - F.pow(F.coalesce("ends", F.lit(0)) / total, F.lit(2))
-    return found.groupBy("community").agg(F.count(F.lit(1)).alias("members")).join(inside, "community", "left").select("community", "members", share.alias("modularity"))
+    return found.groupBy("community").agg(F.count(F.lit(1)).alias("members")).join(inside.hint("merge"), "community", "left").select("community", "members", share.alias("modularity"))
 
 
 def top_central(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
