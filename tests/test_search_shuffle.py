@@ -51,3 +51,11 @@ def test_sums_are_those_of_a_join(spark, texts, asked, monkeypatch):
 def test_every_strategy_leaves_written_hits(texts, asked):
     found = Engine(texts).execute(asked.where(F.col("query_id") < 3))
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_variations_of_questions_are_not_shuffled_with_texts(spark, texts, asked):
+    engine = Engine(texts)
+    engine.lexicon(), engine.vectors()
+    before = written(spark)
+    hits = engine.multi_query(asked.where("query_id < 60")).collect()
+    assert len(hits) == 60 * 5 and written(spark) - before < 2_500_000  # 720,000 pairs have a term in common
