@@ -59,3 +59,8 @@ def test_variations_of_questions_are_not_shuffled_with_texts(spark, texts, asked
     before = written(spark)
     hits = engine.multi_query(asked.where("query_id < 60")).collect()
     assert len(hits) == 60 * 5 and written(spark) - before < 2_500_000  # 720,000 pairs have a term in common
+
+
+def test_strategies_are_put_together_from_written_hits(texts, asked):
+    plan = Engine(texts).combined(asked.where(F.col("query_id") < 3))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "InArrow" not in plan
