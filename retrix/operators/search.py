@@ -3,7 +3,8 @@
 Queries whose vectors take SENT bytes at most are sent to every task, and rows are held against them where they lie.
 More of them meet the rows in cells of CELL_ROWS rows: a row goes to one cell, a query to all; nothing that grows with
 the data reaches the driver. Terms of queries are sent likewise, and texts are held against them where they lie: pairs of
-queries and texts with a term in common, whose number grows with the product of both, are never shuffled.
+queries and texts with a term in common, whose number grows with the product of both, are never shuffled. As every task
+gives k rows of each query, rows are gathered into as many tasks as the session has cores: hits grow with the queries only.
 """
 
 from __future__ import annotations
@@ -37,24 +38,39 @@ class _Best:
     schema = "query_id long, key long, score double"
 
     def __init__(self, k: int):
-        self.k, self.held = k, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.k, self.held, self.waiting = k, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), []
+        # queries that have k rows, in order, and the score of place k
+        self.full, self.least = np.zeros(0, np.int64), np.zeros(0)
 
     def add(self, ids: np.ndarray, queries: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> None:
         size = np.outer(np.sqrt((queries**2).sum(axis=1)), np.sqrt((rows**2).sum(axis=1)))
-        scores = np.round(np.divide(queries @ rows.T, size, out=np.zeros_like(size), where=size > 0), ROUND)
-        if scores.shape[1] > self.k:
-            least = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k]
-            who, what = np.nonzero(scores >= least[:, None])  # ties included
-        else:
-            who, what = (x.reshape(-1) for x in np.indices(scores.shape))
-        query, key, score = (np.concatenate(x) for x in zip(self.held, (ids[who], keys[what], scores[who, what])))
+        value = np.divide(queries @ rows.T, size, out=np.zeros_like(size), where=size > 0)
+        floor = np.full(len(ids), -np.inf)
+        if len(self.full):
+            at = np.minimum(np.searchsorted(self.full, ids), len(self.full) - 1)
+            floor = np.where(self.full[at] == ids, self.least[at], floor)
+        new = np.flatnonzero(np.isneginf(floor))
+        if len(new) and value.shape[1] > self.k:
+            floor[new] = np.partition(value[new], value.shape[1] - self.k, axis=1)[:, -self.k]
+        good = value >= (floor - 2 * 10.0**-ROUND)[:, None]  # ties and what may round to it included
+        if value.shape[1] <= self.k:
+            good[new] = True
+        who, what = np.nonzero(good)
+        self.waiting.append((ids[who], keys[what], np.round(value[who, what], ROUND)))
+        if sum(len(x[0]) for x in self.waiting) > max(len(self.held[0]), AT_ONCE // 8):
+            self.merge()
+
+    def merge(self) -> None:
+        query, key, score = (np.concatenate(x) for x in zip(self.held, *self.waiting))
         order = np.lexsort((key, -score, query))
         query, key, score = query[order], key[order], score[order]
         first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))[: len(query)]
         rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
-        self.held = query[rank < self.k], key[rank < self.k], score[rank < self.k]
+        self.full, self.least = query[rank == self.k - 1], score[rank == self.k - 1]
+        self.held, self.waiting = (query[rank < self.k], key[rank < self.k], score[rank < self.k]), []
 
     def rows(self) -> list[np.ndarray]:
+        self.merge()
         return list(self.held)
 
 
@@ -68,10 +84,11 @@ class _Leading:
 
     def add(self, sums: np.ndarray, keys: np.ndarray) -> None:
         """Sums of all queries (rows) and some keys (columns); 0 is no hit."""
-        floor = self.least
-        if not len(self.held[0]) and not self.waiting and len(keys) > self.k:
-            floor = np.partition(sums, len(keys) - self.k, axis=1)[:, -self.k]
-        who, what = np.nonzero(sums >= np.maximum(floor - 2 * 10.0**-ROUND, np.finfo(float).tiny)[:, None])  # what may round to it included
+        above = lambda floor: sums >= np.maximum(floor - 2 * 10.0**-ROUND, np.finfo(float).tiny)[:, None]  # noqa: E731  what may round to it included
+        good = above(self.least)
+        if len(keys) > self.k and np.count_nonzero(good) > AT_ONCE // 8:
+            good = above(np.maximum(self.least, np.partition(sums, len(keys) - self.k, axis=1)[:, -self.k]))
+        who, what = np.nonzero(good)
         value, key = sums[who, what], keys[what]
         score = np.round(value, ROUND)
         good = (score > self.least[who]) | ((score == self.least[who]) & (key <= self.last[who]))
@@ -131,6 +148,11 @@ def _packed(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return used.mapInArrow(pack, "key long, packed binary, width int")
 
 
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Rows in as many tasks as the session has cores, or fewer."""
+    return rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def _matrix(packed: list[bytes], width: int, dimension: int) -> np.ndarray:
     return np.frombuffer(b"".join(packed), dtype=np.float32 if width == 4 else np.float64).reshape(-1, dimension).astype(np.float64)
 
@@ -148,7 +170,7 @@ def _against(rows: DataFrame, asked: DataFrame, start: Callable[[], _Best | _Gre
         fitting = rows.where(of_length)
 
         def both(state, ids: np.ndarray, queries: np.ndarray, keys: np.ndarray, held: np.ndarray) -> None:
-            step = max(1, AT_ONCE // max(len(keys), 1))
+            step = max(1, AT_ONCE // 4 // max(len(keys), 1))  # a state makes several matrices
             for at in range(0, len(ids), step):
                 state.add(ids[at : at + step], queries[at : at + step], keys, held)
 
@@ -166,7 +188,7 @@ def _against(rows: DataFrame, asked: DataFrame, start: Callable[[], _Best | _Gre
                         both(state, *known.value, batch.column(0).to_numpy(), _matrix(batch.column(1).to_pylist(), batch.column(2)[0].as_py(), dimension))
                 yield batch_of(state)
 
-            found = fitting.select("key", "packed", "width").mapInArrow(walk, schema)
+            found = _gathered(fitting.select("key", "packed", "width")).mapInArrow(walk, schema)
         else:
             cells = max(1, -(-fitting.count() // cell_rows))
 
@@ -260,7 +282,7 @@ def top_sums(texts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([ids, pa.array(key, mask=key == no_key), pa.array(score)], names=["query_id", "doc_id", "score"])
 
     rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "terms", F.col("values").cast("array<double>").alias("values"))
-    found = rows.mapInArrow(walk, f"query_id {kind.simpleString()}, doc_id long, score double")
+    found = _gathered(rows).mapInArrow(walk, f"query_id {kind.simpleString()}, doc_id long, score double")
     return ranked(found.withColumn("score", F.round("score", ROUND)), ["query_id"], "score", "doc_id", k)
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +18,36 @@ from retrix.sources.tables import cut
 K1, B, EPSILON = 1.2, 0.75, 0.25
 #: Texts of a term that one task takes.
 TERM_LIMIT = 200_000
+#: Ids of several rows that are looked for by name; texts whose terms are counted at once.
+REPEATED, COUNTED = 1000, 1024
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids and words of rows as ids and terms with ``tf`` and ``dl``."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, COUNTED):
+            part = batch.slice(low, COUNTED)
+            length = pa.compute.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+            words = part.column(1).flatten().dictionary_encode()
+            size = max(len(words.dictionary), 1)
+            place, tf = np.unique(np.repeat(np.arange(len(length)), length) * size + words.indices.to_numpy(), return_counts=True)
+            row, term = np.divmod(place, size)
+            held = pa.StructArray.from_arrays([words.dictionary.take(pa.array(term)), pa.array(tf, pa.int64()), pa.array(length[row], pa.int32())], names=["term", "tf", "dl"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(length) + 1)), pa.int32()), held)], names=["doc_id", "held"])
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per text: ``doc_id`` and its terms, each with ``term``, ``tf`` and ``dl``, the text's length in terms. Null
-    texts and those without terms have none. Rows of a text meet once, all else follows where they are."""
-    words = docs.select(F.col(id_col).alias("doc_id"), X.tokens(F.col(text_col)).alias("ts")).repartition("doc_id")
-    counted = words.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
-    return counted.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf", "dl")).alias("held"))
+    texts and those without terms have none. Terms are counted where the texts lie; only texts of several rows (all, if
+    more than REPEATED ids have several) are shuffled, so that their rows meet."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    several = [r["doc_id"] for r in rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").limit(REPEATED + 1).collect()]
+    meets = F.lit(len(several) > REPEATED) | F.coalesce(F.col("doc_id").isin([x for x in several if x is not None]), F.lit(None in several))
+    words = lambda some: some.select("doc_id", X.tokens(F.col("text")).alias("ts")).where(F.size("ts") > 0)
+    met = words(rows.where(meets)).repartition("doc_id").select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    met = met.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl")).groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf", "dl")).alias("held"))
+    alone = words(rows.where(~meets)).mapInArrow(_counted, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held array<struct<term:string,tf:bigint,dl:int>>")
+    return met if len(several) > REPEATED else alone.unionByName(met) if several else alone
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,52 @@ def test_variations_of_questions_are_not_shuffled_with_texts(spark, texts, asked
 def test_strategies_are_put_together_from_written_hits(texts, asked):
     plan = Engine(texts).combined(asked.where(F.col("query_id") < 3))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "InArrow" not in plan
+
+
+def test_words_of_texts_are_not_shuffled(spark):
+    texts = spark.range(3000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 60), x -> hex(hash(id, x)))) AS content").repartition(4).cache()
+    texts.count()
+    before = written(spark)
+    held = sparse.postings(texts, "doc_id", "content")
+    assert held.count() == 3000 and written(spark) - before < 400_000  # words alone take more than 1 MB
+
+
+@pytest.mark.parametrize("repeated", [0, 1000])
+def test_postings_are_those_of_a_plain_count(spark, texts, repeated, monkeypatch):
+    monkeypatch.setattr(sparse, "REPEATED", repeated)
+    words = texts.select("doc_id", sparse.X.tokens(F.col("content")).alias("ts")).select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    plain = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    held = sparse.postings(texts.coalesce(1), "doc_id", "content")  # more rows than are counted at once
+    assert held.select("doc_id").distinct().count() == held.count()
+    assert sorted(held.select("doc_id", F.inline("held")).collect(), key=str) == sorted(plain.collect(), key=str)
+
+
+def test_best_rows_are_those_of_a_whole_matrix(monkeypatch):
+    monkeypatch.setattr(search, "AT_ONCE", 400)  # a state is put together again and again
+    random = np.random.default_rng(1)
+    rows, queries = random.integers(-1, 2, (500, 3)).astype(float), random.integers(-1, 2, (40, 3)).astype(float)  # many ties
+    state, ids, keys = search._Best(7), np.arange(40)[::-1] * 3, random.permutation(500)
+    for low, high in ((0, 4), (4, 200), (200, 203), (203, 500)):
+        for at in range(0, 40, 13):
+            state.add(ids[at : at + 13], queries[at : at + 13], keys[low:high], rows[low:high])
+    size = np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(rows, axis=1))
+    scores = np.round(np.divide(queries @ rows.T, size, out=np.zeros_like(size), where=size > 0), search.ROUND)
+    best = sorted((ids[q], key, scores[q, n]) for q in range(40) for n, key in sorted(enumerate(keys), key=lambda x: (-scores[q, x[0]], x[1]))[:7])
+    assert sorted(zip(*state.rows())) == best and len(state.waiting) == 0
+
+
+def test_hits_do_not_grow_with_the_parts_of_the_texts(spark, texts, asked):
+    lexicon = sparse.fit(texts, "doc_id", "content")
+    vector = F.array(*(F.hash(F.lit(n), "id").cast("double") for n in range(4)))
+    rows, wanted = spark.range(4000).select("id", vector.alias("v")), spark.range(300).select("id", vector.alias("v"))
+    runs = {
+        "terms": lambda n: sparse.search(sparse.Lexicon(lexicon.texts.repartition(n), lexicon.terms, lexicon.n, lexicon.avgdl), asked, "query_id", "q", 20),
+        "vectors": lambda n: search.top_cosine(rows.repartition(n), "id", "v", wanted, "id", "v", 20),
+    }
+    for name, run in runs.items():
+        sent, found = [], []
+        for n in (spark.sparkContext.defaultParallelism, 16 * spark.sparkContext.defaultParallelism):
+            before = written(spark)
+            found.append(sorted(run(n).collect(), key=str))
+            sent.append(written(spark) - before)
+        assert found[0] == found[1] and sent[1] < 2 * sent[0], (name, sent)
