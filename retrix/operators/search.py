@@ -23,6 +23,8 @@ from retrix.sources.tables import cut
 
 #: Bytes of query vectors that are sent to every task; rows of a cell; numbers of a matrix that is made at once.
 SENT, CELL_ROWS, AT_ONCE = 32 << 20, 1 << 18, 1 << 22
+#: Bytes that a key takes where it is sent, at most.
+KEY_BYTES = 64
 ROUND = 9
 
 
@@ -153,6 +155,12 @@ def _gathered(rows: DataFrame) -> DataFrame:
     return rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
 
 
+def among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key is among those of another table, picked where they lie; all rows if the keys are too many to be sent."""
+    keys = cut(wanted.select(key).where(F.col(key).isNotNull()).distinct())
+    return rows.join(F.broadcast(keys), key, "left_semi") if keys.count() * KEY_BYTES <= SENT else rows
+
+
 def _matrix(packed: list[bytes], width: int, dimension: int) -> np.ndarray:
     return np.frombuffer(b"".join(packed), dtype=np.float32 if width == 4 else np.float64).reshape(-1, dimension).astype(np.float64)
 

@@ -59,7 +59,9 @@ class Engine:
 
     def rerank(self, questions: DataFrame, hits: DataFrame, k: int = 10) -> DataFrame:
         """Hits in the order of the scorer's judgement of question and content."""
-        held = hits.join(questions, "query_id").join(self.documents, "doc_id")  # contents last, so that they are moved once
+        hits = cut(hits)
+        texts = search.among(self.documents, "doc_id", hits)  # contents that no hit names are not moved
+        held = hits.join(questions, "query_id").join(texts, "doc_id")  # contents last, so that they are moved once
         scored = held.select("query_id", "doc_id", F.round(models.cross_score(F.col("q"), F.col("content"), self.scorer), 9).alias("score"))
         return search.ranked(scored, ["query_id"], "score", "doc_id", k)
 

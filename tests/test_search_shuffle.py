@@ -114,3 +114,21 @@ def test_hits_do_not_grow_with_the_parts_of_the_texts(spark, texts, asked):
             found.append(sorted(run(n).collect(), key=str))
             sent.append(written(spark) - before)
         assert found[0] == found[1] and sent[1] < 2 * sent[0], (name, sent)
+
+
+def test_contents_without_hits_are_not_shuffled(spark, monkeypatch):
+    texts = spark.range(2000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 100), x -> hex(hash(id, x)))) AS content").repartition(4).cache()
+    texts.count()
+    hits = spark.createDataFrame([(1, 3, 0.5), (1, 7, 0.4), (2, 3, 0.3), (2, None, 0.2)], "query_id long, doc_id long, score double")
+    asked = spark.createDataFrame([(1, "um"), (2, "dois"), (3, "nada")], "query_id long, q string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written(spark)
+        found = Engine(texts).rerank(asked, hits).select("query_id", "doc_id").collect()
+        assert sorted(map(tuple, found)) == [(1, 3), (1, 7), (2, 3)] and written(spark) - before < 200_000  # all contents take more than 1 MB
+        monkeypatch.setattr(search, "SENT", 0)
+        assert sorted(map(tuple, Engine(texts).rerank(asked, hits).select("query_id", "doc_id").collect())) == [(1, 3), (1, 7), (2, 3)]
+        assert written(spark) - before > 1_000_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
