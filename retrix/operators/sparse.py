@@ -84,6 +84,11 @@ def _weight(lexicon: Lexicon):
     return F.col("idf") * F.col("tf") * (K1 + 1) / norm
 
 
+def share(lexicon: Lexicon):
+    """BM25 weight of what a text holds of a term, but for the term's idf."""
+    return lambda p: p["tf"] * (K1 + 1) / (p["tf"] + K1 * (1 - B + B * p["dl"] / F.lit(lexicon.avgdl or 1.0)))
+
+
 def weights(lexicon: Lexicon) -> DataFrame:
     """BM25 weight of each posting: ``doc_id``, ``term``, ``weight``."""
     return lexicon.posted.join(lexicon.terms.select("term", "idf"), "term").select("doc_id", "term", _weight(lexicon).alias("weight"))
@@ -99,8 +104,7 @@ def search(lexicon: Lexicon, queries: DataFrame, query_id: str, query_text: str,
     query has it; terms that no text has count nothing."""
     asked = cut(asked_terms(queries, query_id, query_text).join(lexicon.terms, "term"))
     if sendable(asked):
-        share = lambda p: p["tf"] * (K1 + 1) / (p["tf"] + K1 * (1 - B + B * p["dl"] / F.lit(lexicon.avgdl or 1.0)))
-        held = lexicon.texts.select("doc_id", F.col("held.term").alias("terms"), F.transform("held", share).alias("values"))
+        held = lexicon.texts.select("doc_id", F.col("held.term").alias("terms"), F.transform("held", share(lexicon)).alias("values"))
         return top_sums(held, asked.select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight")), k)
     # a term of many texts is spread over as many tasks as it needs; all others have one
     spread = F.ceil(F.col("df") / F.lit(TERM_LIMIT)).cast("int")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from retrix.functions import questions as Q
 from retrix.functions import text as X
-from retrix.operators import fusion, models, search, sparse, tree
+from retrix.operators import blocks, fusion, models, search, sparse, tree
 from retrix.sources.tables import cut
 
 RELEVANT = 0.7
@@ -40,15 +40,33 @@ class Engine:
             self._held["vectors"] = cut(self.documents.where("content IS NOT NULL").select("doc_id", models.embed(F.col("content"), self.embedder).alias("vector")))
         return self._held["vectors"]
 
+    def _blocks(self, questions: DataFrame, k: int, dense: bool = True) -> DataFrame | None:
+        """Hybrid or lexical hits of many questions; None if they are few, or have too many terms to be sent."""
+        if not blocks.many(questions):
+            return None
+        lexicon = self.lexicon()
+        asked = questions.select("query_id", "q", X.tokens(F.col("q")).alias("ts"))
+        wanted = lexicon.terms.join(asked.select(F.explode("ts").alias("term")).distinct(), "term")
+        terms = blocks.vocabulary(wanted.select("term", "df", F.col("idf").alias("weight")), lexicon.n)
+        if terms is None:
+            return None
+        texts = cut(terms.numbered(lexicon.texts.select("doc_id", F.col("held.term").alias("ts"), F.transform("held", sparse.share(lexicon)).alias("vs")), "ts", "vs"))
+        numbered = terms.numbered(asked, "ts", model=self.embedder if dense else None)
+        return blocks.found(numbered.drop("q"), k, self.vectors() if dense else None, texts, terms)
+
     def dense(self, questions: DataFrame, k: int = 50) -> DataFrame:
         asked = questions.select("query_id", models.embed(F.col("q"), self.embedder).alias("v"))
         return search.top_cosine(self.vectors(), "doc_id", "vector", asked, "query_id", "v", k)
 
     def sparse(self, questions: DataFrame, k: int = 50) -> DataFrame:
-        return sparse.search(self.lexicon(), questions, "query_id", "q", k)
+        found = self._blocks(questions, k, dense=False)
+        return found if found is not None else sparse.search(self.lexicon(), questions, "query_id", "q", k)
 
     def hybrid(self, questions: DataFrame, k: int = 20) -> DataFrame:
         """Dense and lexical hits fused by reciprocal rank: ``query_id``, ``doc_id``, ``score``, ``rank``."""
+        found = self._blocks(questions, k)
+        if found is not None:
+            return found
         return fusion.reciprocal_rank(cut(self.dense(questions)), cut(self.sparse(questions)), k).withColumnRenamed("place", "rank")
 
     @staticmethod
@@ -67,8 +85,15 @@ class Engine:
 
     def multi_query(self, questions: DataFrame, k: int = 5) -> DataFrame:
         """Hits of each question and its variations, fused by weighted sums."""
+        return self._varied(self._variations(questions, k), k)
+
+    def _variations(self, questions: DataFrame, k: int) -> DataFrame:
+        """Hits of each question (``n`` = 0) and its variations: ``origin``, ``n``, ``doc_id``, ``score``, ``rank``."""
         spread, of = self._apart(questions.select(F.col("query_id").alias("origin"), F.posexplode(models.query_variants(F.coalesce("q", F.lit("")))).alias("n", "q")))
-        hits = self.hybrid(spread, k).join(of, "query_id").select("origin", "n", "doc_id", "score")
+        return self.hybrid(spread, k).join(of, "query_id").select("origin", "n", "doc_id", "score", "rank")
+
+    @staticmethod
+    def _varied(hits: DataFrame, k: int) -> DataFrame:
         summed = hits.groupBy("origin", "doc_id").agg(F.round(F.sum(F.col("score") * F.when(F.col("n") == 0, 1.0).otherwise(0.8)), 9).alias("score"))
         return search.ranked(summed.withColumnRenamed("origin", "query_id"), ["query_id"], "score", "doc_id", k)
 
@@ -137,7 +162,13 @@ class Engine:
         named = questions.select("query_id", F.explode(F.transform(X.entities(F.col("q")), F.lower)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
         texts = self.documents.where("content IS NOT NULL").select("doc_id", F.array_distinct(F.transform(X.entities(F.col("content")), F.lower)).alias("terms")).where("size(terms) > 0")
         held = cut(texts.groupBy("doc_id").agg(F.flatten(F.collect_list("terms")).alias("terms")))
-        spread = held.select(F.explode("terms").alias("term")).groupBy("term").agg((1 / F.log(F.lit(2.0) + F.count(F.lit(1)))).alias("w"))
+        spread = held.select(F.explode("terms").alias("term")).groupBy("term").agg((1 / F.log(F.lit(2.0) + F.count(F.lit(1)))).alias("w"), F.count(F.lit(1)).alias("df"))
+        if blocks.many(questions):
+            terms = blocks.vocabulary(spread.join(named.select("term").distinct(), "term").select("term", "df", F.col("w").alias("weight")), held.count())
+            if terms is not None:
+                asked = questions.select("query_id", F.transform(X.entities(F.col("q")), F.lower).alias("ts"))
+                numbered = cut(terms.numbered(held.select("doc_id", "terms", F.transform("terms", lambda _: F.lit(1.0)).alias("vs")), "terms", "vs"))
+                return blocks.found(terms.numbered(asked, "ts"), k, None, numbered, terms)
         asked = cut(named.join(spread, "term").select("query_id", "term", (F.col("n") * F.col("w")).alias("weight")))
         if search.sendable(asked):
             return search.top_sums(held.withColumn("values", F.transform("terms", lambda _: F.lit(1.0))), asked, k)
@@ -152,7 +183,8 @@ class Engine:
         turned = V.head_projections(F.col("v"))
         rows = asked.select(F.col("query_id").alias("origin"), F.explode(F.array(*(F.struct(F.lit(name).alias("head"), p.alias("v")) for name, p in turned.items()))).alias("h"))
         held = cut(rows.select("origin", "h.head", "h.v").withColumn("query_id", F.monotonically_increasing_id()))
-        hits = search.top_cosine(self.vectors(), "doc_id", "vector", held, "query_id", "v", k).join(held.select("query_id", "origin", "head"), "query_id")
+        near = blocks.found(held.select("query_id", F.col("v").alias("vector")), k, self.vectors()) if blocks.many(held) else search.top_cosine(self.vectors(), "doc_id", "vector", held, "query_id", "v", k)
+        hits = near.join(held.select("query_id", "origin", "head"), "query_id")
         weight = F.create_map(*(x for name, w in HEADS.items() for x in (F.lit(name), F.lit(w))))[F.col("head")]
         summed = hits.groupBy(F.col("origin").alias("query_id"), "doc_id").agg(F.round(F.sum(F.col("score") * weight) / len(HEADS), 9).alias("score"))
         return search.ranked(summed, ["query_id"], "score", "doc_id", k)
@@ -165,9 +197,15 @@ class Engine:
         chosen = Q.strategies(Q.route_class(q), Q.contains_any(Q.lower(q), list(Q.TEMPORAL_WORDS)), Q.ambiguity(q))
         wanted = cut(questions.where("q IS NOT NULL").select("query_id", "q", F.explode(chosen).alias("strategy")))
         run = {"direct": self.sparse, "standard": self.hybrid, "multi_query": self.multi_query, "graph": self.by_entities, "multi_head": self.heads, "corrective": self.corrective}
+        of = lambda name: wanted.where(F.col("strategy") == name).select("query_id", "q")
+        # the standard hits of a question with variations are those of the first of them: it is searched once
+        varied = cut(self._variations(of("multi_query"), k))
+        first = varied.where("n = 0").select(F.col("origin").alias("query_id"), "doc_id", "score", "rank").join(of("standard").select("query_id"), "query_id", "left_semi")
+        rest = of("standard").join(of("multi_query"), "query_id", "left_anti")
+        run |= {"standard": lambda _, k: first.unionByName(self.hybrid(rest, k)), "multi_query": lambda _, k: self._varied(varied, k)}
         out = None
         for name, branch in run.items():
-            one = cut(branch(wanted.where(F.col("strategy") == name).select("query_id", "q"), k).select("query_id", F.lit(name).alias("strategy"), "doc_id", "score", "rank"))
+            one = cut(branch(of(name), k).select("query_id", F.lit(name).alias("strategy"), "doc_id", "score", "rank"))
             out = one if out is None else out.unionByName(one)
         return out
 

@@ -1,4 +1,4 @@
-"""Queries that run the engine over all documents, for the stated questions."""
+"""Queries that run the engine over all documents, for the stated questions or for every cached one."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from retrix.operators import models
 from retrix.plans.engine import Engine
 from retrix.plans.registry import query
-from retrix.plans.text_queries import asked_queries
+from retrix.plans.text_queries import asked_queries, every_question
 from retrix.sources.tables import table
 
 
@@ -72,8 +72,8 @@ def engine_retrieve(spark: SparkSession, directory: str) -> DataFrame:
 
 @query()
 def engine_combined(spark: SparkSession, directory: str) -> DataFrame:
-    """The hits of a question's strategies put together."""
-    found = _engine(spark, directory).combined(asked_queries(spark, directory))
+    """The hits of every cached question's strategies put together."""
+    found = _engine(spark, directory).combined(every_question(spark, directory))
     return found.withColumn("strategies", F.array_join("strategies", ","))
 
 

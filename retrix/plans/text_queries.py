@@ -40,6 +40,11 @@ def asked_queries(spark: SparkSession, directory: str) -> DataFrame:
     return cache.groupBy(F.col("id").alias("query_id")).agg(F.first("query_text").alias("q"))
 
 
+def every_question(spark: SparkSession, directory: str) -> DataFrame:
+    """All cached questions, each id once."""
+    return table(spark, directory, "semantic_cache").groupBy(F.col("id").alias("query_id")).agg(F.first("query_text").alias("q"))
+
+
 @kept
 def _index(spark: SparkSession, directory: str) -> sparse.Lexicon:
     """The lexical index of the documents: fitted once a session, and anew if the table has changed."""

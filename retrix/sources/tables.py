@@ -110,6 +110,11 @@ def cut(df: DataFrame) -> DataFrame:
     return copy
 
 
+def folder_of(copy: DataFrame) -> str:
+    """The folder of a table that ``cut`` wrote."""
+    return copy._retrix_folder
+
+
 def release(copy: DataFrame) -> None:
     """Remove a table that ``cut`` wrote, once nothing will read it any more; other frames are left alone."""
     folder = getattr(copy, "_retrix_folder", None)
