@@ -29,7 +29,7 @@ from retrix.operators.fusion import RRF_K
 from retrix.sources.tables import cut, folder_of
 
 #: Questions from which they are searched in blocks, and those of a block; rows of a table that a task holds at once.
-MANY, BLOCK, BATCH = 2000, 16_384, 1 << 15
+MANY, BLOCK, BATCH = 2000, 8192, 1 << 15
 #: Rows whose greatest product is taken together; questions, and rows, of one product; pairs that are looked at at once.
 GROUP, ASKING, ROWS, LOOKED = 16, 256, 16_384, 4096
 #: Questions whose lists of texts are put together at once.

@@ -60,8 +60,8 @@ def engine_adaptive(spark: SparkSession, directory: str) -> DataFrame:
 
 @query()
 def engine_execute(spark: SparkSession, directory: str) -> DataFrame:
-    """Hits of each of the strategies that a question's router chose."""
-    return _engine(spark, directory).execute(asked_queries(spark, directory))
+    """Hits of each of the strategies that the router chose, for every cached question."""
+    return _engine(spark, directory).execute(every_question(spark, directory))
 
 
 @query()
