@@ -30,8 +30,8 @@ def engine_answer(spark: SparkSession, directory: str) -> DataFrame:
 
 @query()
 def engine_multi_query(spark: SparkSession, directory: str) -> DataFrame:
-    """Hits of questions and their variations."""
-    return _engine(spark, directory).multi_query(asked_queries(spark, directory))
+    """Hits of every cached question and its variations."""
+    return _engine(spark, directory).multi_query(every_question(spark, directory))
 
 
 @query()

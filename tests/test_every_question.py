@@ -13,7 +13,7 @@ from retrix.sources.tables import cut, folder_of, table
 from tests.golden import EXPECTED, digest
 
 
-@pytest.mark.parametrize("name", ["engine_combined", "engine_execute"])
+@pytest.mark.parametrize("name", ["engine_combined", "engine_execute", "engine_multi_query"])
 def test_every_question_is_answered(spark, data, name):
     every = {r["id"] for r in table(spark, data, "semantic_cache").where("query_text IS NOT NULL").select("id").collect()}
     found = cut(QUERIES[name](spark, data))
